@@ -27,6 +27,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def sql_let(name: str, value: str, body: str) -> str:
+    """``let`` for expressions composed as SQL text.
+
+    Large expressions are composed as text, which is parsed in one go; built from
+    Column calls they would cost seconds of driver round trips per query.
+    """
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def quoted(column: str) -> str:
+    """A column name as SQL text."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def strip(col: Column) -> Column:
     """Remove Unicode white space at both ends (plain ``trim`` removes spaces only)."""
     return F.btrim(col, F.lit(WHITE_SPACE))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askwell.functions.text import let, strip
+from askwell.functions.text import WHITE_SPACE, quoted, sql_let
 
 CHUNK_SIZE = 500
 CHUNK_OVERLAP = 100
@@ -29,232 +29,169 @@ _PIECES = {
     LINE: r"\n[^\n]*|[^\n]+",
     WORD: r" [^ ]*|[^ ]+",
 }
-_RUNS = "array<struct<mark:string,body:string,guide:string>>"
+# A run is text that is packed on its own. ``mark`` stands where a piece starts in
+# ``guide``, or in the text itself if there is no guide; a text that is one long
+# piece has no mark.
+_NO_RUNS = "cast(array() as array<struct<mark:string,body:string,guide:string>>)"
 
-
-def _blocks(text: Column, width: int) -> Column:
-    return F.when(F.char_length(text) <= width, F.array(text)).otherwise(
-        F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{width}}}"), F.lit(0))
-    )
+# The functions below compose SQL text: arguments and results are expressions.
 
 
-def _window(blocks: Column, start: Column, width: int) -> Column:
-    """``width`` characters from the 0-based ``start``; blocks are ``width`` wide."""
-    i = F.floor(start / width).cast("int")
-    two = F.concat(F.get(blocks, i), F.coalesce(F.get(blocks, i + 1), F.lit("")))
-    return F.substring(two, (start % width + 1).cast("int"), F.lit(width))
+def _run(mark: str | None, body: str, guide: str = "null") -> str:
+    mark = "null" if mark is None else f"'{mark}'"
+    return (
+        f"named_struct('mark', cast({mark} as string), 'body', {body},"
+        f" 'guide', cast({guide} as string))"
+    )
 
 
-def _find(needle: Column, text: Column) -> Column:
-    """1-based position of the first match, 0 if there is none."""
-    return F.call_function("locate", needle, text)
+def _blocks(text: str, width: int) -> str:
+    cut = f"regexp_extract_all({text}, r'(?s).{{1,{width}}}', 0)"
+    return f"if(char_length({text}) <= {width}, array({text}), {cut})"
 
 
-def _run(mark: str | None, body: Column, guide: Column | None = None) -> Column:
-    guide = F.lit(None) if guide is None else guide
-    return F.struct(
-        F.lit(mark).cast("string").alias("mark"),
-        body.alias("body"),
-        guide.cast("string").alias("guide"),
-    )
+def _window(blocks: str, start: str, width: int) -> str:
+    """``width`` characters from the 0-based ``start``; blocks are ``width`` wide."""
+    i = f"cast({start} div {width} as int)"
+    two = f"concat(get({blocks}, {i}), coalesce(get({blocks}, {i} + 1), ''))"
+    return f"substring({two}, {start} % {width} + 1, {width})"
 
 
-def _split(segment: Column, sep: str, size: int) -> Column:
+def _split(segment: str, sep: str, size: int) -> str:
     """Runs of a segment: neighbouring short pieces joined, long pieces alone.
 
-    ``guide`` carries ``mark`` exactly where a piece starts. With a one-character
-    separator the text itself does; paragraph breaks can touch ("\\n\\n\\n"), so
-    their guide is drawn from the pieces. A long piece has no mark.
+    With a one-character separator the text is its own guide; paragraph breaks can
+    touch ("\n\n\n"), so their guide is drawn from the pieces.
     """
 
-    def joined(pieces: Column) -> Column:
-        body = F.array_join(pieces, "")
+    def joined(pieces: str) -> str:
+        body = f"array_join({pieces}, '')"
         if sep != PARAGRAPH:
             return _run(sep, body)
-        drawn = F.transform(pieces, lambda p: F.rpad(F.lit(LINE), F.char_length(p), "."))
-        return _run(LINE, body, F.array_join(drawn, ""))
-
-    def between_long(pieces: Column, cuts: Column) -> Column:
-        none = F.array().cast(_RUNS)
-
-        def around(k: Column) -> Column:
-            left, right = F.get(cuts, k - 1), F.get(cuts, k)
-            short = F.when(
-                right - left > 1, F.array(joined(F.slice(pieces, left + 1, right - left - 1)))
-            ).otherwise(none)
-            long = F.when(
-                right <= F.size(pieces), F.array(_run(None, F.get(pieces, right - 1)))
-            ).otherwise(none)
-            return F.concat(short, long)
-
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), around))
-
-    def grouped(pieces: Column) -> Column:
-        long_at = F.filter(
-            F.sequence(F.lit(1), F.size(pieces)),
-            lambda i: F.char_length(F.get(pieces, i - 1)) >= size,
-        )
-        return let(
-            long_at,
-            lambda at: F.when(F.size(at) == 0, F.array(joined(pieces))).otherwise(
-                let(
-                    F.concat(F.array(F.lit(0)), at, F.array(F.size(pieces) + 1)),
-                    lambda cuts: between_long(pieces, cuts),
-                )
-            ),
-        )
-
-    pieces = F.regexp_extract_all(segment, F.lit(_PIECES[sep]), F.lit(0))
-    return F.when(F.contains(segment, F.lit(sep)), let(pieces, grouped)).otherwise(
-        F.array(_run(None, segment))
+        drawn = f"transform({pieces}, p -> rpad('{LINE}', char_length(p), '.'))"
+        return _run(LINE, body, f"array_join({drawn}, '')")
+
+    left, right = "get(cuts, k - 1)", "get(cuts, k)"
+    short = joined(f"slice(pieces, {left} + 1, {right} - {left} - 1)")
+    around = (
+        f"concat(if({right} - {left} > 1, array({short}), {_NO_RUNS}),"
+        f" if({right} <= size(pieces), array({_run(None, f'get(pieces, {right} - 1)')}), {_NO_RUNS}))"
+    )
+    between_long = sql_let(
+        "cuts",
+        "concat(array(0), long_at, array(size(pieces) + 1))",
+        f"flatten(transform(sequence(1, size(cuts) - 1), k -> {around}))",
     )
+    grouped = sql_let(
+        "long_at",
+        f"filter(sequence(1, size(pieces)), i -> char_length(get(pieces, i - 1)) >= {size})",
+        f"if(size(long_at) = 0, array({joined('pieces')}), {between_long})",
+    )
+    cut = sql_let("pieces", f"regexp_extract_all({segment}, r'{_PIECES[sep]}', 0)", grouped)
+    return f"if(contains({segment}, '{sep}'), {cut}, array({_run(None, segment)}))"
 
 
-def _refine(runs: Column, sep: str, size: int) -> Column:
+def _refine(runs: str, sep: str, size: int) -> str:
     """Split what is still one long piece at the next separator."""
-    return F.flatten(
-        F.transform(
-            runs,
-            lambda r: F.when(r["mark"].isNull(), _split(r["body"], sep, size)).otherwise(
-                F.array(r)
-            ),
-        )
+    return (
+        f"flatten(transform({runs}, r ->"
+        f" if(r.mark is null, {_split('r.body', sep, size)}, array(r))))"
     )
 
 
-def _pack(run: Column, size: int, overlap: int) -> Column:
-    """Chunks of a run of short pieces, not yet stripped."""
+def _pack(size: int, overlap: int) -> str:
+    """Chunks of a run ``r`` of short pieces, not yet stripped."""
     reach = 2 * size
-
-    def fold(blocks: Column) -> Column:
-        length = blocks["length"]
-
-        def cut(start: Column, view: Column) -> Column:
-            """End of the chunk at ``start`` and the start of the next one."""
-            end = size - F.char_length(
-                F.call_function(
-                    "substring_index", F.substring(view, 1, size + 1), run["mark"], F.lit(-1)
-                )
-            )
-
-            def overflow(end: Column) -> Column:
-                ahead = F.substring(view, end + 2, F.lit(size))
-                hit = _find(run["mark"], ahead)
-                piece = F.when(hit > 0, hit).otherwise(F.char_length(ahead) + 1)
-
-                def resume(back: Column) -> Column:
-                    hit = _find(run["mark"], F.substring(view, end - back + 1, back))
-                    advance = F.when(hit > 0, end - back + hit - 1).otherwise(end)
-                    return F.struct(end.alias("end"), (start + advance).alias("next"))
-
-                return let(F.least(F.lit(overlap), size - piece), resume)
-
-            fits = F.char_length(view) <= size
-            last = F.struct(F.char_length(view).alias("end"), length.alias("next"))
-            return F.when(fits, last).otherwise(let(end, overflow))
-
-        def step(state: Column, _: Column) -> Column:
-            start = state["start"]
-
-            def advance(view: Column) -> Column:
-                seen = F.when(blocks["drawn"], _window(blocks["body"], start, reach))
-                return let(
-                    cut(start, view),
-                    lambda m: F.struct(
-                        m["next"].alias("start"),
-                        F.array_append(
-                            state["out"],
-                            F.substring(F.coalesce(seen, view), F.lit(1), m["end"]),
-                        ).alias("out"),
-                    ),
-                )
-
-            view = _window(blocks["guide"], start, reach)
-            return F.when(start >= length, state).otherwise(let(view, advance))
-
-        # Any two steps advance by at least half of what a chunk adds.
-        steps = F.sequence(F.lit(1), F.floor(4 * length / (size - overlap)).cast("int") + 2)
-        begin = F.struct(F.lit(0).alias("start"), F.array().cast("array<string>").alias("out"))
-        return F.aggregate(steps, begin, step, lambda state: state["out"])
-
-    body = _blocks(run["body"], reach)
-    guide = F.when(run["guide"].isNull(), body).otherwise(_blocks(run["guide"], reach))
-    whole = F.char_length(run["body"]) <= size
-    return F.when(whole, F.array(run["body"])).otherwise(
-        let(
-            F.struct(
-                body.alias("body"),
-                guide.alias("guide"),
-                run["guide"].isNotNull().alias("drawn"),
-                F.char_length(run["body"]).alias("length"),
-            ),
-            fold,
-        )
+    # ``view`` starts at the chunk. It ends before the last piece that starts within
+    # ``size``; the next chunk then starts at the first piece in reach of the overlap
+    # that leaves room for the piece that did not fit.
+    end = f"{size} - char_length(substring_index(substring(view, 1, {size + 1}), r.mark, -1))"
+    ahead = f"substring(view, end + 2, {size})"
+    piece = f"if(hit > 0, hit, char_length({ahead}) + 1)"
+    back = sql_let("hit", f"locate(r.mark, {ahead})", f"least({overlap}, {size} - {piece})")
+    resume = sql_let(
+        "hit",
+        "locate(r.mark, substring(view, end - back + 1, back))",
+        "named_struct('end', end, 'next', state.start + if(hit > 0, end - back + hit - 1, end))",
+    )
+    cut = (
+        f"if(char_length(view) <= {size},"
+        " named_struct('end', char_length(view), 'next', b.length),"
+        f" {sql_let('end', end, sql_let('back', back, resume))})"
+    )
+    seen = f"if(b.drawn, {_window('b.body', 'state.start', reach)}, view)"
+    advance = sql_let(
+        "m",
+        cut,
+        "named_struct('start', m.next,"
+        f" 'out', array_append(state.out, substring({seen}, 1, m.end)))",
     )
+    step = sql_let("view", _window("b.guide", "state.start", reach), advance)
+    # Any two steps advance by at least half of what a chunk adds.
+    steps = f"sequence(1, cast(4 * b.length div {size - overlap} as int) + 2)"
+    fold = (
+        f"aggregate({steps}, named_struct('start', 0, 'out', cast(array() as array<string>)),"
+        f" (state, n) -> if(state.start >= b.length, state, {step}), state -> state.out)"
+    )
+    body = _blocks("r.body", reach)
+    bound = sql_let(
+        "body",
+        body,
+        "named_struct('body', body,"
+        f" 'guide', if(r.guide is null, body, {_blocks('r.guide', reach)}),"
+        " 'drawn', r.guide is not null, 'length', char_length(r.body))",
+    )
+    return f"if(char_length(r.body) <= {size}, array(r.body), {sql_let('b', bound, fold)})"
 
 
-def _slide(text: Column, size: int, overlap: int) -> Column:
-    """Chunks of a piece without any separator: a plain sliding window."""
+def _slide(size: int, overlap: int) -> str:
+    """Chunks of a long piece ``r`` without any separator: a sliding window."""
     stride = size - overlap
-    count = F.greatest(F.lit(0), F.ceil((F.char_length(text) - size) / stride)).cast("int")
-
-    def at(blocks: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), count), lambda k: _join_ahead(blocks, k, stride, size)
-        )
-
-    return let(_blocks(text, stride), at)
-
-
-def _join_ahead(blocks: Column, k: Column, stride: int, size: int) -> Column:
-    parts = [F.get(blocks, k)]
-    parts += [F.get(blocks, k + i) for i in range(1, -(-size // stride))]
-    return F.substring(F.concat_ws("", *parts), 1, size)
+    count = f"cast(greatest(0, ceil((char_length(r.body) - {size}) / {stride})) as int)"
+    parts = ", ".join(f"get(b, k + {i})" for i in range(-(-size // stride)))
+    chunk = f"substring(concat_ws('', {parts}), 1, {size})"
+    return sql_let(
+        "b", _blocks("r.body", stride), f"transform(sequence(0, {count}), k -> {chunk})"
+    )
 
 
-def split_text(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+def split_text(column: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """``array<string>`` of the chunks of a text, in order, stripped, never empty."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
+    text = quoted(column)
     runs = _refine(_refine(_split(text, PARAGRAPH, size), LINE, size), WORD, size)
-    raw = F.flatten(
-        F.transform(
-            runs,
-            lambda r: F.when(r["mark"].isNull(), _slide(r["body"], size, overlap)).otherwise(
-                _pack(r, size, overlap)
-            ),
-        )
+    raw = (
+        f"flatten(transform({runs}, r ->"
+        f" if(r.mark is null, {_slide(size, overlap)}, {_pack(size, overlap)})))"
+    )
+    chunks = f"if(char_length({text}) <= {size}, array({text}), {raw})"
+    return F.expr(
+        f"array_remove(transform({chunks}, c -> trim(BOTH '{WHITE_SPACE}' FROM c)), '')"
     )
-    chunks = F.when(F.char_length(text) <= size, F.array(text)).otherwise(raw)
-    return F.filter(F.transform(chunks, strip), lambda c: c != "")
 
 
-def start_offsets(chunks: Column, text: Column, overlap: int = CHUNK_OVERLAP) -> Column:
+def start_offsets(chunks: str, column: str, overlap: int = CHUNK_OVERLAP) -> Column:
     """0-based offset per chunk: its first match at or after the previous chunk's
     end less ``overlap``. On repeated lines that can lie before the true place."""
     reach = 4 * CHUNK_SIZE
-
-    def fold(blocks: Column) -> Column:
-        def step(state: Column, chunk: Column) -> Column:
-            floor = F.greatest(F.lit(0), state["end"] - overlap)
-
-            def seek(floor: Column) -> Column:
-                near = _find(chunk, _window(blocks, floor, reach))
-                far = F.call_function("locate", chunk, text, floor + 1) - 1
-                return F.when(near > 0, floor + near - 1).otherwise(far)
-
-            return let(
-                let(floor, seek),
-                lambda at: F.struct(
-                    (at + F.char_length(chunk)).alias("end"),
-                    F.array_append(state["out"], at).alias("out"),
-                ),
-            )
-
-        begin = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(chunks, begin, step, lambda state: state["out"])
-
-    return let(_blocks(text, reach), fold)
+    text = quoted(column)
+    # Nearly always the match is close; otherwise the rest of the text is searched.
+    seek = sql_let(
+        "near",
+        f"locate(chunk, {_window('b', 'low', reach)})",
+        f"if(near > 0, low + near - 1, locate(chunk, {text}, low + 1) - 1)",
+    )
+    place = sql_let(
+        "found",
+        sql_let("low", f"greatest(0, state.end - {overlap})", seek),
+        "named_struct('end', found + char_length(chunk), 'out', array_append(state.out, found))",
+    )
+    fold = (
+        f"aggregate({quoted(chunks)}, named_struct('end', 0, 'out', cast(array() as array<int>)),"
+        f" (state, chunk) -> {place}, state -> state.out)"
+    )
+    return F.expr(sql_let("b", _blocks(text, reach), fold))
 
 
 def chunk_texts(
@@ -267,19 +204,15 @@ def chunk_texts(
 
     All other columns are kept. Rows whose text is null or blank give no chunks.
     """
-    keep = [F.col(c) for c in df.columns if c != text]
-    cut = df.where(F.col(text).isNotNull()).withColumn(
-        "_chunks", split_text(F.col(text), size, overlap)
-    )
-    placed = cut.select(
-        *keep,
-        F.arrays_zip(
-            F.col("_chunks").alias("content"),
-            start_offsets(F.col("_chunks"), F.col(text), overlap).alias("start_index"),
-        ).alias("_rows"),
+    keep = [c for c in df.columns if c != text]
+    cut = df.where(F.col(text).isNotNull()).withColumn("_chunks", split_text(text, size, overlap))
+    rows = F.arrays_zip(
+        F.col("_chunks").alias("content"),
+        start_offsets("_chunks", text, overlap).alias("start_index"),
     )
     # A plain explode makes Catalyst infer "size(...) > 0" below the projection and
     # so chunk every text twice; the outer form with a null check does not.
+    placed = cut.select(*keep, rows.alias("_rows"))
     exploded = placed.select(*keep, F.posexplode_outer("_rows").alias("chunk_no", "_row"))
     return exploded.where(F.col("_row").isNotNull()).select(
         *keep, "chunk_no", "_row.content", "_row.start_index"

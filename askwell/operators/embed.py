@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from askwell.functions.text import let
+from askwell.functions.text import quoted, sql_let
 
 TOKEN_BREAK = r"[ \n\t.,;:!?|]+"
 TERM_VECTOR = T.ArrayType(
@@ -35,43 +35,36 @@ class Embedder:
         return self.embed(df, text).withColumn("embedder", F.lit(self.name))
 
 
-def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), TOKEN_BREAK), "")
+def _tokens(column: str) -> str:
+    return f"array_remove(split(lower({quoted(column)}), r'{TOKEN_BREAK}'), '')"
 
 
-def term_counts(text: Column) -> Column:
+def tokens(column: str) -> Column:
+    return F.expr(_tokens(column))
+
+
+def term_counts(column: str) -> Column:
     """Bag of words of a row as sorted ``(term, tf)``, counted without a shuffle.
 
     Sorted tokens form runs; a run's length is the distance to the next run.
     """
-
-    def runs(words: Column) -> Column:
-        begins = F.filter(
-            F.sequence(F.lit(0), F.size(words) - 1),
-            lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)),
-        )
-
-        def count(begins: Column) -> Column:
-            return F.transform(
-                begins,
-                lambda at, j: F.struct(
-                    F.get(words, at).alias("term"),
-                    (F.coalesce(F.get(begins, j + 1), F.size(words)) - at).alias("tf"),
-                ),
-            )
-
-        return F.when(F.size(words) > 0, let(begins, count)).otherwise(
-            F.array().cast(TERM_VECTOR)
-        )
-
-    return let(F.array_sort(tokens(text)), runs)
+    begins = (
+        "filter(sequence(0, size(words) - 1), i -> i = 0 or get(words, i) != get(words, i - 1))"
+    )
+    counted = (
+        "transform(begins, (at, j) -> named_struct('term', get(words, at),"
+        " 'tf', coalesce(get(begins, j + 1), size(words)) - at))"
+    )
+    none = "cast(array() as array<struct<term:string,tf:int>>)"
+    runs = f"if(size(words) > 0, {sql_let('begins', begins, counted)}, {none})"
+    return F.expr(sql_let("words", f"array_sort({_tokens(column)})", runs))
 
 
 def bag_of_words() -> Embedder:
     """Lexical default: no model is needed, and none is shipped."""
 
     def embed(df: DataFrame, text: str) -> DataFrame:
-        return df.withColumn("vector", term_counts(F.col(text)))
+        return df.withColumn("vector", term_counts(text))
 
     return Embedder("bag-of-words", embed)
 
@@ -83,7 +76,7 @@ def hashed_words(dim: int = 256) -> Embedder:
         from pyspark.ml.feature import HashingTF, Normalizer
         from pyspark.ml.functions import vector_to_array
 
-        words = df.withColumn("_words", tokens(F.col(text)))
+        words = df.withColumn("_words", tokens(text))
         hashed = HashingTF(numFeatures=dim, inputCol="_words", outputCol="_tf").transform(words)
         unit = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(hashed)
         return unit.withColumn("vector", vector_to_array("_unit", "float32")).drop(

@@ -6,30 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askwell.functions.numbers import float_text
-from askwell.functions.text import strip
+from askwell.functions.text import quoted, strip
 from askwell.plans.shape import drop_null
 
 SEPARATOR = " > "
 
 
-def nesting_depth(body: Column) -> Column:
+def nesting_depth(column: str) -> Column:
     """How deeply objects and lists are nested in a JSON text."""
-    no_escapes = F.regexp_replace(body, r"\\.", "")
-    no_strings = F.regexp_replace(no_escapes, r'"[^"]*"', "")
-    brackets = F.regexp_replace(no_strings, r"[^\[\]{}]+", "")
-
-    def step(state: Column, bracket: Column) -> Column:
-        now = state["now"] + F.when(bracket.isin("{", "["), 1).otherwise(-1)
-        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
-
-    begin = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    chars = F.filter(F.split(brackets, ""), lambda c: c != "")
-    return F.aggregate(chars, begin, step, lambda state: state["most"])
+    no_escapes = rf"regexp_replace({quoted(column)}, r'\\.', '')"
+    no_strings = f"""regexp_replace({no_escapes}, r'"[^"]*"', '')"""
+    brackets = rf"split(regexp_replace({no_strings}, r'[^\[\]{{}}]+', ''), '')"
+    step = "named_struct('now', s.now + d, 'most', greatest(s.most, s.now + d))"
+    delta = "transform({0}, c -> case when c in ('{{', '[') then 1 when c = '' then 0 else -1 end)"
+    return F.expr(
+        f"aggregate({delta.format(brackets)}, named_struct('now', 0, 'most', 0),"
+        f" (s, d) -> {step}, s -> s.most)"
+    )
 
 
 def levels_needed(df: DataFrame, body: str) -> int:
     """Deepest nesting in the data: one aggregate over one column, one number back."""
-    return df.select(F.max(nesting_depth(F.col(body))).alias("levels")).first()["levels"] or 0
+    return df.select(F.max(nesting_depth(body)).alias("levels")).first()["levels"] or 0
 
 
 def _leaf_text(node: Column, kind: Column) -> Column:

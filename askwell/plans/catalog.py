@@ -135,7 +135,7 @@ def retrieve_dense_top5(spark, sf_dir):
 @query
 def term_vectors(spark, sf_dir):
     docs = spread(_distinct_documents(spark, sf_dir).select("chunk_id", "content"))
-    counted = docs.select("chunk_id", term_counts(F.col("content")).alias("v"))
+    counted = docs.select("chunk_id", term_counts("content").alias("v"))
     return counted.select("chunk_id", F.explode_outer("v").alias("t")).select("chunk_id", "t.*")
 
 
