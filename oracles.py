@@ -72,43 +72,51 @@ def chunk_ctes(source: str, prefix: str = "") -> str:
   FROM {p}piece{n} WHERE piece <> ''),
 {p}long{n} AS (SELECT id, {keys}k{n}, piece AS body FROM {p}run{n} WHERE long),
 {p}cum{n} AS (
-  SELECT *, sum(length(piece)) OVER (PARTITION BY id, {keys}run ORDER BY k{n}) AS upto
-  FROM {p}run{n} WHERE NOT long),
-{p}packed{n} AS (
-  SELECT id, {''.join(f'k{i}, ' for i in range(n))}min(k{n}) AS k{n},
-         {''.join(f'0 AS k{i}, ' for i in range(n + 1, 3))}
-         string_agg(piece, '' ORDER BY k{n}) AS body, list(upto ORDER BY k{n}) AS ends
-  FROM {p}cum{n} GROUP BY id, {keys}run)"""
+  SELECT id, {keys}min(k{n}) OVER (PARTITION BY id, {keys}run) AS k{n},
+         {''.join(f'0 AS k{i}, ' for i in range(n + 1, 3))}k{n} AS ord, piece,
+         sum(length(piece)) OVER (PARTITION BY id, {keys}run ORDER BY k{n}) - length(piece) AS x
+  FROM {p}run{n} WHERE NOT long)"""
 
     return f"""
-{p}src AS ({source}),
+{p}src AS MATERIALIZED ({source}),
 {p}seg0 AS (SELECT id, text AS body FROM {p}src),
 {level(0, f'{p}seg0', f'{NL} || {NL}')},
 {level(1, f'{p}long0', NL)},
 {level(2, f'{p}long1', "' '")},
-{p}runs AS (
+{p}pieces AS MATERIALIZED (
+  SELECT * FROM {p}cum0 UNION ALL SELECT * FROM {p}cum1 UNION ALL SELECT * FROM {p}cum2),
+{p}runs AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, * FROM (
-    SELECT id, k0, k1, k2, body, ends FROM {p}packed0
-    UNION ALL SELECT id, k0, k1, k2, body, ends FROM {p}packed1
-    UNION ALL SELECT id, k0, k1, k2, body, ends FROM {p}packed2)),
+    SELECT id, k0, k1, k2, string_agg(piece, '' ORDER BY ord) AS body
+    FROM {p}pieces GROUP BY id, k0, k1, k2)),
+{p}bounds AS (
+  SELECT rid, x::BIGINT AS x FROM {p}pieces JOIN {p}runs USING (id, k0, k1, k2)
+  UNION ALL SELECT rid, length(body) FROM {p}runs),
+{p}edges AS MATERIALIZED (
+  SELECT rid, x, max(x) OVER (
+           PARTITION BY rid ORDER BY x RANGE BETWEEN CURRENT ROW AND 500 FOLLOWING) AS e,
+         lead(x) OVER (PARTITION BY rid ORDER BY x) - x AS ahead
+  FROM {p}bounds),
+{p}backs AS MATERIALIZED (
+  SELECT rid, x, min(x) OVER (
+           PARTITION BY rid ORDER BY x
+           RANGE BETWEEN least(100, 500 - coalesce(ahead, 500)) PRECEDING AND CURRENT ROW) AS y
+  FROM {p}edges WHERE x > 0),
+{p}steps AS MATERIALIZED (
+  SELECT a.rid, a.x AS s, a.e, CASE WHEN z.ahead IS NOT NULL THEN b.y END AS s2
+  FROM {p}edges a JOIN {p}backs b ON a.rid = b.rid AND a.e = b.x
+  JOIN {p}edges z ON a.rid = z.rid AND a.e = z.x),
 {p}walk AS (
-  SELECT rid, 0::HUGEINT AS s,
-         list_max(list_filter(ends, lambda x: x <= 500))::HUGEINT AS e
-  FROM {p}runs
+  SELECT rid, s, e, s2 FROM {p}steps WHERE s = 0
   UNION ALL
-  SELECT rid, s2, list_max(list_filter(ends, lambda x: x <= s2 + 500))::HUGEINT FROM (
-    SELECT w.rid, r.ends,
-           list_min(list_filter(r.ends, lambda x: x >= w.e - least(100,
-             500 - (list_min(list_filter(r.ends, lambda y: y > w.e)) - w.e))))::HUGEINT AS s2
-    FROM {p}walk w JOIN {p}runs r ON w.rid = r.rid
-    WHERE w.e < r.ends[-1])),
+  SELECT t.rid, t.s, t.e, t.s2 FROM {p}walk w JOIN {p}steps t ON t.rid = w.rid AND t.s = w.s2),
 {p}raw AS (
-  SELECT id, k0, k1, k2, s, substr(body, s::BIGINT + 1, (e - s)::BIGINT) AS piece
+  SELECT id, k0, k1, k2, s, substr(body, s + 1, e - s) AS piece
   FROM {p}walk JOIN {p}runs USING (rid)
   UNION ALL
   SELECT id, k0, k1, k2, s, substr(body, s + 1, 500) FROM (
     SELECT *, unnest(range(0, greatest(length(body) - 100, 1), 400)) AS s FROM {p}long2)),
-{p}numbered AS (
+{p}numbered AS MATERIALIZED (
   SELECT id, row_number() OVER (PARTITION BY id ORDER BY k0, k1, k2, s) - 1 AS chunk_no, content
   FROM (SELECT *, {strip('piece')} AS content FROM {p}raw) WHERE content <> ''),
 {p}placed AS (
