@@ -17,16 +17,16 @@ def _named(files: DataFrame) -> DataFrame:
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """``(source, raw)`` for every file below ``path`` (glob or folder)."""
-    reader = spark.read.schema(FILE_SCHEMA).option("wholetext", True)
-    return _named(reader.option("recursiveFileLookup", True).text(path))
+    reader = spark.read.format("text").schema(FILE_SCHEMA).option("wholetext", True)
+    return _named(reader.option("recursiveFileLookup", True).load(path))
 
 
 def stream_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """The same as a stream of newly arriving files."""
-    reader = spark.readStream.schema(FILE_SCHEMA).option("wholetext", True)
+    reader = spark.readStream.format("text").schema(FILE_SCHEMA).option("wholetext", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _named(reader.text(path))
+    return _named(reader.load(path))
 
 
 def suffix_route(target: Column) -> Column:
