@@ -59,13 +59,12 @@ def content_id(col: Column) -> Column:
 
 def url_host(col: Column) -> Column:
     """Lower-case host without port or IPv6 brackets; null if there is none."""
-    host = F.regexp_replace(F.lower(F.try_parse_url(col, F.lit("HOST"))), r"^\[|\]$", "")
-    return F.nullif(host, F.lit(""))
+    return F.regexp_replace(F.lower(F.try_parse_url(col, F.lit("HOST"))), r"^\[|\]$", "")
 
 
 def is_safe_url(col: Column) -> Column:
-    host = url_host(col)
-    return host.isNotNull() & ~host.isin(*LOCAL_HOSTS)
+    # No host counts as local, so that the address is parsed once.
+    return ~F.coalesce(url_host(col), F.lit("")).isin("", *LOCAL_HOSTS)
 
 
 def has_http_scheme(col: Column) -> Column:

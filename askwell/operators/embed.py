@@ -101,6 +101,11 @@ def batch_model(name: str, load: Callable[[], Callable[[pd.Series], list]]) -> E
     return Embedder(name, embed)
 
 
+def embedded_schema(store: T.StructType, vector: T.DataType) -> T.StructType:
+    """The columns of a chunk table that keeps its vectors."""
+    return T.StructType([*store, T.StructField("vector", vector), T.StructField("embedder", T.StringType())])
+
+
 def check_same_embedder(stored: DataFrame, embedder: Embedder) -> None:
     """Vectors of different embedders must not be compared."""
     other = stored.where(F.col("embedder") != embedder.name).select("embedder").head(1)

@@ -16,12 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from askwell.session import scratch_path
+
 # Tasks get this module's code with the job: executors need not have it installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -30,6 +32,8 @@ DEFAULT_K = 5
 # with all of them distinct words a slice stays in the tens of megabytes.
 SLICE_QUESTIONS = 10_000
 SLICE_BYTES = 64 << 20
+# Hits that may be broadcast to look their texts up: about 100 bytes each.
+BROADCAST_HITS = 500_000
 # Score cells a task holds at a time.
 CELLS = 4_000_000
 # Distances are compared at this precision, equal ones by chunk id.
@@ -109,36 +113,30 @@ class _Best:
 
     def __init__(self, size: int, k: int):
         self.k = k
-        self.distance = np.full((size, 0), np.inf)
-        self.ids = np.empty((size, 0), dtype=object)
+        self.distance = np.full((size, k), np.inf)
+        self.ids = np.empty((size, k), dtype=object)
 
     def add(self, distance: np.ndarray, ids: np.ndarray) -> None:
-        distance = np.hstack([self.distance, np.round(distance, RANK_DIGITS)])
-        width = min(self.k, distance.shape[1])
-        new_d = np.full((len(distance), width), np.inf)
-        new_i = np.empty((len(distance), width), dtype=object)
-        limit = np.partition(distance, width - 1, axis=1)[:, width - 1]
-        held = self.distance.shape[1]
-        for q, row in enumerate(distance):
-            near = np.flatnonzero((row <= limit[q]) & np.isfinite(row))
-            names = [self.ids[q, i] if i < held else ids[i - held] for i in near]
-            best = sorted(zip(row[near], names))[:width]
-            for j, (d, name) in enumerate(best):
-                new_d[q, j], new_i[q, j] = d, name
-        self.distance, self.ids = new_d, new_i
-
-
-def _slices(questions: DataFrame, query_id: str, vector: str) -> Iterator[pa.Table]:
-    """The questions as Arrow tables of bounded size."""
+        distance = np.round(distance, RANK_DIGITS)
+        limit = self.distance[:, -1]
+        nearest_new = distance.min(axis=1)
+        # After the first batches few questions see anything nearer than they have.
+        for q in np.flatnonzero((nearest_new <= limit) & np.isfinite(nearest_new)):
+            row, held = distance[q], np.isfinite(self.distance[q])
+            bound = limit[q]
+            if len(row) > self.k:
+                bound = min(bound, np.partition(row, self.k - 1)[self.k - 1])
+            near = np.flatnonzero((row <= bound) & np.isfinite(row))
+            found = list(zip(row[near], ids[near]))
+            found += zip(self.distance[q][held], self.ids[q][held])
+            for j, (d, name) in enumerate(sorted(found)[: self.k]):
+                self.distance[q, j], self.ids[q, j] = d, name
+
+
+def _slice_count(questions: DataFrame, vector: str) -> int:
     width = F.size(vector) * 24 + 64
     total = questions.agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).first()
-    count = max(-(-total["n"] // SLICE_QUESTIONS), -(-(total["bytes"] or 0) // SLICE_BYTES), 1)
-    part = F.pmod(F.xxhash64(query_id), F.lit(count))
-    for i in range(count):
-        rows = questions if count == 1 else questions.where(part == i)
-        table = rows.select(query_id, vector).toArrow()
-        if len(table):
-            yield table
+    return max(-(-total["n"] // SLICE_QUESTIONS), -(-(total["bytes"] or 0) // SLICE_BYTES), 1)
 
 
 def nearest(
@@ -152,7 +150,9 @@ def nearest(
     """The ``k`` nearest chunks per question: ``query_id, chunk_id, distance, rank``.
 
     Exact. Equal distances are ordered by chunk id. With term vectors a chunk must
-    share a term with the question.
+    share a term with the question. More questions than one slice holds are
+    answered here and now, slice after slice, into a table in the scratch folder;
+    the driver never holds more than one slice.
     """
     spark = chunks.sparkSession
     schema = T.StructType(
@@ -162,16 +162,23 @@ def nearest(
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    found = [
-        chunks.select(F.col(chunk_id).alias("id"), F.col(vector).alias("vector")).mapInArrow(
-            _search(spark.sparkContext.broadcast(table), k), schema
-        )
-        for table in _slices(questions, query_id, vector)
-    ]
-    hits = spark.createDataFrame([], schema)
-    for part in found:
-        hits = part if len(found) == 1 else hits.unionByName(part)
-    return rank_hits(hits, k)
+    stored = chunks.select(F.col(chunk_id).alias("id"), F.col(vector).alias("vector"))
+    asked = questions.where(F.col(vector).isNotNull()).select(query_id, vector)
+
+    def answer(part: DataFrame) -> tuple[DataFrame, Broadcast]:
+        shared = spark.sparkContext.broadcast(part.toArrow())
+        return rank_hits(stored.mapInArrow(_search(shared, k), schema), k), shared
+
+    count = _slice_count(asked, vector)
+    if count == 1:
+        return answer(asked)[0]
+    out = scratch_path(spark, "hits")
+    place = F.pmod(F.xxhash64(query_id), F.lit(count))
+    for i in range(count):
+        hits, shared = answer(asked.where(place == i))
+        hits.write.parquet(f"{out}/{i}")
+        shared.destroy()
+    return spark.read.schema(hits.schema).option("recursiveFileLookup", True).parquet(out)
 
 
 def _search(asked, k: int):
@@ -210,6 +217,15 @@ def rank_hits(hits: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
 
 
-def with_chunks(hits: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
-    """Look the hits' text and metadata up; the few hits are the side to broadcast."""
+def with_chunks(
+    hits: DataFrame, chunks: DataFrame, columns: list[str], at_most: int | None = None
+) -> DataFrame:
+    """Look the hits' text and metadata up.
+
+    ``at_most`` bounds the hits (questions times k). Within ``BROADCAST_HITS`` they
+    are broadcast, so that the chunk table is scanned in place; otherwise, or if no
+    bound is known, the join is left to the optimizer's own size estimates.
+    """
+    if at_most is not None and at_most <= BROADCAST_HITS:
+        hits = F.broadcast(hits)
     return hits.join(chunks.select("chunk_id", *columns), "chunk_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from askwell.functions.text import clean_question
 from askwell.operators.context import build_context, build_prompts
-from askwell.operators.embed import Embedder, bag_of_words
+from askwell.operators.embed import Embedder, bag_of_words, check_same_embedder
 from askwell.operators.retrieve import DEFAULT_K, nearest, with_chunks
 
 
@@ -22,13 +22,28 @@ def answer_hits(
     embedder: Embedder | None = None,
     k: int = DEFAULT_K,
 ) -> DataFrame:
-    """Top ``k`` per question. ``chunks`` may bring their vectors along."""
+    """Top ``k`` per question. ``chunks`` may bring their vectors, and then also the
+    name of the embedder that made them."""
     embedder = embedder or bag_of_words()
-    if "vector" not in chunks.columns:
+    if "vector" in chunks.columns:
+        check_same_embedder(chunks, embedder)
+    else:
         chunks = embedder(chunks)
     return nearest(chunks, embedder(prepare_questions(questions), "question"), k)
 
 
+def answer_contexts(
+    chunks: DataFrame,
+    questions: DataFrame,
+    embedder: Embedder | None = None,
+    k: int = DEFAULT_K,
+) -> DataFrame:
+    """The text of each question's hits. ``chunks`` is read twice: best a stored table."""
+    hits = answer_hits(chunks, questions, embedder, k)
+    found = with_chunks(hits, chunks, ["content"], at_most=questions.count() * k)
+    return build_context(found)
+
+
 def answer_prompts(
     chunks: DataFrame,
     questions: DataFrame,
@@ -37,5 +52,5 @@ def answer_prompts(
     system: Column | None = None,
 ) -> DataFrame:
     """One prompt per question, ready for a language model."""
-    hits = with_chunks(answer_hits(chunks, questions, embedder, k), chunks, ["content"])
-    return build_prompts(prepare_questions(questions), build_context(hits), system)
+    contexts = answer_contexts(chunks, questions, embedder, k)
+    return build_prompts(prepare_questions(questions), contexts, system)

@@ -12,15 +12,20 @@ from pyspark.sql import functions as F
 from askwell.functions.numbers import cosine_distance
 from askwell.functions.text import clean_question, content_id, has_http_scheme, url_host
 from askwell.operators.chunk import chunk_texts
-from askwell.operators.context import build_context
 from askwell.operators.dedup import last_wins, with_content_id
-from askwell.operators.embed import bag_of_words, hashed_words, term_counts
+from askwell.operators.embed import (
+    TERM_VECTOR,
+    bag_of_words,
+    embedded_schema,
+    hashed_words,
+    term_counts,
+)
 from askwell.operators.flatten import flatten_json
 from askwell.operators.report import ingest_report, reject_report, rejects
-from askwell.operators.retrieve import nearest, with_chunks
-from askwell.operators.store import ChunkStore, replace_by_id
+from askwell.operators.retrieve import DEFAULT_K, nearest, with_chunks
+from askwell.operators.store import CHUNK_SCHEMA, ChunkStore, replace_by_id
 from askwell.plans import ingest as plan
-from askwell.plans.answer import answer_hits, answer_prompts
+from askwell.plans.answer import answer_contexts, answer_hits, answer_prompts
 from askwell.plans.shape import spread
 from askwell.session import configure, scratch_path
 from askwell.sources import files, manifest, pages, responses
@@ -58,7 +63,8 @@ def content_ids(spark, sf_dir):
 
 @query
 def dedup_last_wins(spark, sf_dir):
-    return _distinct_documents(spark, sf_dir).select("chunk_id", "source", "doc_id")
+    ids = with_content_id(_table(spark, sf_dir, "documents"), "text")
+    return last_wins(ids.select("chunk_id", "source", "doc_id"), ["source", "doc_id"])
 
 
 def _distinct_documents(spark, sf_dir):
@@ -159,7 +165,8 @@ def retrieve_text_top5(spark, sf_dir):
 def retrieve_with_source(spark, sf_dir):
     docs = _distinct_documents(spark, sf_dir)
     hits = answer_hits(spread(docs), _questions(spark, sf_dir))
-    found = with_chunks(hits, docs, ["source", "doc_id"])
+    asked = _questions(spark, sf_dir).count()
+    found = with_chunks(hits, docs, ["source", "doc_id"], at_most=asked * DEFAULT_K)
     return _hit_columns(found, "source", "doc_id")
 
 
@@ -201,7 +208,7 @@ def _landed_pages(spark, sf_dir):
 
 def _landed_responses(spark, sf_dir):
     """API responses: one per event, with a status that follows from the event."""
-    events = _table(spark, sf_dir, "events")
+    events = spread(_table(spark, sf_dir, "events"))
     status = (
         F.when(F.col("event_type") == "error", 500)
         .when(F.col("value") < 1, 401)
@@ -253,7 +260,7 @@ def web_chunks(spark, sf_dir):
 @query
 def json_flatten(spark, sf_dir):
     """Every event as a nested payload, down to its leaves."""
-    events = _table(spark, sf_dir, "events")
+    events = spread(_table(spark, sf_dir, "events"))
     payload = F.to_json(
         F.struct(
             F.col("event_type").alias("kind"),
@@ -435,23 +442,26 @@ def question_stream(spark, sf_dir):
 # --- context and prompts
 
 
-def _document_chunks(spark, sf_dir):
-    return plan.distinct_chunks(plan.file_chunks(_landed_files(spark, sf_dir)))
+def _stored_chunks(spark, sf_dir):
+    """The documents' chunks with their vectors, written once and read back."""
+    chunks = plan.distinct_chunks(plan.file_chunks(_landed_files(spark, sf_dir)))
+    store = ChunkStore(
+        spark, scratch_path(spark, "store"), embedded_schema(CHUNK_SCHEMA, TERM_VECTOR)
+    )
+    store.upsert(bag_of_words()(chunks), 0)
+    return store.read()
 
 
 @query
 def retrieve_chunks_top5(spark, sf_dir):
-    hits = answer_hits(_document_chunks(spark, sf_dir), _questions(spark, sf_dir))
-    return _hit_columns(hits)
+    return _hit_columns(answer_hits(_stored_chunks(spark, sf_dir), _questions(spark, sf_dir)))
 
 
 @query
-def build_context_query(spark, sf_dir):
-    chunks = _document_chunks(spark, sf_dir)
-    hits = answer_hits(chunks, _questions(spark, sf_dir))
-    return build_context(with_chunks(hits, chunks, ["content"]))
+def build_context(spark, sf_dir):
+    return answer_contexts(_stored_chunks(spark, sf_dir), _questions(spark, sf_dir))
 
 
 @query
 def build_prompts(spark, sf_dir):
-    return answer_prompts(_document_chunks(spark, sf_dir), _questions(spark, sf_dir))
+    return answer_prompts(_stored_chunks(spark, sf_dir), _questions(spark, sf_dir))
