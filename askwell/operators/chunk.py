@@ -205,7 +205,9 @@ def chunk_texts(
     All other columns are kept. Rows whose text is null or blank give no chunks.
     """
     keep = [c for c in df.columns if c != text]
-    cut = df.where(F.col(text).isNotNull()).withColumn("_chunks", split_text(text, size, overlap))
+    # No null check on the text: where the text is computed, Catalyst would compute it
+    # once more for the filter, and below any shuffle in between.
+    cut = df.withColumn("_chunks", split_text(text, size, overlap))
     rows = F.arrays_zip(
         F.col("_chunks").alias("content"),
         start_offsets("_chunks", text, overlap).alias("start_index"),

@@ -39,7 +39,8 @@ def suffix_route(target: Column) -> Column:
 
 def universal_newlines(text: Column) -> Column:
     """Line ends as a text-mode reader gives them: always a single line feed."""
-    return F.regexp_replace(text, "\r\n?", "\n")
+    has_returns = F.contains(text, F.lit("\r"))
+    return F.when(has_returns, F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
 def reject_reason(source: Column, raw: Column) -> Column:
