@@ -99,6 +99,21 @@ def _refine(runs: str, sep: str, size: int) -> str:
     )
 
 
+def _gather(over: str, first: str, step: str, field: str, kind: str) -> str:
+    """Fold ``x -> next m`` over an array and list ``field`` of every m that has one.
+
+    What a step binds is copied, so the growing list stays outside of it: a step
+    only appends what the step before it found.
+    """
+    name, move = step.split(" -> ", 1)
+    found = f"if(state.m.{field} is null, state.out, array_append(state.out, state.m.{field}))"
+    begin = f"named_struct('m', {first}, 'out', cast(array() as array<{kind}>))"
+    return (
+        f"aggregate({over}, {begin},"
+        f" (state, {name}) -> named_struct('m', {move}, 'out', {found}), state -> {found})"
+    )
+
+
 def _pack(size: int, overlap: int) -> str:
     """Chunks of a run ``r`` of short pieces, not yet stripped."""
     reach = 2 * size
@@ -112,26 +127,28 @@ def _pack(size: int, overlap: int) -> str:
     resume = sql_let(
         "hit",
         "locate(r.mark, substring(view, end - back + 1, back))",
-        "named_struct('end', end, 'next', state.start + if(hit > 0, end - back + hit - 1, end))",
+        "named_struct('end', end, 'next', state.m.next + if(hit > 0, end - back + hit - 1, end))",
     )
     cut = (
         f"if(char_length(view) <= {size},"
         " named_struct('end', char_length(view), 'next', b.length),"
         f" {sql_let('end', end, sql_let('back', back, resume))})"
     )
-    seen = f"if(b.drawn, {_window('b.body', 'state.start', reach)}, view)"
-    advance = sql_let(
-        "m",
-        cut,
-        "named_struct('start', m.next,"
-        f" 'out', array_append(state.out, substring({seen}, 1, m.end)))",
+    seen = f"if(b.drawn, {_window('b.body', 'state.m.next', reach)}, view)"
+    move = sql_let(
+        "view",
+        _window("b.guide", "state.m.next", reach),
+        sql_let("m", cut, f"named_struct('next', m.next, 'chunk', substring({seen}, 1, m.end))"),
     )
-    step = sql_let("view", _window("b.guide", "state.start", reach), advance)
+    stay = "named_struct('next', state.m.next, 'chunk', cast(null as string))"
     # Any two steps advance by at least half of what a chunk adds.
     steps = f"sequence(1, cast(4 * b.length div {size - overlap} as int) + 2)"
-    fold = (
-        f"aggregate({steps}, named_struct('start', 0, 'out', cast(array() as array<string>)),"
-        f" (state, n) -> if(state.start >= b.length, state, {step}), state -> state.out)"
+    fold = _gather(
+        steps,
+        "named_struct('next', 0, 'chunk', cast(null as string))",
+        f"n -> if(state.m.next >= b.length, {stay}, {move})",
+        "chunk",
+        "string",
     )
     body = _blocks("r.body", reach)
     bound = sql_let(
@@ -184,13 +201,11 @@ def start_offsets(chunks: str, column: str, overlap: int = CHUNK_OVERLAP) -> Col
     )
     place = sql_let(
         "found",
-        sql_let("low", f"greatest(0, state.end - {overlap})", seek),
-        "named_struct('end', found + char_length(chunk), 'out', array_append(state.out, found))",
-    )
-    fold = (
-        f"aggregate({quoted(chunks)}, named_struct('end', 0, 'out', cast(array() as array<int>)),"
-        f" (state, chunk) -> {place}, state -> state.out)"
+        sql_let("low", f"greatest(0, state.m.end - {overlap})", seek),
+        "named_struct('at', found, 'end', found + char_length(chunk))",
     )
+    first = "named_struct('at', cast(null as int), 'end', 0)"
+    fold = _gather(quoted(chunks), first, f"chunk -> {place}", "at", "int")
     return F.expr(sql_let("b", _blocks(text, reach), fold))
 
 
