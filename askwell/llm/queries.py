@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.llm import fertility, mixing, pieces, token_files
+from askwell.llm import fertility, minhash, mixing, pieces, token_files
 from askwell.llm.common import bounded_batches, table
 from askwell.session import configure, scratch_path
 
@@ -37,6 +37,11 @@ def op3_source_mix(spark, sf_dir):
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op4_near_duplicates(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 @query
 def op7_token_files(spark, sf_dir):
     folder = scratch_path(spark, "token-files")
