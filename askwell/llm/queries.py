@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.llm import fertility, minhash, mixing, pieces, token_files
+from askwell.llm import fertility, minhash, mixing, neighbours, pieces, token_files
 from askwell.llm.common import bounded_batches, table
 from askwell.session import configure, scratch_path
 
@@ -31,6 +31,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op2_multiprobe_neighbours(spark, sf_dir):
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 @query
 def op3_source_mix(spark, sf_dir):
     mix = mixing.mixed_copies(table(spark, sf_dir, "documents"))
