@@ -18,7 +18,7 @@ from askwell.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a task works on at once (one longer text is worked on alone).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 _SOLID = bytes(b not in (0x20, *range(0x09, 0x0E)) for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -28,7 +28,7 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 def bounded_batches(spark: SparkSession) -> None:
     """Limit what a Python worker gets at once, so that long texts don't fill its memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -162,7 +162,7 @@ class UnitCache:
     ``most`` units are held; then the cache starts anew, so that a worker's memory is bounded.
     """
 
-    def __init__(self, encode, most: int = 2_000_000):
+    def __init__(self, encode, most: int = 500_000):
         self.encode, self.most = encode, most
         self._clear()
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.llm import fertility, minhash, mixing, neighbours, pieces, token_files
+from askwell.llm import fertility, kneser_ney, minhash, mixing, neighbours, pieces, token_files
 from askwell.llm.common import bounded_batches, table
 from askwell.session import configure, scratch_path
 
@@ -64,4 +64,10 @@ def op9_sentence_pieces(spark, sf_dir):
     return pieces.encoding_report(table(spark, sf_dir, "documents"), vocabulary(PIECE_VOCABULARY))
 
 
+@query
+def op10_kneser_ney(spark, sf_dir):
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return kneser_ney.classified(table(spark, sf_dir, "documents"), trusted)
+
+
 ORACLES: dict[str, str] = {"op3_source_mix": mixing.ORACLE}
