@@ -35,7 +35,7 @@ MIN_WORDS = 10
 REPEAT_PERCENT = 20
 WINDOW = 5
 #: A band reaches so many quartile ranges beyond the quartiles.
-FENCE = 2.5
+FENCE = 2.0
 #: Least quartile range taken for each measure, so that a uniform group has a band at all.
 FLOOR = {"chars_per_token": 0.05, "byte_share": 0.02, "entropy": 0.25}
 MEASURES = tuple(FLOOR)
@@ -169,8 +169,8 @@ def bands(rows: DataFrame, fence: float = FENCE) -> DataFrame:
 
 def judged(rows: DataFrame, fence: float = FENCE) -> DataFrame:
     """``measured`` rows with kept: false where a base rule fails or a measure leaves its band."""
-    limits = bands(rows, fence)
-    out = rows.join(limits, (F.col("band") == F.col("b")) & (F.col("size_class") == F.col("s")), "left")
+    limits = bands(rows, fence)  # a row for each language and size class: bounded, whatever the rows
+    out = rows.join(F.broadcast(limits), (F.col("band") == F.col("b")) & (F.col("size_class") == F.col("s")), "left")
     inside = F.lit(True)
     for m in MEASURES:
         low, high = (F.col(f"{m}_low"), F.col(f"{m}_high"))
