@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.llm import fertility, kneser_ney, language, minhash, mixing, neighbours, pieces, token_files
+from askwell.llm import fertility, kneser_ney, language, minhash, mixing, neighbours, pieces, secret_scan, token_files
 from askwell.llm.common import bounded_batches, table
 from askwell.session import configure, scratch_path
 
@@ -47,6 +47,12 @@ def op4_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+@query
+def op5_secret_scan(spark, sf_dir):
+    found = secret_scan.findings(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY))
+    return found.select("doc_id", "start", F.length("finding").alias("n_chars"), "score", "secret")
+
+
 @query
 def op6_cross_parsing(spark, sf_dir):
     return language.identified(table(spark, sf_dir, "documents"))
