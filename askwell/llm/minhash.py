@@ -5,12 +5,12 @@ equal sets become one node, so that exact copies never meet again. Of 256 permut
 low 2 bits are kept, packed into eight longs; 42 bands of 6 whole minima give candidate buckets. A
 pair of similarity 0.8 misses all bands with probability 5e-6.
 
-Candidates are never all pairs of a bucket. First each node is paired with its bucket's smallest.
-The bit counts of two signatures give their agreement; with a chance agreement of 1/4 taken out it
-estimates the similarity (standard error 0.03), and pairs five errors below the limit fall away.
-All others are confirmed on the full sets. Then, while a bucket still holds several components, each
-of its nodes is paired with the nodes of other components that look most similar, more of them in
-each round, until all that look similar enough have been tested. So no link is lost to the pairing.
+First each node is paired with its bucket's smallest. The bit counts of two signatures give their
+agreement; with a chance agreement of 1/4 taken out it estimates the similarity (standard error
+0.03), and pairs four and a half errors below the limit fall away. All others are confirmed on the
+full sets. Where a bucket then still holds several components, the pairs between them, and none
+inside one, go the same way. So no link is lost to the pairing, and a group of copies costs a pair
+for each of them.
 
 Components come from alternating large and small stars, written to the shared folder in each round.
 
@@ -34,10 +34,10 @@ from askwell.llm.common import Words, documents, mixed, slices, text_bytes, writ
 HASHES, BANDS, ROWS, BITS = 256, 42, 6, 2
 SIMILARITY = 80  # percent of the union
 SHINGLE = 5
-#: Pairs of which the estimate is below this aren't confirmed: the limit less five standard errors.
-LEAST_ESTIMATE = 0.64
-#: Nodes of a bucket that are compared in one task at once; larger buckets are compared in blocks.
-BLOCK = 8_000
+#: Pairs of which the estimate is below this aren't confirmed: the limit less four and a half standard errors.
+LEAST_ESTIMATE = 0.66
+#: Nodes of a bucket whose signatures meet in one task, and nodes whose sets do; more are dealt in blocks.
+BLOCK, FAMILY = 8_000, 4_000
 
 _RNG = np.random.default_rng(20_240_601)
 _A = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -158,30 +158,86 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         mark = (count, total)
 
 
-def _closest(most: int):
-    """Pairs each node of a bucket with the ``most`` likeliest nodes of other components."""
-
-    def pair(frame: pd.DataFrame) -> pd.DataFrame:
-        sig = np.stack(frame["sig"].to_numpy()).astype(np.int64)
-        ids, labels, block = frame["id"].to_numpy(), frame["label"].to_numpy(), frame["block"].to_numpy()
-        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows with equal keys, of batches in which they follow each other."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        edge = np.zeros(batch.num_rows, bool)
+        for column in columns:
+            edge[1:] |= column[1:] != column[:-1]
+        cuts = [0, *np.flatnonzero(edge).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _matrix(table: pa.Table, column: str) -> np.ndarray:
+    flat = table.column(column).combine_chunks()
+    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+    return flat.flatten().to_numpy().reshape(len(flat), -1)
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket that may be links and lie in different components, each in its first common bucket only."""
+    for table in _groups(batches, ["bucket", "i", "j"]):
+        ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
+        block = table.column("block").to_numpy()
+        sig, bands, bucket = _matrix(table, "sig"), _matrix(table, "bands"), table.column("bucket")[0].as_py()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out = []
-        for x in left:
-            other = right[labels[right] != labels[x]]
-            if not len(other):
-                continue
-            near = estimated(sig[x], sig[other])
-            other, near = other[near >= LEAST_ESTIMATE], near[near >= LEAST_ESTIMATE]
-            cut = len(other) > most
-            if cut:
-                other = other[np.argpartition(-near, most)[:most]]
-            if len(other):
-                y = ids[other]
-                out.append(pd.DataFrame({"a": np.minimum(ids[x], y), "b": np.maximum(ids[x], y), "cut": cut}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "cut": []}).astype({"a": "int64", "b": "int64", "cut": "bool"})
-
-    return pair
+        for at in range(0, len(left), 256):
+            own = left[at : at + 256]
+            x, y = np.nonzero((labels[own][:, None] != labels[right]) & (estimated(sig[own][:, None], sig[right]) >= LEAST_ESTIMATE))
+            x, y = own[x], right[y]
+            keep = ids[x] < ids[y] if i == j else np.ones(len(x), bool)
+            x, y = x[keep], y[keep]
+            equal = bands[x] == bands[y]
+            first = bands[x, equal.argmax(1)] == bucket if len(x) else keep[:0]
+            a, b = ids[x[first]], ids[y[first]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _linked(percent: int):
+    def link(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        items = dict(zip(sets["id"], sets["items"]))
+        keep = np.zeros(len(pairs), bool)
+        for n, (a, b) in enumerate(zip(pairs["a"], pairs["b"])):
+            x, y = items[a], items[b]
+            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")  # merges two ascending runs
+                common = int((both[1:] == both[:-1]).sum())
+                keep[n] = 100 * common >= percent * (len(both) - common)
+        return pairs.loc[keep, ["a", "b"]]
+
+    return link
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are links, by their full sets.
+
+    A set travels once to each task that needs it: pairs meet by the components of all pairs, and
+    large components in blocks of their nodes.
+    """
+    labels = components(pairs, "families")
+    sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / FAMILY).alias("blocks"))
+    placed = labels.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    left = placed.select(F.col("node").alias("a"), "label", F.col("block").alias("p"))
+    right = placed.select(F.col("node").alias("b"), F.col("block").alias("q"))
+    placed = pairs.join(left, "a").join(right, "b")
+    placed = written(placed.select("a", "b", F.xxhash64("label", F.least("p", "q"), F.greatest("p", "q")).alias("task")), "placed")
+    needed = placed.select(F.col("task").alias("at"), F.col("a").alias("id")).union(placed.select("task", "b")).distinct().join(sets, "id")
+    return needed.groupBy("at").cogroup(placed.groupBy("task")).applyInPandas(_linked(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
@@ -199,47 +255,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMI
     in_bucket = nodes.select("id", F.explode("bands").alias("bucket"))
     leads = in_bucket.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
     shared = written(in_bucket.join(leads, "bucket").select("bucket", "id", "lead"), "buckets")
-    sets = plain.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_setter(shingle), "id long, items array<long>")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs that are links, by their full sets."""
-        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-        both = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-        common = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("c"), (F.size("x") + F.size("y")).cast("long").alias("n"))
-        return common.where(f"100 * c >= {percent} * (n - c)").select("a", "b").distinct()
-
+    wanted = shared.select(F.col("id").alias("doc_id")).distinct()
+    sets = written(plain.join(wanted, "doc_id", "left_semi").mapInArrow(_setter(shingle), "id long, items array<long>"), "sets")
     pairs = shared.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     pairs = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("p")), "a")
     pairs = pairs.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("q")), "b")
     tested = written(pairs.where(f"{_estimate_sql('p', 'q')} >= {LEAST_ESTIMATE}").select("a", "b").distinct(), "pairs")
     # A doc_id of several rows with different texts joins their classes.
     reps = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-    edges = written(confirmed(tested).union(reps.where("a < b").select("a", "b")), "links")
+    edges = written(confirmed(tested, sets, percent).union(reps.where("a < b").select("a", "b")), "links")
+    labels = written(components(edges), "labels")
+    # Buckets that still hold several components: all pairs between them that may be links.
+    named = shared.select("bucket", "id").join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
+    named = written(named.withColumn("label", F.coalesce("label", "id")), "named")
+    open_ = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).where("l < m")
+    rest = named.join(open_.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket").join(nodes, "id")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rest = rest.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "label", "sig", "bands")
+    rest = rest.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    found = rest.mapInArrow(_alike, "a long, b long").distinct()
+    more = written(found.join(tested, ["a", "b"], "left_anti"), "pairs")
+    edges = edges.union(confirmed(more, sets, percent))
     labels = components(edges)
-    most = 4
-    while True:
-        named = shared.select("bucket", "id").join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
-        named = named.withColumn("label", F.coalesce("label", "id"))
-        open_ = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).where("l < m")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        rest = named.join(open_.select("bucket", blocks.alias("blocks")), "bucket").join(sigs, "id")
-        rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        rest = rest.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-        rest = rest.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
-        found = rest.groupBy("bucket", "i", "j").applyInPandas(_closest(most), "a long, b long, cut boolean")
-        found = written(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), "pairs")
-        new = written(found.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
-        n_new, n_cut = new.count(), found.where("cut").count()
-        if n_new:
-            more = written(confirmed(new), "links")
-            tested = tested.union(new)
-            if more.count():
-                edges = edges.union(more)
-                labels = components(edges)
-        elif not n_cut:
-            break
-        if n_cut:
-            most *= 4
     ids = signed.select("doc_id", "n_shingles").join(reps.select("doc_id", F.col("a").alias("rep")), "doc_id", "left")
     out = ids.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     component = F.coalesce("label", "rep", "doc_id")

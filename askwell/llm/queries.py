@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.llm import fertility, kneser_ney, language, minhash, mixing, neighbours, pieces, secret_scan, token_files
+from askwell.llm import fertility, kneser_ney, language, minhash, mixing, neighbours, pieces, secret_scan, suffix_dedup, token_files
 from askwell.llm.common import bounded_batches, table
 from askwell.session import configure, scratch_path
 
@@ -31,6 +31,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_repeated_spans(spark, sf_dir):
+    found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op2_multiprobe_neighbours(spark, sf_dir):
     return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
