@@ -5,8 +5,8 @@ tuple is its bucket. A query visits the buckets around its own in the order in w
 likely to hold a neighbour: a neighbour at distance R moves each projection by a normal step of
 deviation R, which gives each function's shifts a probability, and a bucket the product of them. It
 visits buckets until their probabilities add up to what each table must contribute for the target
-recall over all tables. R is measured on a bounded sample (``SAMPLE`` vectors): the distance that a
-share of ``k / rows`` of all pairs stays under. The number of functions grows with the logarithm of the
+recall over all tables. R is measured on a bounded sample (``SAMPLE`` vectors): the distance within
+which ``REACH`` of them have their nearest. The number of functions grows with the logarithm of the
 rows, so that buckets stay small.
 
 Candidates of all tables are scored by exact distance inside the tasks; only the best of each query
@@ -37,6 +37,7 @@ TABLES = 8
 WIDTH = 2.0  # of a bucket, in units of R
 RECALL = 0.97  # estimated, over all tables
 SAMPLE = 2_000
+REACH = 0.95
 #: Distinct vectors of a bucket in one task, and about the rows of a task.
 SPLIT = 20_000
 SEED = 77
@@ -164,15 +165,24 @@ def _scored(k: int):
 
 
 def _radius(vectors: DataFrame, rows: int, k: int) -> float:
+    """Distance within which most vectors have their ``k`` nearest, from a sample.
+
+    In a sample of n vectors, the neighbour of rank ``k * n / rows`` is as far as the k-th among all rows; the
+    first stands in for lower ranks, which errs to the far side. Vectors differ, so the ``REACH``
+    quantile over them is taken.
+    """
     sample = vectors.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").toPandas()["vec"]
     found = []
     for _, m in _stacked(sample) if len(sample) else ():
+        if len(m) < 2:
+            continue
         square = (m * m).sum(1)
         d = square[:, None] + square - 2 * (m @ m.T)
-        found.append(np.sqrt(np.maximum(d[np.triu_indices(len(m), 1)], 0)))
+        np.fill_diagonal(d, np.inf)
+        rank = min(max(1, math.ceil(k * len(m) / max(rows, 1))), len(m) - 1)
+        found.append(np.sqrt(np.maximum(np.partition(d, rank - 1, axis=1)[:, rank - 1], 0)))
     found = np.concatenate(found) if found else np.zeros(0)
-    found = found[found > 0]
-    return float(np.quantile(found, min(1.0, k / max(rows, 1)))) if len(found) else 1.0
+    return float(np.quantile(found, REACH)) or 1.0 if len(found) else 1.0
 
 
 def nearest_neighbours(frame: DataFrame, is_query, k: int = K, tables: int = TABLES, recall: float = RECALL) -> DataFrame:

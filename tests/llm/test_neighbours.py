@@ -66,3 +66,11 @@ def test_buckets_come_in_falling_probability():
 
     ps = [p(b) for b in got]
     assert all(a >= b - 1e-12 for a, b in zip(ps, ps[1:])) and sum(ps) >= 0.99
+
+
+def test_clusters_of_near_copies_do_not_narrow_the_search(spark):
+    rng = np.random.default_rng(9)
+    rows = [rng.normal(size=16) for _ in range(600)]
+    rows += [rows[i % 20] + rng.normal(size=16) * 1e-4 for i in range(600)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    check(spark, frame, 0.9)
