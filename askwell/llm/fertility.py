@@ -79,12 +79,12 @@ def base_counts(words: Words) -> dict[str, np.ndarray]:
     # Lines with a word: from the byte after a line end (or the text's start) to the next line end.
     ends = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate([at[:-1][at[:-1] < at[1:]], ends[ends + 1 < len(data)] + 1]))
-    stops = np.unique(np.concatenate([ends, at[1:][at[:-1] < at[1:]]]))
-    stops = stops[np.searchsorted(stops, starts)] if len(starts) else starts
-    solid = np.concatenate([[0], np.cumsum(words.solid)])
-    worded = solid[stops] > solid[starts] if len(starts) else np.zeros(0, bool)
-    starts, stops = starts[worded], stops[worded]
     owner = np.searchsorted(at, starts, "right") - 1
+    next_end = np.append(ends, len(data))[np.searchsorted(ends, starts)]
+    stops = np.minimum(next_end, at[owner + 1])
+    solid = np.concatenate([[0], np.cumsum(words.solid)])
+    worded = solid[stops] > solid[starts]
+    starts, stops, owner = starts[worded], stops[worded], owner[worded]
     lines = run_hashes(data, starts, stops)
     order = np.lexsort((lines, owner))
     again = (owner[order][1:] == owner[order][:-1]) & (lines[order][1:] == lines[order][:-1])
