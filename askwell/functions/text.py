@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # What Python's str.strip removes; every such character lies below U+3001.
 WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
-# Control characters removed from questions.
+# Control characters removed from questions, and the characters kept (fixed values).
 CONTROL_CLASS = r"[\x00-\x1f\x7f]"
 QUESTION_LIMIT = 1000
 
@@ -57,9 +57,19 @@ def content_id(col: Column) -> Column:
     return F.md5(col)
 
 
+# Scheme, then the authority up to a path, query or fragment.
+AUTHORITY = r"^[a-z][a-z0-9+.\-]*://([^/?#]*)"
+
+
 def url_host(col: Column) -> Column:
-    """Lower-case host without port or IPv6 brackets; null if there is none."""
-    return F.regexp_replace(F.lower(F.try_parse_url(col, F.lit("HOST"))), r"^\[|\]$", "")
+    """Lower-case host without user, port or IPv6 brackets; null if there is none.
+
+    Taken from the text alone, so that hosts and addresses a strict parser refuses (underscores,
+    spaces, letters beyond ASCII) are kept.
+    """
+    authority = F.regexp_extract(F.lower(col), AUTHORITY, 1)
+    host = F.regexp_extract(authority, r"^(?:.*@)?(\[[^\]]*\]|[^:\[\]]*)", 1)
+    return F.nullif(F.regexp_replace(host, r"^\[|\]$", ""), F.lit(""))
 
 
 def is_safe_url(col: Column) -> Column:

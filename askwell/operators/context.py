@@ -21,11 +21,10 @@ SAFETY_SUFFIX = (
     "there. If you don't know accept it your mistake rather than saying context not "
     "given/provided."
 )
-INDENT = " " * 16
-CONTEXT_OPEN = f"\n\n{INDENT}<context>\n{INDENT}"
-CONTEXT_CLOSE = f"\n{INDENT}</context>\n\n{INDENT}User Question: "
-QUESTION_END = f"\n{INDENT}\n{INDENT}"
-PROMPT_END = f"\n{INDENT}"
+CONTEXT_OPEN = "\n\n                <context>\n                "
+CONTEXT_CLOSE = "\n                </context>\n\n                User Question: "
+QUESTION_END = "\n                \n                "
+PROMPT_END = "\n                "
 
 
 def build_context(hits: DataFrame, content: str = "content") -> DataFrame:

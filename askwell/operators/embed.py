@@ -57,7 +57,7 @@ def term_counts(column: str) -> Column:
     )
     none = "cast(array() as array<struct<term:string,tf:int>>)"
     runs = f"if(size(words) > 0, {sql_let('begins', begins, counted)}, {none})"
-    return F.expr(sql_let("words", f"array_sort({_tokens(column)})", runs))
+    return F.expr(sql_let("words", f"sort_array({_tokens(column)})", runs))
 
 
 def bag_of_words() -> Embedder:
@@ -108,6 +108,6 @@ def embedded_schema(store: T.StructType, vector: T.DataType) -> T.StructType:
 
 def check_same_embedder(stored: DataFrame, embedder: Embedder) -> None:
     """Vectors of different embedders must not be compared."""
-    other = stored.where(F.col("embedder") != embedder.name).select("embedder").head(1)
+    other = stored.where(~F.col("embedder").eqNullSafe(embedder.name)).select("embedder").head(1)
     if other:
         raise ValueError(f"store was embedded with {other[0][0]!r}, not {embedder.name!r}")

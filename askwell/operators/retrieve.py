@@ -34,6 +34,8 @@ SLICE_QUESTIONS = 10_000
 SLICE_BYTES = 64 << 20
 # Hits that may be broadcast to look their texts up: about 100 bytes each.
 BROADCAST_HITS = 500_000
+# Lanes in which a question's hits are ranked before they meet.
+LANES = 64
 # Score cells a task holds at a time.
 CELLS = 4_000_000
 # Distances are compared at this precision, equal ones by chunk id.
@@ -76,15 +78,20 @@ class _TermScorer:
 
 
 class _DenseScorer:
-    """Cosine of float vectors of one length."""
+    """Cosine of float vectors; a chunk whose vector has another length than a question's is no hit."""
 
     def __init__(self, vectors: pa.Array):
-        self.unit = _unit_rows(vectors)
         self.size = len(vectors)
+        self.parts = _unit_rows(vectors)
 
     def distances(self, vectors: pa.Array) -> np.ndarray:
-        distance = 1.0 - self.unit @ _unit_rows(vectors).T
-        return np.where(np.isnan(distance), np.inf, distance)
+        out = np.full((self.size, len(vectors)), np.inf)
+        stored = _unit_rows(vectors)
+        for width in self.parts.keys() & stored.keys():
+            asked, rows = self.parts[width], stored[width]
+            distance = 1.0 - asked[1] @ rows[1].T
+            out[np.ix_(asked[0], rows[0])] = np.where(np.isnan(distance), np.inf, distance)
+        return out
 
 
 def _unnest(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -93,11 +100,18 @@ def _unnest(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), owner
 
 
-def _unit_rows(vectors: pa.Array) -> np.ndarray:
+def _unit_rows(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per length: the places of the vectors of that length, and these at unit length."""
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(len(vectors), -1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = np.cumsum(sizes) - sizes
+    out = {}
+    for width in np.unique(sizes[sizes > 0]).tolist():
+        places = np.flatnonzero(sizes == width)
+        rows = flat[begin[places][:, None] + np.arange(width)]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[width] = places, rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    return out
 
 
 def _scorer(vectors: pa.Array) -> _TermScorer | _DenseScorer:
@@ -214,7 +228,11 @@ def _search(asked, k: int):
 def rank_hits(hits: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """Number the hits of each question by (distance, chunk id) and keep ``k``."""
     near = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
+    # Two stages: tasks of one lane first, so that no window holds the hits of all tasks.
+    lane = Window.partitionBy("query_id", "_lane").orderBy("distance", "chunk_id")
+    dealt = hits.withColumn("_lane", F.pmod(F.xxhash64("chunk_id"), F.lit(LANES)))
+    few = dealt.withColumn("rank", F.row_number().over(lane)).where(F.col("rank") <= k).drop("_lane", "rank")
+    return few.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
 
 
 def with_chunks(

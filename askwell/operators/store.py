@@ -1,12 +1,16 @@
 """The chunk table: insert-or-replace by id on plain parquet.
 
 A batch is written as a *delta* of its own size, so a refresh that changes little
-writes little. A reader sees the latest *full* version with all later deltas laid
-over it. ``compact`` folds them into a new full version now and then.
-
-Versions are numbered by batch. A directory counts once Spark has marked it
-complete, so a failed or killed write leaves the table as it was; writing the same
-batch again is skipped, which makes replays harmless.
+writes little. A reader sees the latest *full* version with all deltas laid over
+it that it has not folded. ``compact`` folds them into a new full version now and
+then.
+
+A batch is known by its writer and its number with that writer, so several
+streams can write to one store, and a stream that starts anew is another writer.
+Its place in time is a sequence number taken when it is written. A directory
+counts once Spark has marked it complete, so a failed or killed write leaves the
+table as it was; a batch that is there, or was folded, is skipped, which makes
+replays harmless.
 """
 
 from __future__ import annotations
@@ -29,17 +33,21 @@ CHUNK_SCHEMA = T.StructType(
         T.StructField("start_index", T.IntegerType()),
     ]
 )
-_VERSION = re.compile(r"^(full|delta)-(\d{12})$")
+_VERSION = re.compile(r"^(full|delta)-(\d{12})(?:-([A-Za-z0-9_.-]+)-(\d{12}))?$")
+DEFAULT_WRITER = "main"
 
 
 @dataclass(frozen=True)
 class Version:
     kind: str
-    number: int
+    sequence: int
+    writer: str = ""
+    batch: int = 0
 
     @property
     def name(self) -> str:
-        return f"{self.kind}-{self.number:012d}"
+        own = f"-{self.writer}-{self.batch:012d}" if self.kind == "delta" else ""
+        return f"{self.kind}-{self.sequence:012d}{own}"
 
 
 class ChunkStore:
@@ -56,28 +64,44 @@ class ChunkStore:
     def _fs(self):
         return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[Version]:
-        """Complete versions, oldest first; empty when the store does not exist yet."""
+    def _found(self) -> list[Version]:
+        """All version folders, complete or not."""
         fs = self._fs()
         if not fs.exists(self._path("")):
             return []
-        found = []
-        for status in fs.listStatus(self._path("")):
-            match = _VERSION.match(status.getPath().getName())
-            if match and fs.exists(self._path(f"{match[0]}/_SUCCESS")):
-                found.append(Version(match[1], int(match[2])))
-        return sorted(found, key=lambda v: (v.number, v.kind == "full"))
+        names = (_VERSION.match(f.getPath().getName()) for f in fs.listStatus(self._path("")))
+        return [Version(m[1], int(m[2]), m[3] or "", int(m[4] or 0)) for m in names if m]
+
+    def versions(self) -> list[Version]:
+        """Complete versions, oldest first; empty when the store does not exist yet."""
+        fs = self._fs()
+        done = [v for v in self._found() if fs.exists(self._path(f"{v.name}/_SUCCESS"))]
+        done = [v for v in done if v.kind == "delta" or fs.exists(self._path(f"{v.name}/_folded"))]
+        return sorted(done, key=lambda v: (v.sequence, v.name))
+
+    def _folded(self, full: Version) -> set[str]:
+        """Names of the deltas that a full version holds, also of those folded before."""
+        stream = self._fs().open(self._path(f"{full.name}/_folded"))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return set(text.split())
+
+    def _state(self) -> tuple[Version | None, set[str], list[Version]]:
+        """Latest full version, the names it holds, and the deltas it doesn't."""
+        visible = self.versions()
+        full = max((v for v in visible if v.kind == "full"), key=lambda v: v.sequence, default=None)
+        folded = self._folded(full) if full else set()
+        return full, folded, [v for v in visible if v.kind == "delta" and v.name not in folded]
 
     def _read(self, version: Version) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/{version.name}")
 
-    def read(self, below: int | None = None) -> DataFrame:
-        """The table, or an empty one; with ``below`` as it was before that batch."""
-        visible = [v for v in self.versions() if below is None or v.number < below]
-        fulls = [v for v in visible if v.kind == "full"]
-        last_full = fulls[-1].number if fulls else -1
-        deltas = [v for v in visible if v.kind == "delta" and v.number > last_full]
-        table = self._read(fulls[-1]) if fulls else None
+    def read(self) -> DataFrame:
+        """The table, or an empty one."""
+        full, _, deltas = self._state()
+        table = self._read(full) if full else None
         if deltas:
             news = self._latest(deltas)
             table = news if table is None else replace_by_id(table, news)
@@ -87,41 +111,57 @@ class ChunkStore:
         if len(deltas) == 1:
             return self._read(deltas[0])
         rows = None
-        for v in deltas:
-            part = self._read(v).withColumn("_v", F.lit(v.number))
+        for place, v in enumerate(deltas):
+            part = self._read(v).withColumn("_v", F.lit(place))
             rows = part if rows is None else rows.unionByName(part)
         return last_wins(rows, ["_v"]).drop("_v")
 
-    def upsert(self, batch: DataFrame, number: int) -> bool:
-        """Write batch ``number``, one row per id. False if there was nothing to do.
+    def holds(self, number: int, writer: str = DEFAULT_WRITER) -> bool:
+        """Whether this batch was written before."""
+        _, folded, deltas = self._state()
+        end = f"-{writer}-{number:012d}"
+        return any(v.writer == writer and v.batch == number for v in deltas) or any(n.endswith(end) for n in folded)
+
+    def upsert(self, batch: DataFrame, number: int, writer: str = DEFAULT_WRITER) -> bool:
+        """Write batch ``number`` of ``writer``, one row per id. False if there was nothing to do.
 
         An empty batch writes no version.
         """
-        version = Version("delta", number)
-        if version in self.versions():
+        if not _VERSION.match(f"delta-{0:012d}-{writer}-{0:012d}"):
+            raise ValueError("a writer's name is made of letters, digits, dots, underscores and hyphens")
+        if self.holds(number, writer):
             return False
-        rows = batch.select(*self.schema.fieldNames())
+        sequence = max((v.sequence for v in self._found()), default=-1) + 1
+        version = Version("delta", sequence, writer, number)
         path = f"{self.root}/{version.name}"
-        rows.write.mode("overwrite").parquet(path)
+        batch.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(path)
         if not self.spark.read.schema(self.schema).parquet(path).head(1):
             self._fs().delete(self._path(version.name), True)
             return False
         return True
 
     def compact(self) -> None:
-        """Write the current table as one full version."""
-        visible = self.versions()
-        if visible and visible[-1].kind == "delta":
-            full = Version("full", visible[-1].number)
-            self.read().write.mode("overwrite").parquet(f"{self.root}/{full.name}")
+        """Write the current table as one full version, with the names of all it holds."""
+        _, folded, deltas = self._state()
+        if not deltas:
+            return
+        table = self.read()
+        full = Version("full", max(v.sequence for v in self._found()) + 1)
+        table.write.mode("overwrite").parquet(f"{self.root}/{full.name}")
+        out = self._fs().create(self._path(f"{full.name}/_folded"), True)
+        try:
+            out.write(bytearray("\n".join(sorted(folded | {v.name for v in deltas})).encode()))
+        finally:
+            out.close()
 
     def expire(self, keep_fulls: int = 2) -> None:
-        """Delete versions older than the last ``keep_fulls`` full ones."""
+        """Delete full versions but the last ``keep_fulls``, and the deltas that all of those hold."""
         fulls = [v for v in self.versions() if v.kind == "full"]
         if len(fulls) > keep_fulls:
             oldest = fulls[-keep_fulls]
+            held = self._folded(oldest)
             for v in self.versions():
-                if (v.number, v.kind == "full") < (oldest.number, True):
+                if v.name in held or v in fulls[:-keep_fulls]:
                     self._fs().delete(self._path(v.name), True)
 
 

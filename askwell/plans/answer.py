@@ -12,8 +12,9 @@ from askwell.operators.retrieve import DEFAULT_K, nearest, with_chunks
 
 
 def prepare_questions(questions: DataFrame, text: str = "text") -> DataFrame:
-    """``(query_id, question)``: cleaned before both retrieval and prompt."""
-    return questions.select("query_id", clean_question(F.col(text)).alias("question"))
+    """``query_id``, ``question`` (cleaned before both retrieval and prompt) and the other columns."""
+    others = [c for c in questions.columns if c not in ("query_id", "question", text)]
+    return questions.select("query_id", clean_question(F.col(text)).alias("question"), *others)
 
 
 def answer_hits(
@@ -51,6 +52,9 @@ def answer_prompts(
     k: int = DEFAULT_K,
     system: Column | None = None,
 ) -> DataFrame:
-    """One prompt per question, ready for a language model."""
+    """One prompt per question, ready for a language model.
+
+    ``system`` may use any column of ``questions``, such as a configuration's ``system_prompt``.
+    """
     contexts = answer_contexts(chunks, questions, embedder, k)
     return build_prompts(prepare_questions(questions), contexts, system)

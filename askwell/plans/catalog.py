@@ -74,34 +74,57 @@ def _distinct_documents(spark, sf_dir):
     return last_wins(with_content_id(docs), ["source", "doc_id"])
 
 
+def _stored_documents(spark, sf_dir):
+    """The distinct documents with their vectors, written once and read back."""
+    path = scratch_path(spark, "documents")
+    bag_of_words()(spread(_distinct_documents(spark, sf_dir))).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query
 def sanitize_queries(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     return turns.select("conv_id", "turn", clean_question(F.col("text")).alias("question"))
 
 
+# What a page's address is turned into, by the rest of its number (fixed values).
+ODD_ADDRESSES = (
+    "http://LOCALHOST:8000/a", "http://user:pw@127.0.0.1/", "https://[::1]:9/x", "http://0.0.0.0", "no-host", "ftp://files.example.org/a.pdf",
+    "http://my_host.example.com/a", "http://a.example.com/q?x=a|b", "http://a b.example.com/{id}", "http://münchen.example.de/x.pdf", "HTTP://Upper.Example.com",
+)
+
+
+def _addressed_pages(spark, sf_dir):
+    """The pages, two thirds of them with an address that is odd, local or no address at all."""
+    n = len(ODD_ADDRESSES)
+    odd = F.element_at(F.array(*map(F.lit, ODD_ADDRESSES)), (F.col("page_id") % n + 1).cast("int"))
+    odd = F.concat(odd, F.when(odd.endswith("/a"), F.col("page_id").cast("string")).otherwise(""))
+    url = F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(odd)
+    return _table(spark, sf_dir, "pages").withColumn("url", url)
+
+
 @query
 def pages_per_host(spark, sf_dir):
-    hosts = _table(spark, sf_dir, "pages").select(url_host(F.col("url")).alias("host"))
+    hosts = _addressed_pages(spark, sf_dir).select(url_host(F.col("url")).alias("host"))
     return hosts.groupBy("host").agg(F.count("*").alias("pages"))
 
 
 @query
 def safe_pages(spark, sf_dir):
-    safe = pages.safe_pages(_table(spark, sf_dir, "pages"))
+    safe = pages.safe_pages(_addressed_pages(spark, sf_dir))
     return safe.select("page_id", url_host(F.col("url")).alias("host"))
 
 
 @query
 def url_scheme_check(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select(
+    return _addressed_pages(spark, sf_dir).select(
         "page_id", "url", has_http_scheme(F.col("url")).alias("accepted")
     )
 
 
 @query
 def route_by_suffix(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select(
+    return _addressed_pages(spark, sf_dir).select(
         "page_id", files.suffix_route(F.col("url")).alias("route")
     )
 
@@ -163,8 +186,9 @@ def retrieve_text_top5(spark, sf_dir):
 
 @query
 def retrieve_with_source(spark, sf_dir):
-    docs = _distinct_documents(spark, sf_dir)
-    hits = answer_hits(spread(docs), _questions(spark, sf_dir))
+    # Written once: the search and the lookup of the hits' sources read the same distinct rows.
+    docs = _stored_documents(spark, sf_dir)
+    hits = answer_hits(docs, _questions(spark, sf_dir))
     asked = _questions(spark, sf_dir).count()
     found = with_chunks(hits, docs, ["source", "doc_id"], at_most=asked * DEFAULT_K)
     return _hit_columns(found, "source", "doc_id")
@@ -352,7 +376,7 @@ def ingest_report_query(spark, sf_dir):
 @query
 def reject_report_query(spark, sf_dir):
     web, api, texts = (
-        _landed_pages(spark, sf_dir),
+        _addressed_pages(spark, sf_dir),
         _landed_responses(spark, sf_dir),
         _landed_files(spark, sf_dir),
     )
@@ -430,12 +454,8 @@ def question_stream(spark, sf_dir):
     out = scratch_path(spark, "answers")
     asked = spark.readStream.schema(schema).parquet(f"{sf_dir}/benchmark*.parquet")
     asked = asked.select(F.col("item_id").alias("query_id"), "text")
-    answer_stream(
-        asked,
-        lambda: spread(_distinct_documents(spark, sf_dir)),
-        out,
-        scratch_path(spark, "progress"),
-    ).awaitTermination()
+    stored = _stored_documents(spark, sf_dir)
+    answer_stream(asked, lambda: stored, out, scratch_path(spark, "progress")).awaitTermination()
     return _hit_columns(spark.read.parquet(out))
 
 
@@ -464,4 +484,27 @@ def build_context(spark, sf_dir):
 
 @query
 def build_prompts(spark, sf_dir):
-    return answer_prompts(_stored_chunks(spark, sf_dir), _questions(spark, sf_dir))
+    """Prompts, every second one with the system prompt of a configuration."""
+    stored = F.to_json(F.struct(F.concat(F.lit("Answer as bot "), "query_id", F.lit(".")).alias("system_prompt")))
+    asked = _questions(spark, sf_dir).withColumn("config", F.when(F.col("query_id") % 2 == 0, stored).otherwise("{}"))
+    asked = manifest.parse_configs(asked, "config").select("query_id", "text", "system_prompt")
+    return answer_prompts(_stored_chunks(spark, sf_dir), asked, system=F.col("system_prompt"))
+
+
+@query
+def refresh_two_streams(spark, sf_dir):
+    """Documents and pages as two streams, with their own progress, into one store."""
+    store = ChunkStore(spark, scratch_path(spark, "store"))
+    documents = spark.readStream.schema(_table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents*.parquet")
+    web = spark.readStream.schema(_table(spark, sf_dir, "pages").schema).parquet(f"{sf_dir}/pages*.parquet")
+
+    def rows(source, kind, position):
+        return lambda batch: with_content_id(batch.withColumnRenamed("text", "content")).select(
+            "chunk_id", "content", source.alias("source"), F.lit(kind).alias("type"), F.lit(0).alias("start_index"),
+            source.alias("source_pos"), F.col(position).alias("doc_pos"), F.lit(0).alias("chunk_no"),
+        )
+
+    refresh(documents, rows(F.col("source"), "file", "doc_id"), store, scratch_path(spark, "progress")).awaitTermination()
+    web = web.withColumnRenamed("html", "text")
+    refresh(web, rows(F.col("url"), "url", "page_id"), store, scratch_path(spark, "progress")).awaitTermination()
+    return store.read().select("chunk_id", "source", "type")

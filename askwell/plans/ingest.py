@@ -80,5 +80,5 @@ def ingest(
 
 
 def distinct_chunks(chunks: DataFrame) -> DataFrame:
-    """One row per text; the later source, row and chunk wins."""
-    return last_wins(chunks, list(POSITION)).drop(*POSITION)
+    """One row per text; the later source, row and chunk wins, at equal positions the larger source name."""
+    return last_wins(chunks, [*POSITION, "source", "start_index"]).drop(*POSITION)

@@ -11,12 +11,14 @@ FILE_SCHEMA = T.StructType([T.StructField("value", T.StringType())])
 
 def _named(files: DataFrame) -> DataFrame:
     return files.select(
-        F.col("_metadata.file_path").alias("source"), F.col("value").alias("raw")
+        F.col("_metadata.file_path").alias("source"),
+        F.col("value").alias("raw"),
+        F.unix_micros("_metadata.file_modification_time").alias("modified"),
     )
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(source, raw)`` for every file below ``path`` (glob or folder)."""
+    """``(source, raw, modified)`` for every file below ``path`` (glob or folder)."""
     reader = spark.read.format("text").schema(FILE_SCHEMA).option("wholetext", True)
     return _named(reader.option("recursiveFileLookup", True).load(path))
 
@@ -24,6 +26,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def stream_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """The same as a stream of newly arriving files."""
     reader = spark.readStream.format("text").schema(FILE_SCHEMA).option("wholetext", True)
+    reader = reader.option("recursiveFileLookup", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return _named(reader.load(path))

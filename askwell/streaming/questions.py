@@ -4,15 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from askwell.operators.embed import Embedder
 from askwell.operators.retrieve import DEFAULT_K
-from askwell.plans.answer import answer_hits
+from askwell.plans.answer import answer_hits, answer_prompts
 from askwell.streaming.refresh import with_interval
 
 
+def _per_batch(
+    questions: DataFrame,
+    snapshot: Callable[[], DataFrame],
+    answer: Callable[[DataFrame, DataFrame], DataFrame],
+    out: str,
+    checkpoint: str,
+    interval_minutes: int,
+) -> StreamingQuery:
+    def write(batch: DataFrame, number: int) -> None:
+        chunks = snapshot()
+        if "vector" not in chunks.columns:
+            raise ValueError("a stream is answered from stored vectors; embed the chunks when they are stored")
+        answer(chunks, batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = questions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return with_interval(writer, interval_minutes).start()
+
+
 def answer_stream(
     questions: DataFrame,
     snapshot: Callable[[], DataFrame],
@@ -25,12 +43,23 @@ def answer_stream(
     """Write the hits of each micro-batch of questions below ``out``.
 
     ``snapshot`` is called per batch, so answers follow the table as it is
-    refreshed. A batch overwrites its own folder, so a replay repeats nothing.
+    refreshed; it must bring the chunks' vectors, as the corpus is never embedded
+    here. A batch overwrites its own folder, so a replay repeats nothing.
     """
+    answer = lambda chunks, batch: answer_hits(chunks, batch, embedder, k)
+    return _per_batch(questions, snapshot, answer, out, checkpoint, interval_minutes)
 
-    def write(batch: DataFrame, number: int) -> None:
-        hits = answer_hits(snapshot(), batch, embedder, k)
-        hits.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    writer = questions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return with_interval(writer, interval_minutes).start()
+def prompt_stream(
+    questions: DataFrame,
+    snapshot: Callable[[], DataFrame],
+    out: str,
+    checkpoint: str,
+    embedder: Embedder | None = None,
+    k: int = DEFAULT_K,
+    system: Column | None = None,
+    interval_minutes: int = 0,
+) -> StreamingQuery:
+    """The same, with a prompt per question in place of its hits."""
+    answer = lambda chunks, batch: answer_prompts(chunks, batch, embedder, k, system)
+    return _per_batch(questions, snapshot, answer, out, checkpoint, interval_minutes)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from askwell.operators.embed import Embedder
+from askwell.operators.report import ingest_report
 from askwell.operators.store import ChunkStore
 from askwell.plans.ingest import distinct_chunks
 
+ToChunks = Callable[[DataFrame], DataFrame]
+
 
 def with_interval(writer: DataStreamWriter, interval_minutes: int) -> DataStreamWriter:
     """0 takes what has arrived and stops; n runs every n minutes."""
@@ -20,25 +26,102 @@ def with_interval(writer: DataStreamWriter, interval_minutes: int) -> DataStream
     return writer.trigger(processingTime=f"{interval_minutes} minutes")
 
 
+def with_vectors(chunks: DataFrame, stored: DataFrame, embedder: Embedder) -> DataFrame:
+    """Vectors for distinct chunks: those of known ids are taken from the table, only new ids are embedded."""
+    known = stored.where(F.col("embedder") == embedder.name).select("chunk_id", "vector", "embedder")
+    new = embedder(chunks.join(known.select("chunk_id"), "chunk_id", "left_anti"))
+    return chunks.join(known, "chunk_id").unionByName(new)
+
+
+def refresh_batch(
+    landed: DataFrame,
+    to_chunks: ToChunks,
+    store: ChunkStore,
+    number: int,
+    writer: str,
+    embedder: Embedder | None = None,
+    reports: str | None = None,
+    to_rejects: ToChunks | None = None,
+) -> bool:
+    """Chunk one batch, embed what is new and upsert it; write what was taken in and turned away.
+
+    Below ``reports``, each batch has its own folder of counts (``counts``, with ``ingested_at``) and of
+    rejected inputs (``rejects``); a batch that is written again replaces its own.
+    """
+    if store.holds(number, writer):
+        return False
+    rows = to_chunks(landed)
+    chunks = distinct_chunks(rows)
+    if embedder is not None:
+        chunks = with_vectors(chunks, store.read(), embedder)
+    if reports is not None:
+        own = f"writer={writer}/batch={number}"
+        counts = ingest_report(rows).withColumn("ingested_at", F.current_timestamp())
+        counts.write.mode("overwrite").parquet(f"{reports}/counts/{own}")
+        if to_rejects is not None:
+            to_rejects(landed).write.mode("overwrite").parquet(f"{reports}/rejects/{own}")
+    return store.upsert(chunks, number, writer)
+
+
 def refresh(
     landed: DataFrame,
-    to_chunks: Callable[[DataFrame], DataFrame],
+    to_chunks: ToChunks,
     store: ChunkStore,
     checkpoint: str,
     interval_minutes: int = 0,
     compact_every: int = 24,
+    embedder: Embedder | None = None,
+    reports: str | None = None,
+    to_rejects: ToChunks | None = None,
 ) -> StreamingQuery:
     """Chunk what arrives in ``landed`` and upsert it, batch by batch.
 
-    A batch is identified by its number, so one that is replayed after a failure
-    changes nothing. A failed batch fails the query and leaves the table as it was.
+    A batch is known by the stream's id, which its checkpoint keeps, and its number, so one that
+    is replayed after a failure changes nothing, and other streams, or a stream with a new
+    checkpoint, never meet its numbers. A failed batch fails the query and leaves the table as
+    it was; ``keep_running`` starts it again.
     """
+    started, own = threading.Event(), []
 
     def write(batch: DataFrame, number: int) -> None:
-        written = store.upsert(distinct_chunks(to_chunks(batch)), number)
+        started.wait()
+        args = (embedder, reports, to_rejects)
+        written = refresh_batch(batch, to_chunks, store, number, own[0], *args)
         if written and (number + 1) % compact_every == 0:
             store.compact()
             store.expire()
 
     writer = landed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return with_interval(writer, interval_minutes).start()
+    query = with_interval(writer, interval_minutes).start()
+    own.append(str(query.id))
+    started.set()
+    return query
+
+
+def refresh_all(
+    read: Callable[[], DataFrame], to_chunks: ToChunks, store: ChunkStore, writer: str, number: int, **how
+) -> bool:
+    """Read every source anew and upsert all of it: takes in sources that changed in place.
+
+    A file stream sees a path once; a run of this sees what stands there now. Chunks that are in the
+    table already keep their vectors.
+    """
+    return refresh_batch(read(), to_chunks, store, number, writer, **how)
+
+
+def keep_running(
+    run: Callable[[], object],
+    stop: threading.Event,
+    pause_seconds: float,
+    on_error: Callable[[Exception], None] = lambda error: None,
+) -> None:
+    """Run again and again until ``stop``; a run that fails is reported and followed by the next one.
+
+    ``run`` is a refresh that waits for its end (``refresh(...).awaitTermination`` or ``refresh_all``).
+    """
+    while not stop.is_set():
+        try:
+            run()
+        except Exception as error:  # noqa: BLE001  one failed run must not end the loop
+            on_error(error)
+        stop.wait(pause_seconds)

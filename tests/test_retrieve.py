@@ -66,7 +66,9 @@ def test_no_pairs_are_shuffled(spark):
     stored = spark.createDataFrame(texts(1, 20), "chunk_id string, content string")
     asked = spark.createDataFrame(texts(2, 3), "query_id string, text string")
     plan = answer_hits(stored, asked)._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan and "Cartesian" not in plan and plan.count("Exchange") == 1
+    # k hits per question and task go to the lanes, k per question and lane to the last ranking.
+    assert "Join" not in plan and "Cartesian" not in plan and plan.count("Exchange") == 2
+    assert plan.count("WindowGroupLimit") >= 2
 
 
 def test_embedders(spark):
@@ -98,3 +100,18 @@ def test_prompts(spark):
     assert prompts[1].rstrip().endswith("saying context not given/provided.")
     default = answer_prompts(stored, asked, system=F.lit("")).first().prompt
     assert default.startswith("You are a helpful AI assistant.")
+
+
+def test_dense_edge_cases(spark):
+    schema = "{} int, vector array<float>"
+    s = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [1.0, 0.0, 0.0, 1.0, 0.0]), (4, []), (5, None)], schema.format("chunk_id"))
+    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0])], schema.format("query_id"))
+    got = {(h.query_id, h.chunk_id): round(h.distance, 6) for h in nearest(s, q).collect()}
+    assert got == {(1, 1): 0.0, (2, 2): 1.0}
+    assert nearest(s, q.limit(0)).count() == 0 and nearest(s.limit(0), q).count() == 0
+
+
+def test_an_unnamed_embedder_is_refused(spark):
+    stored = spark.createDataFrame([("a", None)], "chunk_id string, embedder string")
+    with pytest.raises(ValueError):
+        check_same_embedder(stored, bag_of_words())

@@ -79,38 +79,30 @@ def test_float_text_is_python_text(spark, x):
     assert one(spark, float_text, x, "double") == str(x)
 
 
-def leaves_by_hand(data, path=""):
-    if isinstance(data, dict):
-        for key, value in data.items():
-            yield from leaves_by_hand(value, f"{path} > {key}" if path else key)
-    elif isinstance(data, list):
-        for value in data:
-            yield from leaves_by_hand(value, path)
-    elif data is not None and str(data).strip():
-        yield f"{path}: {str(data).strip()}"
-
-
-BODIES = [
-    '{"b":{"c":[1,{"d":"z"}]},"a":"y"}',
-    '"x"',
-    '{"a":null,"b":"  ","c":[],"d":true,"e":1.0}',
-    '{"":{"k":1}}',
-    '{"p":{"":"v"}}',
-    '{"a":1,"a":2,"f":1e20,"g":1e-7,"h":123456789012345678901,"i":0.1234567890123456789,"j":1.10}',
-    "[[[]],[{}], {}]",
-    "[0]",
-    '{"a":{"b":[[1,[2,{"c":[false,"\\"{[ x"]}]]]}}',
-    "[" * 30 + "7" + "]" * 30,
-]
+# Bodies with the leaves that are expected of them.
+LEAVES = {
+    '{"b":{"c":[1,{"d":"z"}]},"a":"y"}': ["b > c: 1", "b > c > d: z", "a: y"],
+    '"x"': [": x"],
+    '{"a":null,"b":"  ","c":[],"d":true,"e":1.0}': ["d: True", "e: 1.0"],
+    '{"":{"k":1}}': ["k: 1"],
+    '{"p":{"":"v"}}': ["p > : v"],
+    '{"a":1,"a":2,"f":1e20,"g":1e-7,"h":123456789012345678901,"i":0.1234567890123456789,"j":1.10}': [
+        "a: 2", "f: 1e+20", "g: 1e-07", "h: 123456789012345678901", "i: 0.12345678901234568", "j: 1.1",
+    ],
+    "[[[]],[{}], {}]": [],
+    "[0]": [": 0"],
+    '{"a":{"b":[[1,[2,{"c":[false,"\\"{[ x"]}]]]}}': ["a > b: 1", "a > b: 2", "a > b > c: False", 'a > b > c: "{[ x'],
+    "[" * 30 + "7" + "]" * 30: [": 7"],
+}
 EMPTY = ["{}", "[]", "0", "0.0", "false", '""', "null", "bad", ""]
 
 
 def test_leaf_documents(spark):
-    bodies = BODIES + EMPTY
+    bodies = [*LEAVES, *EMPTY]
     rows = [(i, "u", 200, b) for i, b in enumerate(bodies)] + [(99, "u", 404, '{"a":1}')]
     landed = spark.createDataFrame(rows, "id int, url string, status int, body string")
     got = sorted((r.id, r.content) for r in responses.leaf_documents(landed).collect())
-    want = [(i, x) for i, b in enumerate(BODIES) for x in leaves_by_hand(json.loads(b))]
+    want = [(i, x) for i, leaves in enumerate(LEAVES.values()) for x in leaves]
     assert got == sorted(want)
 
 

@@ -1,15 +1,21 @@
+import threading
+
 import pytest
+from pyspark.sql import functions as F
 
 from askwell.operators.store import ChunkStore
-from askwell.plans.answer import answer_hits
+from askwell.plans.answer import answer_hits, answer_prompts
 from askwell.plans.ingest import distinct_chunks, file_chunks
 from askwell.sources.files import read_files, stream_files
-from askwell.streaming.questions import answer_stream
-from askwell.streaming.refresh import refresh, with_interval
+from askwell.streaming.questions import answer_stream, prompt_stream
+from askwell.operators.embed import TERM_VECTOR, Embedder, bag_of_words, embedded_schema
+from askwell.operators.store import CHUNK_SCHEMA
+from askwell.sources.files import reject_reason
+from askwell.streaming.refresh import keep_running, refresh, refresh_all, with_interval
 
 
 def to_chunks(batch):
-    return file_chunks(batch.selectExpr("source", "raw", "0 source_pos", "0 doc_pos"))
+    return file_chunks(batch.selectExpr("source", "raw", "0 source_pos", "modified doc_pos"))
 
 
 def contents(df):
@@ -67,7 +73,8 @@ def test_interval():
 
 
 def test_streamed_answers_equal_batch_answers(spark, tmp_path):
-    chunks = spark.createDataFrame([("a", "red sky"), ("b", "blue sea")], "chunk_id string, content string")
+    plain = spark.createDataFrame([("a", "red sky"), ("b", "blue sea")], "chunk_id string, content string")
+    chunks = bag_of_words()(plain)
     schema = "query_id bigint, text string"
     for i, question in enumerate(["red", "sea and sky"]):
         spark.createDataFrame([(i, question)], schema).write.parquet(f"{tmp_path}/asked/{i}")
@@ -77,3 +84,66 @@ def test_streamed_answers_equal_batch_answers(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out").select(columns).collect()
     want = answer_hits(chunks, spark.read.schema(schema).parquet(f"{tmp_path}/asked/*")).select(columns)
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
+    prompt_stream(stream, lambda: chunks, f"{tmp_path}/prompts", f"{tmp_path}/progress-2").awaitTermination()
+    asked = spark.read.schema(schema).parquet(f"{tmp_path}/asked/*")
+    prompts = {r.query_id: r.prompt for r in spark.read.parquet(f"{tmp_path}/prompts").collect()}
+    assert prompts == {r.query_id: r.prompt for r in answer_prompts(chunks, asked).collect()}
+    with pytest.raises(Exception, match="stored vectors"):
+        answer_stream(stream, lambda: plain, f"{tmp_path}/none", f"{tmp_path}/progress-3").awaitTermination()
+
+
+def test_streams_and_new_checkpoints_share_a_store(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    for name, progress in (("one", "p1"), ("two", "p2"), ("three", "p1-new")):
+        folder = tmp_path / name / "nested"
+        folder.mkdir(parents=True)
+        (folder / "a.txt").write_text(f"text of {name}")
+        refresh(stream_files(spark, str(tmp_path / name)), to_chunks, store, str(tmp_path / progress)).awaitTermination()
+    assert contents(store.read()) == {"text of one", "text of two", "text of three"}
+
+
+def test_only_new_chunks_are_embedded(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"), embedded_schema(CHUNK_SCHEMA, TERM_VECTOR))
+    seen, words = [], bag_of_words()
+
+    def embed(df, text):
+        seen.append(sorted(r[text] for r in df.collect()))
+        return words.embed(df, text)
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("red sky")
+    (tmp_path / "in" / "b.pdf").write_bytes(b"%PDF")
+    (tmp_path / "in" / "c.txt").write_bytes(b"\xff")
+    rejected = lambda b: b.select("source", reject_reason(F.col("source"), F.col("raw")).alias("reason")).where("reason IS NOT NULL")
+    how = {"embedder": Embedder("words", embed), "reports": str(tmp_path / "reports"), "to_rejects": rejected}
+    read = lambda: read_files(spark, str(tmp_path / "in"))
+    assert refresh_all(read, to_chunks, store, "nightly", 0, **how)
+    (tmp_path / "in" / "d.txt").write_text("red sky")  # known text, from another file
+    (tmp_path / "in" / "a.txt").write_text("blue sea")  # changed in place
+    assert refresh_all(read, to_chunks, store, "nightly", 1, **how)
+    assert seen == [["red sky"], ["blue sea"]]
+    table = {r.content: (r.source.rsplit("/", 1)[1], r.embedder, len(r.vector)) for r in store.read().collect()}
+    assert table == {"red sky": ("d.txt", "words", 2), "blue sea": ("a.txt", "words", 2)}
+    rejects = spark.read.parquet(how["reports"] + "/rejects")
+    assert {(r.batch, r.reason) for r in rejects.collect()} == {(b, w) for b in (0, 1) for w in ("pdf", "not utf-8")}
+    counts = spark.read.parquet(how["reports"] + "/counts")
+    assert counts.where("batch = 1").agg(F.sum("chunks")).first()[0] == 2 and counts.where("ingested_at IS NULL").count() == 0
+
+
+def test_a_failed_run_is_followed_by_the_next():
+    runs, errors, stop = [], [], threading.Event()
+
+    def run():
+        runs.append(1)
+        if len(runs) == 1:
+            raise RuntimeError("source is down")
+        stop.set()
+
+    keep_running(run, stop, 0.01, errors.append)
+    assert len(runs) == 2 and len(errors) == 1
+
+
+def test_equal_texts_have_a_defined_winner(spark):
+    rows = spark.createDataFrame([("b", "same"), ("a", "same"), ("c", "same")], "source string, raw string")
+    got = distinct_chunks(file_chunks(rows.selectExpr("source", "raw", "0 source_pos", "0 doc_pos"))).collect()
+    assert [r.source for r in got] == ["c"]
