@@ -32,7 +32,7 @@ from askwell.llm.common import documents, slices, text_bytes, written
 
 ORDER = 5
 QUANTILE = 0.995
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 START = 255  # never a byte of UTF-8
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -86,6 +86,32 @@ class Lookup:
         return out
 
 
+_CODEC = pa.Codec("zstd", compression_level=3)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for the shuffle: two thirds of what a shuffle makes of them itself."""
+    for batch in slices(batches):
+        data, at = text_bytes(batch.column("text"))
+        raw = data.tobytes()
+        packed = [_CODEC.compress(raw[a:b], asbytes=True) if b > a else b"" for a, b in zip(at.tolist(), at[1:].tolist())]
+        rows = [*batch.columns[:-1], pa.array(np.diff(at)), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(rows, [*batch.schema.names[:-1], "n_bytes", "packed"])
+
+
+def _unpacked(packed, sizes, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and places of the texts, about ``most`` bytes at a time."""
+    held, at = [], [0]
+    for raw, n in zip(packed, sizes):
+        held.append(_CODEC.decompress(raw, int(n), asbytes=True) if n else b"")
+        at.append(at[-1] + int(n))
+        if at[-1] >= most:
+            yield np.frombuffer(b"".join(held), np.uint8), np.array(at)
+            held, at = [], [0]
+    if held:
+        yield np.frombuffer(b"".join(held), np.uint8), np.array(at)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         grams, n = np.unique(gram_keys(*text_bytes(batch.column("text"))), return_counts=True)
@@ -95,12 +121,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct n-grams of each block; all of a block's rows are in one task."""
     held: dict[int, np.ndarray] = {}
-    for batch in slices(batches):
+    for batch in batches:
         blocks = batch.column("block").to_numpy(zero_copy_only=False)
         for block in np.unique(blocks).tolist():
-            own = batch.filter(pa.array(blocks == block)) if len(blocks) > 1 else batch
-            grams = np.unique(gram_keys(*text_bytes(own.column("text"))))
-            held[block] = np.union1d(held[block], grams) if block in held else grams
+            own = batch.filter(pa.array(blocks == block))
+            for data, at in _unpacked(own.column("packed").to_pylist(), own.column("n_bytes").to_numpy()):
+                grams = np.unique(gram_keys(data, at))
+                held[block] = np.union1d(held[block], grams) if block in held else grams
     for block, grams in held.items():
         for i in range(0, len(grams), 100_000):
             part = grams[i : i + 100_000]
@@ -160,16 +187,13 @@ def probabilities(grams: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]
 def _scored(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
     """Mean negative log probability of a byte of each text of a block."""
     table = table[table["gram"].notna()]
-    known, cost = Lookup(table["gram"].to_numpy(np.int64)), -np.log(table["p"].to_numpy(float))
-    sizes, totals = [], []
-    batch = pa.RecordBatch.from_arrays([pa.array(docs["text"], pa.string())], ["text"])
-    for part in slices(iter([batch])):
-        data, at = text_bytes(part.column("text"))
+    known, cost = Lookup(table["gram"].to_numpy(np.int64)), -table["p"].to_numpy(float)
+    totals = []
+    for data, at in _unpacked(docs["packed"], docs["n_bytes"]):
         keys = gram_keys(data, at)
         costs = cost[known.rows(keys)] if len(keys) else np.zeros(0)
         totals.append(np.diff(np.concatenate([[0], np.cumsum(costs)])[at]))
-        sizes.append(np.diff(at))
-    n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    n = docs["n_bytes"].to_numpy()
     with np.errstate(invalid="ignore", divide="ignore"):
         mean = (np.concatenate(totals) if totals else np.zeros(0)) / n
     return pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "lang": docs["lang"].to_numpy(), "n_bytes": n, "nll": mean})
@@ -178,17 +202,19 @@ def _scored(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
 def perplexities(docs: DataFrame, trusted_ids: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, lang, n_bytes, nll (mean negative log probability of a byte), trusted."""
     plain = documents(docs, "doc_id", "text", "lang").withColumn("lang", F.col("lang").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long"))
-    # A small table of ids is broadcast by Spark's own threshold; a larger one is joined by shuffle.
-    trust = written(trusted_ids.select(F.col("doc_id").cast("long").alias("t_id")).where("t_id IS NOT NULL").distinct(), "trusted")
+    trust = trusted_ids.select(F.col("doc_id").cast("long").alias("t_id")).where("t_id IS NOT NULL")
+    # Spark's own Bloom filter keeps texts that aren't trusted out of this join's shuffle.
+    docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1b")
     model = language_model(plain.join(trust, F.col("doc_id") == F.col("t_id"), "left_semi").select("text"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    dealt = plain.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks))).repartition(blocks, "block")
+    keyed = plain.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).alias("block"), "text")
+    dealt = keyed.mapInArrow(_pack, "doc_id long, lang string, block long, n_bytes long, packed binary").repartition(blocks, "block")
     grams = dealt.mapInArrow(_block_grams, "block long, gram long")
     known = probabilities(grams.select("gram").distinct(), model)
-    table = grams.join(known, "gram").select("block", "gram", "p")
+    table = grams.join(known, "gram").select("block", "gram", F.log("p").cast("float").alias("p"))
     out = dealt.groupBy("block").cogroup(table.groupBy("block")).applyInPandas(_scored, "doc_id long, lang string, n_bytes long, nll double")
-    out = out.join(trust, F.col("doc_id") == F.col("t_id"), "left")
+    out = out.join(trust.distinct(), F.col("doc_id") == F.col("t_id"), "left")
     return out.select("doc_id", "lang", "n_bytes", "nll", F.col("t_id").isNotNull().alias("trusted"))
 
 
