@@ -8,26 +8,13 @@ from pyspark.sql import functions as F
 from askwell.functions.numbers import float_text
 from askwell.functions.text import quoted, strip
 from askwell.plans.shape import drop_null
+from askwell.session import materialized
 
 SEPARATOR = " > "
 
 
-def nesting_depth(column: str) -> Column:
-    """How deeply objects and lists are nested in a JSON text."""
-    no_escapes = rf"regexp_replace({quoted(column)}, r'\\.', '')"
-    no_strings = f"""regexp_replace({no_escapes}, r'"[^"]*"', '')"""
-    brackets = rf"split(regexp_replace({no_strings}, r'[^\[\]{{}}]+', ''), '')"
-    step = "named_struct('now', s.now + d, 'most', greatest(s.most, s.now + d))"
-    delta = "transform({0}, c -> case when c in ('{{', '[') then 1 when c = '' then 0 else -1 end)"
-    return F.expr(
-        f"aggregate({delta.format(brackets)}, named_struct('now', 0, 'most', 0),"
-        f" (s, d) -> {step}, s -> s.most)"
-    )
-
-
-def levels_needed(df: DataFrame, body: str) -> int:
-    """Deepest nesting in the data: one aggregate over one column, one number back."""
-    return df.select(F.max(nesting_depth(body)).alias("levels")).first()["levels"] or 0
+# Nesting levels that one pass opens; what lies deeper goes to another pass.
+LEVELS_PER_PASS = 8
 
 
 def _leaf_text(node: Column, kind: Column) -> Column:
@@ -47,22 +34,40 @@ def _leaf_text(node: Column, kind: Column) -> Column:
     )
 
 
-def flatten_json(df: DataFrame, body: str, levels: int | None = None) -> DataFrame:
-    """Replace a JSON text column by one row per leaf: ``path``, ``content``, ``too_deep``.
+def all_leaves(df: DataFrame, body: str, levels: int = LEVELS_PER_PASS) -> DataFrame:
+    """Replace a JSON text column by one row per leaf: ``path``, ``content``; however deep it lies.
 
-    Every level is one generator over the rows of the level above, so the whole
-    operator is a single narrow pass; a leaf that is already reached passes
-    through. Without ``levels`` the depth is read from the data first. With fewer
-    levels than the data needs, the unopened rest comes back as rows with
-    ``too_deep`` set and the rest's JSON as content, for a reject table.
+    A pass opens ``levels`` levels and is written to the shared folder; what it didn't open is the
+    input of the next one, until nothing is left. So one deep body costs passes over that body
+    alone, and unreadable text, however many brackets it holds, costs nothing.
+    """
+    if levels < 1:
+        raise ValueError("a pass must open a level at least")
+    keep = [c for c in df.columns if c != body]
+    todo, done = df.withColumn("_prefix", F.lit("")), None
+    while True:
+        flat = materialized(flatten_json(todo, body, levels, "_prefix"), "leaves")
+        leaves = flat.where(~F.col("too_deep")).select(*keep, "path", "content")
+        done = leaves if done is None else done.unionByName(leaves)
+        deeper = flat.where("too_deep")
+        if deeper.isEmpty():
+            return done
+        rest = F.expr("substring(content, length(path) + 3)").alias(body)
+        todo = deeper.select(*keep, rest, F.col("path").alias("_prefix"))
+
+
+def flatten_json(df: DataFrame, body: str, levels: int = LEVELS_PER_PASS, prefix: str | None = None) -> DataFrame:
+    """One pass: one row per leaf within ``levels`` levels: ``path``, ``content``, ``too_deep``.
+
+    Every level is one generator over the rows of the level above, so the whole pass is narrow; a
+    leaf that is already reached passes through. The unopened rest comes back as rows with
+    ``too_deep`` set and the rest's JSON as content. ``prefix`` names a column with the path above.
     Unreadable bodies give no rows.
     """
-    if levels is None:
-        levels = levels_needed(df, body)
     explode = df.sparkSession.tvf.variant_explode_outer
-    keep = [c for c in df.columns if c != body]
+    keep = [c for c in df.columns if c not in (body, prefix)]
     node, path = F.col("_node"), F.col("path")
-    rows = df.select(*keep, F.try_parse_json(F.col(body)).alias("_node"), F.lit("").alias("path"))
+    rows = df.select(*keep, F.try_parse_json(F.col(body)).alias("_node"), (F.col(prefix) if prefix else F.lit("")).alias("path"))
     for _ in range(levels):
         child = F.when(path == "", F.col("key")).otherwise(
             F.concat(path, F.lit(SEPARATOR), F.col("key"))

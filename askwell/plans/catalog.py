@@ -20,7 +20,7 @@ from askwell.operators.embed import (
     hashed_words,
     term_counts,
 )
-from askwell.operators.flatten import flatten_json
+from askwell.operators.flatten import all_leaves
 from askwell.operators.report import ingest_report, reject_report, rejects
 from askwell.operators.retrieve import DEFAULT_K, nearest, with_chunks
 from askwell.operators.store import CHUNK_SCHEMA, ChunkStore, replace_by_id
@@ -296,8 +296,8 @@ def json_flatten(spark, sf_dir):
             F.array(F.array("event_id", "user_id"), F.array("event_id")).alias("ids"),
         )
     )
-    flat = flatten_json(events.select("event_id", payload.alias("body")), "body")
-    return flat.where(~F.col("too_deep")).select("event_id", "path", "content")
+    flat = all_leaves(events.select("event_id", payload.alias("body")), "body")
+    return flat.select("event_id", "path", "content")
 
 
 @query
@@ -388,6 +388,43 @@ def reject_report_query(spark, sf_dir):
     )
 
 
+def _manifest_configs(spark, sf_dir):
+    """One configuration per page, some with a bad address, a bad port or no name."""
+    web = F.struct(F.lit("static_url").alias("type"), F.col("url").alias("target"))
+    api = F.struct(F.lit("dynamic_json").alias("type"), F.concat(F.lit("https://api.example.com/users/"), F.col("page_id")).alias("target"))
+    suffix = F.when(F.col("page_id") % 5 == 0, ".pdf").otherwise(".txt")
+    file = F.struct(F.lit("local_file").alias("type"), F.concat(F.col("page_id").cast("string"), suffix).alias("target"))
+    name = F.when(F.col("page_id") % 11 == 0, "").otherwise(F.concat(F.lit("bot-"), "page_id"))
+    port = F.when(F.col("page_id") % 13 == 0, 80).otherwise(9000)
+    text = F.to_json(F.struct(name.alias("bot_name"), port.alias("port"), F.array(web, api, file).alias("sources")))
+    rows = _addressed_pages(spark, sf_dir).select("page_id", text.alias("config"))
+    return manifest.parse_configs(rows, "config")
+
+
+def _manifest_run(spark, sf_dir):
+    pages_ = _addressed_pages(spark, sf_dir).select("url", "html", F.col("page_id").alias("doc_pos"))
+    answers = _landed_responses(spark, sf_dir).drop("source_pos")
+    texts = _table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(
+        F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ".pdf").otherwise(".txt")).alias("source"),
+        F.col("text").alias("raw"), F.col("doc_id").alias("doc_pos"),
+    )
+    return plan.ingest_manifest(_manifest_configs(spark, sf_dir), pages_, answers, texts)
+
+
+@query
+def ingest_manifest(spark, sf_dir):
+    """What configurations list, out of all that has landed."""
+    chunks, _ = _manifest_run(spark, sf_dir)
+    return plan.distinct_chunks(chunks).select("chunk_id", "source", "type", "start_index", F.char_length("content").alias("n_chars"))
+
+
+@query
+def ingest_manifest_rejects(spark, sf_dir):
+    """And what it turned away, counted by type and reason."""
+    _, turned_away = _manifest_run(spark, sf_dir)
+    return reject_report(turned_away)
+
+
 # --- store and streams
 
 

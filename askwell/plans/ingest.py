@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askwell.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, chunk_texts
+from askwell.operators.flatten import LEVELS_PER_PASS
 from askwell.operators.dedup import last_wins, with_content_id
+from askwell.functions.text import has_http_scheme, is_safe_url
+from askwell.operators.report import rejects
 from askwell.sources.files import file_documents
+from askwell.sources.files import reject_reason as file_problem
+from askwell.sources.manifest import FILE_TYPE, URL_TYPES, bad_scheme, config_problem, missing_targets, source_manifest
 from askwell.sources.pages import page_documents
 from askwell.sources.responses import leaf_documents
+from askwell.sources.responses import reject_reason as response_problem
 
 # Where a chunk stood in the run: source, row of the source, chunk of the row.
 POSITION = ("source_pos", "doc_pos", "chunk_no")
@@ -39,7 +45,7 @@ def file_chunks(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
     return _chunk_rows(chunk_texts(file_documents(files), "text", size, overlap))
 
 
-def leaf_chunks(responses: DataFrame, levels: int | None = None) -> DataFrame:
+def leaf_chunks(responses: DataFrame, levels: int = LEVELS_PER_PASS) -> DataFrame:
     """``responses``: url, status, body, source_pos, doc_pos. Leaves are not cut.
 
     Leaves with equal text in one response differ in nothing, so they need no
@@ -61,7 +67,7 @@ def ingest(
     pages: DataFrame | None = None,
     responses: DataFrame | None = None,
     files: DataFrame | None = None,
-    levels: int | None = None,
+    levels: int = LEVELS_PER_PASS,
 ) -> DataFrame:
     """Chunk rows of all inputs, repeated texts still in."""
     parts = []
@@ -82,3 +88,34 @@ def ingest(
 def distinct_chunks(chunks: DataFrame) -> DataFrame:
     """One row per text; the later source, row and chunk wins, at equal positions the larger source name."""
     return last_wins(chunks, [*POSITION, "source", "start_index"]).drop(*POSITION)
+
+
+def ingest_manifest(
+    configs: DataFrame, pages: DataFrame, responses: DataFrame, files: DataFrame, levels: int = LEVELS_PER_PASS
+) -> tuple[DataFrame, DataFrame]:
+    """Chunk rows of what the configurations list, and the rejects ``(source, type, reason)``.
+
+    ``pages``: url, html, doc_pos; ``responses``: url, status, body, doc_pos; ``files``: source, raw,
+    doc_pos. An unusable configuration lists nothing. Its rejects name the configuration, as do those
+    of addresses that aren't http(s) and of files that haven't landed name the target.
+    """
+    marked = configs.withColumn("_problem", config_problem(configs))
+    bad = marked.where("_problem IS NOT NULL").select(F.col("bot_name").alias("source"), F.lit("config").alias("type"), F.col("_problem").alias("reason"))
+    wanted = source_manifest(marked.where("_problem IS NULL").drop("_problem"))
+    schemes = bad_scheme(wanted).select(F.col("target").alias("source"), F.col("type").alias("type"), F.lit("bad scheme").alias("reason"))
+    missing = missing_targets(wanted, files, "source").select(F.col("target").alias("source"), F.lit("file").alias("type"), F.lit("missing").alias("reason"))
+    usable = wanted.where(~F.col("type").isin(*URL_TYPES) | has_http_scheme(F.col("target")))
+    web = listed(pages, usable, "static_url", "url")
+    api = listed(responses, usable, "dynamic_json", "url")
+    texts = listed(files, usable, FILE_TYPE, "source")
+    unsafe = F.when(~is_safe_url(F.col("url")), F.lit("unsafe host"))
+    parts = [
+        bad, schemes, missing,
+        rejects(web, F.col("url"), "url", unsafe),
+        rejects(api, F.col("url"), "json", response_problem(F.col("status"), F.col("body"))),
+        rejects(texts, F.col("source"), "file", file_problem(F.col("source"), F.col("raw"))),
+    ]
+    turned_away = parts[0]
+    for part in parts[1:]:
+        turned_away = turned_away.unionByName(part)
+    return ingest(web, api, texts, levels), turned_away

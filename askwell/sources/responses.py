@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askwell.operators.flatten import flatten_json
+from askwell.operators.flatten import LEVELS_PER_PASS, all_leaves
 
 AUTH_STATUSES = (401, 403)
 # Bodies that count as "nothing there" although a leaf could be read from them.
@@ -26,16 +26,17 @@ def reject_reason(status: Column, body: Column) -> Column:
     return F.when(routed != "ok", routed).when(unreadable, F.lit("unreadable"))
 
 
-def leaf_documents(responses: DataFrame, levels: int | None = None) -> DataFrame:
+def leaf_documents(responses: DataFrame, levels: int = LEVELS_PER_PASS) -> DataFrame:
     """One ``(source, type, content)`` row per leaf of every usable response.
 
     Columns other than ``url``, ``status`` and ``body`` are kept. Leaves are not
-    cut, however long they are.
+    cut, however long they are, nor left out, however deep they lie; ``levels`` is how many one
+    pass opens.
     """
     keep = [c for c in responses.columns if c not in ("url", "status", "body")]
     usable = responses.where((F.col("status") == 200) & ~F.col("body").rlike(EMPTY_SCALAR))
-    leaves = flatten_json(usable.select(*keep, "url", "body"), "body", levels)
-    return leaves.where(~F.col("too_deep")).select(
+    leaves = all_leaves(usable.select(*keep, "url", "body"), "body", levels)
+    return leaves.select(
         *keep,
         F.col("url").alias("source"),
         F.lit("json").alias("type"),

@@ -257,6 +257,17 @@ ingested AS (
   SELECT md5(content), {DOC_PATH}, 'file', start_index, content, 2, doc_id, chunk_no
   FROM f_chunks JOIN documents ON doc_id = id)"""
 
+LISTED = """
+configs AS (
+  SELECT page_id, url, page_id || CASE WHEN page_id % 5 = 0 THEN '.pdf' ELSE '.txt' END AS file,
+         'https://api.example.com/users/' || page_id AS api,
+         CASE WHEN page_id % 11 = 0 THEN 'bot_name' WHEN page_id % 13 = 0 THEN 'port' END AS problem FROM addressed),
+good AS (SELECT * FROM configs WHERE problem IS NULL),
+http AS (SELECT url FROM good WHERE url LIKE 'http://%' OR url LIKE 'https://%'),
+texts AS (
+  SELECT doc_id, doc_id || CASE WHEN doc_id % 5 = 0 THEN '.pdf' ELSE '.txt' END AS file
+  FROM documents WHERE doc_id % 3 <> 0)"""
+
 DOC_CHUNKS = f"""
 {chunk_ctes('SELECT doc_id AS id, text FROM documents')},
 stored AS (
@@ -371,6 +382,35 @@ rejected AS (
   UNION ALL
   SELECT 'file', 'pdf' FROM documents WHERE {DOC_PATH} LIKE '%.pdf')
 SELECT type, reason, count(*) AS rejected FROM rejected GROUP BY 1, 2""",
+    "ingest_manifest_rejects": f"""
+WITH {RESPONSES}, {ADDRESSED}, {LISTED},
+rejected AS (
+  SELECT 'config' AS type, problem AS reason FROM configs WHERE problem IS NOT NULL
+  UNION ALL SELECT 'static_url', 'bad scheme' FROM good WHERE url NOT IN (SELECT url FROM http)
+  UNION ALL SELECT 'file', 'missing' FROM good WHERE file NOT IN (SELECT file FROM texts)
+  UNION ALL SELECT 'url', 'unsafe host' FROM addressed WHERE url IN (SELECT url FROM http) AND NOT {SAFE}
+  UNION ALL SELECT 'json', {ROUTE} FROM landed WHERE status <> 200 AND url IN (SELECT api FROM good)
+  UNION ALL SELECT 'json', 'unreadable' FROM landed WHERE status = 200 AND NOT json_valid(props) AND url IN (SELECT api FROM good)
+  UNION ALL SELECT 'file', 'pdf' FROM texts WHERE file LIKE '%.pdf' AND file IN (SELECT file FROM good))
+SELECT type, reason, count(*) AS rejected FROM rejected GROUP BY 1, 2""",
+    "ingest_manifest": f"""
+WITH RECURSIVE {PAGE_BLOCKS},
+{chunk_ctes(PAGE_TEXT, 'w_')},
+{RESPONSES}, {ADDRESSED}, {LISTED},
+{LEAVES},
+{chunk_ctes('SELECT doc_id AS id, text FROM documents', 'f_')},
+ingested AS (
+  SELECT md5(content) AS chunk_id, url AS source, 'url' AS type, start_index, content,
+         0 AS source_pos, page_id AS doc_pos, chunk_no
+  FROM w_chunks JOIN addressed ON page_id = id WHERE url IN (SELECT url FROM http) AND {SAFE}
+  UNION ALL
+  SELECT md5(content), source, type, NULL::INTEGER, content, 1, event_id, 0 FROM leaves WHERE source IN (SELECT api FROM good)
+  UNION ALL
+  SELECT md5(content), file, 'file', start_index, content, 2, doc_id, chunk_no
+  FROM f_chunks JOIN texts ON doc_id = id WHERE file NOT LIKE '%.pdf' AND file IN (SELECT file FROM good))
+SELECT chunk_id, source, type, start_index, length(content)::INTEGER AS n_chars FROM ingested
+QUALIFY row_number() OVER (
+  PARTITION BY chunk_id ORDER BY source_pos DESC, doc_pos DESC, chunk_no DESC) = 1""",
     "upsert_two_batches": f"WITH {DISTINCT_DOCS}, {LABELLED} {UPSERTED.format(more=', doc_id')}",
     "store_two_batches": f"WITH {DISTINCT_DOCS}, {LABELLED} {UPSERTED.format(more='')}",
     "refresh_stream": f"WITH {DISTINCT_DOCS} SELECT chunk_id, source FROM docs",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from askwell.functions.numbers import float_text
 from askwell.functions.text import clean_question, has_http_scheme, is_safe_url, strip, url_host
-from askwell.operators.flatten import flatten_json, levels_needed
+from askwell.operators.flatten import all_leaves, flatten_json
 from askwell.sources import files, manifest, pages, responses
 
 
@@ -106,13 +106,35 @@ def test_leaf_documents(spark):
     assert got == sorted(want)
 
 
-def test_levels_too_few_are_reported_not_lost(spark):
+@pytest.mark.parametrize("levels", [1, 2, 8])
+def test_no_leaf_is_lost_to_the_levels_of_a_pass(spark, levels):
+    deep = '{"k":' * 200 + "7" + "}" * 200
+    rows = [(1, '{"a":{"b":[1,{"c":" x "}]},"c":2}'), (2, "[" * 300), (3, "{" * 300 + "}" * 299)]
+    if levels == 8:
+        rows.append((4, deep))
+    got = {(r.id, r.content) for r in all_leaves(spark.createDataFrame(rows, "id int, body string"), "body", levels).collect()}
+    want = {(1, "a > b: 1"), (1, "a > b > c: x"), (1, "c: 2")}
+    assert got == want | ({(4, " > ".join(["k"] * 200) + ": 7")} if levels == 8 else set())
+
+
+def test_one_pass_marks_the_rest(spark):
     rows = spark.createDataFrame([('{"a":{"b":[1]},"c":2}',)], "body string")
-    assert levels_needed(rows, "body") == 3
     got = {(r.content, r.too_deep) for r in flatten_json(rows, "body", 1).collect()}
     assert got == {('a: {"b":[1]}', True), ("c: 2", False)}
 
 
+@pytest.mark.parametrize(
+    ("url", "host"),
+    [
+        ("http://my_host.example.com/a", "my_host.example.com"), ("http://a.example.com/q?x=a|b", "a.example.com"), ("http://a b.example.com/{id}", "a b.example.com"),
+        ("http://münchen.de/x", "münchen.de"), ("http://user:p@w@Host.example.com:80/x@y", "host.example.com"), ("http://[::1]:8/", "::1"), ("no-host", None), ("http://", None),
+        ("https://u@[FE80::2]/", "fe80::2"), ("http://host?q", "host"), ("ftp://files.example.org", "files.example.org"),
+    ],
+)
+def test_host_is_read_from_the_text(spark, url, host):
+    assert one(spark, url_host, url) == host
+
+
 def test_flatten_is_one_narrow_pass(spark):
     rows = spark.createDataFrame([('{"a":1}',)], "body string")
     plan = flatten_json(rows, "body", 3)._jdf.queryExecution().executedPlan().toString()
