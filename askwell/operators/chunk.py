@@ -20,6 +20,7 @@ from askwell.functions.text import WHITE_SPACE, quoted, sql_let
 
 CHUNK_SIZE = 500
 CHUNK_OVERLAP = 100
+STEPS = 128
 
 PARAGRAPH, LINE, WORD = "\n\n", "\n", " "
 
@@ -102,16 +103,24 @@ def _refine(runs: str, sep: str, size: int) -> str:
 def _gather(over: str, first: str, step: str, field: str, kind: str) -> str:
     """Fold ``x -> next m`` over an array and list ``field`` of every m that has one.
 
-    What a step binds is copied, so the growing list stays outside of it: a step
-    only appends what the step before it found.
+    Appending copies a list, so steps append to a short list of their own, ``STEPS`` at a time, and
+    only these lists are appended to the whole; they are made one at the end.
     """
     name, move = step.split(" -> ", 1)
+    none = f"cast(array() as array<{kind}>)"
     found = f"if(state.m.{field} is null, state.out, array_append(state.out, state.m.{field}))"
-    begin = f"named_struct('m', {first}, 'out', cast(array() as array<{kind}>))"
-    return (
-        f"aggregate({over}, {begin},"
-        f" (state, {name}) -> named_struct('m', {move}, 'out', {found}), state -> {found})"
-    )
+    inner = (
+        f"aggregate(slice(every, part * {STEPS} + 1, {STEPS}), named_struct('m', whole.m, 'out', {none}),"
+        f" (state, {name}) -> named_struct('m', {move}, 'out', {found}))"
+    )
+    begin = f"named_struct('m', {first}, 'out', cast(array() as array<array<{kind}>>))"
+    add = sql_let("done", inner, "named_struct('m', done.m, 'out', array_append(whole.out, done.out))")
+    last = f"if(whole.m.{field} is null, {none}, array(whole.m.{field}))"
+    fold = (
+        f"aggregate(sequence(0, (greatest(size(every), 1) - 1) div {STEPS}), {begin},"
+        f" (whole, part) -> {add}, whole -> flatten(array_append(whole.out, {last})))"
+    )
+    return sql_let("every", over, fold)
 
 
 def _pack(size: int, overlap: int) -> str:
