@@ -6,7 +6,8 @@ space and tab..carriage return, as in ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from hashlib import blake2b
 
 import numpy as np
@@ -41,13 +42,32 @@ def documents(frame: DataFrame, *columns: str) -> DataFrame:
     return frame.select(*(F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in columns))
 
 
+_owned: ContextVar[list[str] | None] = ContextVar("scratch tables of the running operator", default=None)
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared scratch folder: cuts the lineage, survives lost executors."""
     path = scratch_path(frame.sparkSession, name)
+    if (owned := _owned.get()) is not None:
+        owned.append(path)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """The result of ``make`` as a scratch table; all tables that were written on the way are deleted."""
+    path, token = scratch_path(spark, name), _owned.set([])
+    try:
+        frame = make()
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+    finally:
+        for own in _owned.get() or ():
+            place = spark._jvm.org.apache.hadoop.fs.Path(own)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _owned.reset(token)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about ``most`` bytes of ``column``, one row at least."""
     for batch in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askwell.llm.common import documents, slices, text_bytes, written
+from askwell.llm.common import documents, settled, slices, text_bytes, written
 
 ORDER = 5
 QUANTILE = 0.995
@@ -220,7 +220,7 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, block_bytes: int = BLO
 
 def classified(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity (of a byte), threshold, kept."""
-    scored = written(perplexities(docs, trusted_ids), "perplexities")
+    scored = settled(lambda: perplexities(docs, trusted_ids), docs.sparkSession, "perplexities")
     trusted = scored.where("trusted AND n_bytes > 0")
     cut = F.percentile_approx("nll", F.lit(quantile), 10_000)
     per_language = trusted.where("lang IS NOT NULL").groupBy(F.col("lang").alias("l")).agg(cut.alias("own"))

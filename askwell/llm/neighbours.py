@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from askwell.llm.common import documents, written
+from askwell.llm.common import documents, settled, written
 
 K = 10
 TABLES = 8
@@ -187,6 +187,10 @@ def _radius(vectors: DataFrame, rows: int, k: int) -> float:
 
 def nearest_neighbours(frame: DataFrame, is_query, k: int = K, tables: int = TABLES, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row for which ``is_query`` holds."""
+    return settled(lambda: _nearest_neighbours(frame, is_query, k, tables, recall), frame.sparkSession, "neighbours")
+
+
+def _nearest_neighbours(frame: DataFrame, is_query, k: int, tables: int, recall: float) -> DataFrame:
     spark = frame.sparkSession
     plain = documents(frame, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("id"), F.expr("transform(embedding, x -> cast(x as double))").alias("vec"))
     fine = "id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0 AND NOT exists(vec, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) AND exists(vec, x -> x <> 0)"
