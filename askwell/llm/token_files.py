@@ -117,7 +117,7 @@ def _word_tokenizer(path: str) -> tuple[UnitCache, int]:
             out[i] = e.ids
         return out
 
-    return UnitCache(encode), len(closes)
+    return UnitCache(encode, most=1_000_000), len(closes)
 
 
 _CAPITAL = np.zeros(256, bool)
