@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from askwell.llm.common import WORD, documents
+from askwell.llm.common import WORD
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # all targets together, in sizes of all sources
@@ -62,32 +62,33 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed
 
 
 def mixed_copies(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (words), and the columns in ``keep``."""
+    """doc_id, source, size, source_size, target, copies, taken (words), and the columns in ``keep`` as k0, k1, ..."""
     size = F.coalesce(F.size(F.expr(rf"regexp_extract_all(text, r'{WORD}', 0)")), F.lit(0)).cast("long")
-    plain = documents(docs, "doc_id", "text", "source", *(c for c in keep if c not in ("doc_id", "text", "source")))
-    sized = plain.withColumn("size", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(size))
-    sized = sized if "text" in keep else sized.drop("text")
+    own = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]  # by position: names may clash
+    have = set(docs.columns)
+    found = [F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in ("doc_id", "text", "source")]
+    plain = docs.select(*found, *own)
+    sized = plain.withColumn("size", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(size)).drop("text")
     digits = F.length(F.bin("size"))
     sized = sized.withColumn("class", digits * 100 + F.expr("shiftright(size, greatest(length(bin(size)) - 5, 0))"))
     salt = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 4), 16, 10).cast("long") % SALTS
     sized = sized.withColumn("salt", salt)
-    narrow = sized.select("source", "class", "salt", "size")
-    groups = narrow.groupBy("source", "class", "salt").agg(F.count("*").alias("n"))
-    along = W.partitionBy("source").orderBy("class", "salt")
-    groups = groups.select(
-        F.col("source").alias("g_source"), F.col("class").alias("g_class"), F.col("salt").alias("g_salt"),
-        (F.sum("n").over(along) - F.col("n")).alias("before"),
-    )
-    same = F.col("source").eqNullSafe(F.col("g_source")) & (F.col("class") == F.col("g_class")) & (F.col("salt") == F.col("g_salt"))
-    inside = W.partitionBy("source", "class", "salt").orderBy("size", "doc_id")
+    # A null source as a key of its own, so that the window and the join deal the rows the same way, once.
+    sized = sized.withColumn("named", F.col("source").isNotNull()).withColumn("name", F.coalesce("source", F.lit("")))
+    keys = ("named", "name", "class", "salt")
+    narrow = sized.select("source", *keys, "size")
+    groups = narrow.groupBy(*keys).agg(F.count("*").alias("n"))
+    along = W.partitionBy("named", "name").orderBy("class", "salt")
+    groups = groups.select(*(F.col(k).alias(f"g_{k}") for k in keys), (F.sum("n").over(along) - F.col("n")).alias("before"))
+    same = [F.col(k) == F.col(f"g_{k}") for k in keys]
+    inside = W.partitionBy(*keys).orderBy("size", "doc_id")
     ranked = sized.withColumn("rn", F.row_number().over(inside)).join(groups, same)
     targets = source_targets(narrow.select("source", "size"), weights, share, cap, seed)
     out = ranked.join(targets, F.col("source").eqNullSafe(F.col("src")))
     upto = F.col("before") + F.col("rn")
     copies = F.floor(F.col("rate") * upto + F.col("shift")) - F.floor(F.col("rate") * (upto - 1) + F.col("shift"))
-    kept = [c for c in keep if c not in ("doc_id", "source")]
     return out.withColumn("copies", copies.cast("long")).select(
-        "doc_id", "source", *kept, "size", F.col("src_size").alias("source_size"), "target", "copies",
+        "doc_id", "source", *(f"k{i}" for i in range(len(keep))), "size", F.col("src_size").alias("source_size"), "target", "copies",
         (F.col("copies") * F.col("size")).alias("taken"),
     )
 
@@ -97,7 +98,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     columns = docs.columns
     out = mixed_copies(docs, keep=tuple(columns), **how)
     taken = out.where("copies > 0").withColumn("copy_", F.explode(F.expr("sequence(1, cast(copies as int))")))
-    return taken.select(*(F.col(f"`{c}`") for c in columns))
+    return taken.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(columns)))
 
 
 #: The same rows in DuckDB.

@@ -149,14 +149,14 @@ def findings(docs: DataFrame, vocabulary: str, model=None) -> DataFrame:
 
 def redacted(docs: DataFrame, vocabulary: str, model=None) -> DataFrame:
     """The documents with their secrets replaced; no document is dropped."""
-    secrets = findings(docs, vocabulary, model).where("secret").groupBy("doc_id", "mark").agg(F.collect_set("k").alias("ks"))
-    secrets = secrets.select(F.col("doc_id").alias("s_id"), F.col("mark").alias("s_mark"), "ks")
+    secrets = findings(docs, vocabulary, model).where("secret").groupBy("doc_id", "mark").agg(F.collect_set("k").alias("_ks"))
+    secrets = secrets.select(F.col("doc_id").alias("_sid"), F.col("mark").alias("_smark"), "_ks")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     # Only texts with candidates meet the findings; all others pass through.
     has = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
-    open_ = docs.where(has).withColumn("mark_", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("mark_") == F.col("s_mark"))
-    joined = open_.join(secrets, same, "left").withColumn("found_", F.expr(f"regexp_extract_all(text, r'{CANDIDATE}', 0)")).withColumn("gaps_", F.split("text", CANDIDATE, -1))
-    put = f"array_join(transform(gaps_, (g, i) -> concat(g, CASE WHEN i >= size(found_) THEN '' WHEN array_contains(ks, i) THEN '{REPLACEMENT}' ELSE found_[i] END)), '')"
-    text = F.expr(f"CASE WHEN ks IS NULL THEN text ELSE {put} END")
+    open_ = docs.where(has).withColumn("_mark", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_sid")) & (F.col("_mark") == F.col("_smark"))
+    joined = open_.join(secrets, same, "left").withColumn("_found", F.expr(f"regexp_extract_all(text, r'{CANDIDATE}', 0)")).withColumn("_gaps", F.split("text", CANDIDATE, -1))
+    put = f"array_join(transform(_gaps, (g, i) -> concat(g, CASE WHEN i >= size(_found) THEN '' WHEN array_contains(_ks, i) THEN '{REPLACEMENT}' ELSE _found[i] END)), '')"
+    text = F.expr(f"CASE WHEN _ks IS NULL THEN text ELSE {put} END")
     return docs.where(~has).select(*columns).union(joined.withColumn("text", text).select(*columns))

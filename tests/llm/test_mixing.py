@@ -48,11 +48,12 @@ def test_targets_and_words_taken(spark):
 
 def test_odd_rows_and_the_documents_themselves(spark):
     rows = [(1, "a b c", "s"), (2, None, "s"), (3, "", None), (4, "x " * 5000, None), (None, "q", "t"), (5, "a b c", "s"), (5, "a b c", "s")]
-    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, source string, size int")
+    docs = spark.createDataFrame([(*r, 7, "k") for r in rows], "doc_id long, text string, source string, size int, k0 string")
     got = rows_of(mixing.mixed_copies(docs).select("doc_id", "source", "copies", "taken"))
     assert len(got) == len(rows)
     taken = mixing.mixed_documents(docs)
     assert taken.columns == docs.columns and taken.count() == sum(r[2] for r in got)
+    assert taken.dtypes == docs.dtypes and {(r["size"], r["k0"]) for r in taken.collect()} == {(7, "k")}
     assert rows_of(mixing.mixed_copies(docs.limit(0))) == [] and mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
