@@ -7,10 +7,11 @@ pair of similarity 0.8 misses all bands with probability 5e-6.
 
 First each node is paired with its bucket's smallest. The bit counts of two signatures give their
 agreement; with a chance agreement of 1/4 taken out it estimates the similarity (standard error
-0.03), and pairs four and a half errors below the limit fall away. All others are confirmed on the
-full sets. Where a bucket then still holds several components, the pairs between them, and none
-inside one, go the same way. So no link is lost to the pairing, and a group of copies costs a pair
-for each of them.
+0.03), and pairs four and a half errors below the limit fall away. The others are confirmed on the
+full sets. Where a bucket then still holds several components, the nodes that look similar across
+them form families, and in each family the nodes outside its largest component are held against
+all others by an inverted index of the full sets; only links that join components leave the task.
+So no link is lost to the pairing, and a group of copies costs a few pairs for each of them.
 
 Components come from alternating large and small stars, written to the shared folder in each round.
 
@@ -29,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askwell.llm.common import Words, documents, mixed, slices, text_bytes, written
+from askwell.llm.common import Words, documents, gathered, mixed, settled, slices, text_bytes, written
 
 HASHES, BANDS, ROWS, BITS = 256, 42, 6, 2
 SIMILARITY = 80  # percent of the union
 SHINGLE = 5
 #: Pairs of which the estimate is below this aren't confirmed: the limit less four and a half standard errors.
 LEAST_ESTIMATE = 0.66
-#: Nodes of a bucket whose signatures meet in one task, and nodes whose sets do; more are dealt in blocks.
-BLOCK, FAMILY = 8_000, 4_000
+#: Nodes of a bucket whose signatures meet in one task, nodes whose sets do, and how many of these ask.
+BLOCK, FAMILY, ASKING = 4_000, 4_000, 400
 
 _RNG = np.random.default_rng(20_240_601)
 _A = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -186,25 +187,64 @@ def _matrix(table: pa.Table, column: str) -> np.ndarray:
     return flat.flatten().to_numpy().reshape(len(flat), -1)
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket that may be links and lie in different components, each in its first common bucket only."""
+def _open_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of a bucket that may be linked across components, as a star for each group that hangs together."""
     for table in _groups(batches, ["bucket", "i", "j"]):
         ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
-        block = table.column("block").to_numpy()
-        sig, bands, bucket = _matrix(table, "sig"), _matrix(table, "bands"), table.column("bucket")[0].as_py()
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        block, sig = table.column("block").to_numpy(), _matrix(table, "sig")
+        left, right = (np.flatnonzero(block == table.column(c)[0].as_py()) for c in ("i", "j"))
+        near = np.zeros((len(left), len(right)), bool)
         for at in range(0, len(left), 256):
             own = left[at : at + 256]
-            x, y = np.nonzero((labels[own][:, None] != labels[right]) & (estimated(sig[own][:, None], sig[right]) >= LEAST_ESTIMATE))
-            x, y = own[x], right[y]
-            keep = ids[x] < ids[y] if i == j else np.ones(len(x), bool)
-            x, y = x[keep], y[keep]
-            equal = bands[x] == bands[y]
-            first = bands[x, equal.argmax(1)] == bucket if len(x) else keep[:0]
-            a, b = ids[x[first]], ids[y[first]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            near[at : at + 256] = (labels[own][:, None] != labels[right]) & (estimated(sig[own][:, None], sig[right]) >= LEAST_ESTIMATE)
+        todo = near.any(1)
+        while todo.any():  # breadth first from row to column to row
+            rows, columns = np.zeros(len(left), bool), np.zeros(len(right), bool)
+            fresh = np.zeros(len(left), bool)
+            fresh[np.argmax(todo)] = True
+            while fresh.any():
+                rows |= fresh
+                columns |= near[fresh].any(0)
+                fresh = near[:, columns].any(1) & ~rows
+            todo &= ~rows
+            group = np.unique(np.concatenate([ids[left[rows]], ids[right[columns]]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(group) - 1, group[0])), pa.array(group[1:])], ["a", "b"])
+
+
+def _crossed(percent: int):
+    """Links between components of a family: each asking node's set against all others, by an inverted index."""
+
+    def cross(frame: pd.DataFrame) -> pd.DataFrame:
+        asks = frame["asks"].to_numpy()
+        x, y = frame[asks], frame[~asks]
+        ids, labels = y["id"].to_numpy(), y["label"].to_numpy()
+        sizes = y["items"].map(len).to_numpy()
+        items = np.concatenate(y["items"].to_list()) if len(y) else np.zeros(0, np.int64)
+        order = np.argsort(items, kind="stable")
+        owner = np.repeat(np.arange(len(y)), sizes)[order]
+        keys, first = np.unique(items[order], return_index=True)
+        count = np.diff(np.append(first, len(items)))
+        parent: dict[int, int] = {}
+
+        def root(n: int) -> int:
+            while parent.get(n, n) != n:
+                n = parent[n]
+            return n
+
+        out = []
+        for node, label, own in zip(x["id"], x["label"], x["items"]):
+            at = np.searchsorted(keys, own)
+            at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == own)] if len(keys) else at[:0]
+            common = np.bincount(gathered(owner, first[at], count[at]), minlength=len(y))
+            linked = np.flatnonzero((100 * common >= percent * (len(own) + sizes - common)) & (labels != label))
+            others, place = np.unique(labels[linked], return_index=True)
+            for other, i in zip(others.tolist(), place.tolist()):
+                if root(other) != root(int(label)):  # one link is enough to join two components
+                    parent[root(other)] = root(int(label))
+                    out.append((node, ids[linked[i]]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return cross
 
 
 def _linked(percent: int):
@@ -240,8 +280,40 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return needed.groupBy("at").cogroup(placed.groupBy("task")).applyInPandas(_linked(percent), "a long, b long")
 
 
+def _cross_links(shared: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join components which share a bucket.
+
+    In buckets that hold several components, nodes that look similar across them hang together in
+    families. In a family, the nodes outside its largest component are held against all others.
+    """
+    named = shared.select("bucket", "id").join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
+    named = written(named.withColumn("label", F.coalesce("label", "id")), "named")
+    open_ = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).where("l < m")
+    rest = named.join(open_.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket").join(nodes, "id")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rest = rest.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "label", "sig")
+    rest = rest.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    families = components(rest.mapInArrow(_open_families, "a long, b long"), "families")
+    members = families.select(F.col("node").alias("id"), F.col("label").alias("family")).join(named.select("id", "label").distinct(), "id")
+    members = written(members, "families")
+    main = members.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
+    placed = members.join(main, "family").withColumn("asking", F.col("label") != F.col("main"))
+    sizes = placed.groupBy("family").agg(F.count_if("asking").alias("asks"), F.max("n").alias("n"))
+    sizes = sizes.select("family", F.ceil(F.col("asks") / ASKING).alias("ps"), F.ceil(F.col("n") / FAMILY).alias("qs"))
+    placed = placed.join(sizes, "family").withColumn("mark", F.xxhash64("id"))
+    x = placed.where("asking").select("family", "id", "label", F.pmod("mark", "ps").alias("p"), F.explode(F.expr("sequence(0L, qs - 1)")).alias("q"), F.lit(True).alias("asks"))
+    y = placed.select("family", "id", "label", F.explode(F.expr("sequence(0L, ps - 1)")).alias("p"), F.pmod("mark", "qs").alias("q"), F.lit(False).alias("asks"))
+    dealt = x.unionByName(y).select(F.xxhash64("family", "p", "q").alias("task"), "id", "label", "asks").join(sets, "id")
+    return dealt.groupBy("task").applyInPandas(_crossed(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
+    return settled(lambda: _near_duplicates(docs, shingle, percent), docs.sparkSession, "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     plain = documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     kinds = "doc_id long, n_shingles long, s1 long, s2 long, sig array<long>, bands array<long>"
     signed = written(plain.mapInArrow(_signer(shingle), kinds), "signatures")
@@ -256,7 +328,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMI
     leads = in_bucket.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
     shared = written(in_bucket.join(leads, "bucket").select("bucket", "id", "lead"), "buckets")
     wanted = shared.select(F.col("id").alias("doc_id")).distinct()
-    sets = written(plain.join(wanted, "doc_id", "left_semi").mapInArrow(_setter(shingle), "id long, items array<long>"), "sets")
+    sets = written(plain.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_setter(shingle), "id long, items array<long>"), "sets")
     pairs = shared.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     pairs = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("p")), "a")
     pairs = pairs.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("q")), "b")
@@ -265,18 +337,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMI
     reps = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     edges = written(confirmed(tested, sets, percent).union(reps.where("a < b").select("a", "b")), "links")
     labels = written(components(edges), "labels")
-    # Buckets that still hold several components: all pairs between them that may be links.
-    named = shared.select("bucket", "id").join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
-    named = written(named.withColumn("label", F.coalesce("label", "id")), "named")
-    open_ = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).where("l < m")
-    rest = named.join(open_.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket").join(nodes, "id")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rest = rest.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "label", "sig", "bands")
-    rest = rest.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    found = rest.mapInArrow(_alike, "a long, b long").distinct()
-    more = written(found.join(tested, ["a", "b"], "left_anti"), "pairs")
-    edges = edges.union(confirmed(more, sets, percent))
+    edges = edges.union(_cross_links(shared, labels, nodes, sets, percent))
     labels = components(edges)
     ids = signed.select("doc_id", "n_shingles").join(reps.select("doc_id", F.col("a").alias("rep")), "doc_id", "left")
     out = ids.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
@@ -286,11 +347,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMI
 
 def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
     """The documents' columns: one document of each component stays; of rows with one doc_id, one row."""
-    verdict = written(near_duplicates(docs, shingle, percent).select("doc_id", "kept"), "verdicts")
+    verdict = near_duplicates(docs, shingle, percent).select("doc_id", "kept")
     counts = verdict.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
     gone = counts.where("NOT kept OR n > 1").select(F.col("doc_id").alias("gone_"))
     twice = counts.where("kept AND n > 1").select(F.col("doc_id").alias("twice_"))
     key = docs["doc_id"].cast("long")
-    single = docs.join(gone, key == F.col("gone_"), "left_anti")
+    # The narrow side is hashed: the texts are dealt, but not sorted.
+    single = docs.join(gone.hint("shuffle_hash"), key == F.col("gone_"), "left_anti")
+    if twice.isEmpty():
+        return single
     again = docs.join(twice, key == F.col("twice_"), "left_semi")
     return single.union(again.dropDuplicates(["doc_id"]))
