@@ -13,17 +13,8 @@ from __future__ import annotations
 
 import numpy as np
 
-_PACK = 7  # symbols of 9 bits in one sort key
-
-
-def _dense(keys: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Ranks from 1 of the keys, and whether all differ."""
-    order = np.argsort(keys, kind="stable")
-    step = np.ones(len(keys), np.int64)
-    step[1:] = keys[order][1:] != keys[order][:-1]
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.cumsum(step)
-    return rank, bool(step.all())
+_PACK = 5  # symbols of 9 bits in one sort key, below 18 bits of the class
+_CLASSES = 1 << 18
 
 
 class RunIndex:
@@ -36,14 +27,13 @@ class RunIndex:
         inside = np.ones(n, bool)
         inside[begin[1:] - 1] = False
         text[inside] = data.astype(np.int64) + 1
-        owner = np.repeat(np.arange(len(classes)), sizes)
-        left = begin[1:][owner] - np.arange(n)  # symbols to the end of the piece, with the end symbol
-        self.n, self.text = n, text
-        self._sort(text, left, classes[owner].astype(np.int64))
+        owner = np.repeat(classes.astype(np.int64), sizes)
+        self.n = n
+        self._sort(text, int(sizes.max(initial=0)), owner, np.repeat(np.arange(len(classes)), sizes), begin[1:] - 1)
         before = np.empty(n, np.int64)
         before[1:] = text[:-1]
         before[begin[:-1]] = 0  # the end symbol stands before each piece
-        own = classes[owner][self.rows]
+        own = owner[self.rows]
         symbol = own * 257 + before[self.rows]
         edge = np.ones(n, bool)
         edge[1:] = symbol[1:] != symbol[:-1]
@@ -60,31 +50,54 @@ class RunIndex:
         self.class_row[kinds] = np.searchsorted(own, kinds)
         del self.rows  # the samples at the runs' ends are all that is kept
 
-    def _sort(self, text: np.ndarray, left: np.ndarray, owner: np.ndarray) -> None:
+    def _sort(self, text: np.ndarray, longest: int, owner: np.ndarray, piece: np.ndarray, ends: np.ndarray) -> None:
+        """Ranks by ever longer starts, each twice the last; only rows that are still tied are sorted again.
+
+        A rank is the sorted place of the first row with that start. Suffixes that are equal to their
+        pieces' ends are in the order of the pieces.
+        """
         n = len(text)
+        if int(owner[-1] if n else 0) >= _CLASSES or (n and int(owner.max()) >= _CLASSES):
+            raise ValueError("too many classes for one index")
         packed = np.zeros(n, np.int64)
         for j in range(_PACK):
             packed <<= 9
-            ok = left[: n - j] > j
-            packed[: n - j] |= np.where(ok, text[j:], 0)
+            packed[: n - j] |= text[j:]
+        for k in range(1, _PACK):  # nothing of what follows a piece's end
+            rows = ends[ends + 1 >= k] - k + 1
+            rows = rows[piece[rows] == piece[ends[ends + 1 >= k]]]
+            packed[rows] &= -1 << (9 * (_PACK - k))
         self.packed = np.append(packed, 0)
-        order = np.lexsort((packed, owner))
-        step = np.ones(n, np.int64)
-        step[1:] = (packed[order][1:] != packed[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+        keys = owner << (9 * _PACK) | packed
+        order = np.argsort(keys)
+        keys = keys[order]
+        edge = np.ones(n, bool)
+        edge[1:] = keys[1:] != keys[:-1]
+        first = np.flatnonzero(edge)
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(step)
-        self.levels, size, distinct = [], _PACK, bool(step.all())
-        longest = int(left.max(initial=0))
+        rank[order] = np.repeat(first, np.diff(np.append(first, n))) + 1
+        alone = edge.copy()
+        alone[:-1] &= edge[1:]
+        tied = order[~alone]
+        self.levels, size = [], _PACK
         while True:
             self.levels.append((size, np.append(rank, 0).astype(np.int32)))
-            if distinct or size >= longest:
+            if size >= longest or not len(tied):
                 break
-            further = np.zeros(n, np.int64)
-            more = left > size
-            further[more] = rank[np.flatnonzero(more) + size]
-            rank, distinct = _dense(rank * (n + 1) + further)
+            old = rank[tied]
+            on = tied + size
+            more = on <= ends[piece[tied]]
+            keys = old * (n + 1) + np.where(more, rank[np.minimum(on, n - 1)], piece[tied] + 1)
+            order = np.argsort(keys)
+            tied, keys, old = tied[order], keys[order], old[order]
+            edge, start = np.ones(len(tied), bool), np.ones(len(tied), bool)
+            edge[1:], start[1:] = keys[1:] != keys[:-1], old[1:] != old[:-1]
+            place = np.arange(len(tied))
+            rank[tied] = old + np.maximum.accumulate(np.where(edge, place, 0)) - np.maximum.accumulate(np.where(start, place, 0))
+            alone = edge.copy()
+            alone[:-1] &= edge[1:]
+            tied = tied[~alone]
             size *= 2
-        # Equal suffixes of different pieces stay in text order.
         self.rows = np.argsort(rank, kind="stable")
 
     def shared(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:

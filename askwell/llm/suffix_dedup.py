@@ -40,7 +40,7 @@ CORE = 32
 HOT = 20_000
 HOT_WINDOWS = 8
 #: Bytes of text worked on at once, and of pieces that share an index.
-BATCH, CHUNK = 512 << 10, 1 << 20
+BATCH, CHUNK = 512 << 10, 3 << 20
 _LAST = (1 << 63) - 1
 _P = np.uint64(0x9E3779B97F4A7C15)
 
