@@ -358,3 +358,26 @@ def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: in
         return single
     again = docs.join(twice, key == F.col("twice_"), "left_semi")
     return single.union(again.dropDuplicates(["doc_id"]))
+
+
+#: The rows of ``near_duplicates(docs, shingle=2)`` in DuckDB, by counting common shingles of all pairs of like size.
+ORACLE = r"""
+WITH RECURSIVE
+cut AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) < 2 THEN words
+                      ELSE list_distinct([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) END AS items FROM cut),
+flat AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b
+    ON a.item = b.item AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT id, b FROM reach JOIN both_ways ON other = a),
+least_of AS (SELECT id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, len(items)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN least_of ON doc_id = id
+"""

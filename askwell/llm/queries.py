@@ -87,4 +87,4 @@ def op10_kneser_ney(spark, sf_dir):
     return kneser_ney.classified(table(spark, sf_dir, "documents"), trusted)
 
 
-ORACLES: dict[str, str] = {"op3_source_mix": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_source_mix": mixing.ORACLE, "op4_near_duplicates": minhash.ORACLE}
