@@ -1,9 +1,11 @@
 """Near-duplicate documents by b-bit MinHash.
 
 Each document becomes its set of word shingles (A-Z lower-cased; 52-bit hashes), and documents with
-equal sets become one node, so that exact copies never meet again. Of 256 permutations' minima the
-low 2 bits are kept, packed into eight longs; 42 bands of 6 whole minima give candidate buckets. A
-pair of similarity 0.8 misses all bands with probability 5e-6.
+equal sets become one node, so that exact copies never meet again. Of 256 permutations' minima 2 bits
+are kept, packed into eight longs; 42 bands of 6 whole minima give candidate buckets. A pair of
+similarity 0.8 misses all bands with probability 5e-6. The bits are taken after a finaliser with the
+permutation's number: the low bits of a minimum itself depend on no more than the low bits of the
+shingle, so that unequal minima would agree in all permutations at once.
 
 First each node is paired with its bucket's smallest. The bit counts of two signatures give their
 agreement; with a chance agreement of 1/4 taken out it estimates the similarity (standard error
@@ -43,6 +45,7 @@ BLOCK, FAMILY, ASKING = 4_000, 4_000, 400
 _RNG = np.random.default_rng(20_240_601)
 _A = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+_SALT = np.arange(1, HASHES + 1, dtype=np.uint64) << np.uint64(32)
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +84,8 @@ def signatures(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.nd
         np.multiply(x, _A[i], out=scratch)
         np.add(scratch, _B[i], out=scratch)
         minima[i] = np.minimum.reduceat(scratch, begin)
-    low = [np.ascontiguousarray(((minima >> np.uint32(b)) & np.uint32(1)).T, np.uint8) for b in range(BITS)]
+    drawn = np.stack([mixed(minima[i] + _SALT[i]) for i in range(HASHES)]).astype(np.uint8)
+    low = [np.ascontiguousarray(((drawn >> np.uint8(b)) & np.uint8(1)).T) for b in range(BITS)]
     planes = [np.ascontiguousarray(np.packbits(x, axis=1)).view("<i8") for x in low]
     keys = np.empty((n, BANDS), np.uint64)
     for band in range(BANDS):

@@ -90,3 +90,16 @@ def test_estimate_is_near_the_truth():
     values, at = minhash.shingle_sets(*text_bytes(pa.array(texts)), 3)
     packed, _ = minhash.signatures(values, at[:-1])
     assert np.abs(minhash.estimated(packed[::2], packed[1::2]) - truth).max() < 0.13
+
+
+def test_small_sets_at_the_limit_are_not_lost():
+    """Pairs at exactly 0.8, of few shingles: the estimate lets them through to the full sets."""
+    rng = np.random.default_rng(7)
+    for common, more in ((4, 1), (8, 2)):
+        wide = rng.integers(0, 1 << 52, (40_000, common + more), dtype=np.uint64)
+        signed = [minhash.signatures(x.ravel(), np.arange(len(x)) * x.shape[1]) for x in (wide[:, :common], wide)]
+        (a, left), (b, right) = signed
+        found = minhash.estimated(a, b)
+        assert abs(found.mean() - 0.8) < 0.002 and found.std() < 0.032
+        lost = (found < minhash.LEAST_ESTIMATE) | ~(left == right).any(1)
+        assert lost.sum() <= 2
