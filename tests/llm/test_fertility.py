@@ -1,5 +1,6 @@
 """Base counts against plain Python, and the verdict on clean and broken text."""
 
+import random
 import re
 
 import public_tokenizers
@@ -58,3 +59,22 @@ def test_noise_is_rejected_and_prose_kept(spark):
     clean = [got[r.doc_id] for r in docs.collect() if not re.search(r"[#*$%&|<>]|!!", r.text) and not got[r.doc_id].base_failed]
     assert sum(r.kept for r in clean) >= 0.97 * len(clean)
     assert sum(r.kept for r in noisy) <= 0.6 * len(noisy)
+
+
+def test_noise_is_rejected_in_each_language_and_length(spark):
+    rng = random.Random(3)
+    table = spark.read.parquet(f"{SMALL}/../sf0.01/documents.parquet").where("lang IN ('en', 'fr', 'es')").collect()
+    clean = [(r.lang, r.text) for r in table if not re.search(r"[#*$%&|<>]|!!", r.text)]
+    words = {lang: [w for l, t in clean if l == lang for w in t.split()] for lang in ("en", "fr", "es")}
+    noisy = lambda lang, n: " ".join(w + (rng.choice(("###", "***", "&&&", "%%%", "$$$")) if rng.random() < 0.7 else "") for w in rng.choices(words[lang], k=n))
+    rows = [(lang, text, False) for lang, text in clean]
+    # Short, middle and far longer than any other text; in known languages and one that only these rows have.
+    rows += [(lang, noisy(lang, n), True) for lang in words for n in (100, 400, 6_000) for _ in range(2)]
+    rows += [("xx", noisy("en", n), True) for n in (300, 6_000)] + [("xx", " ".join(rng.choices(words["en"], k=300)), False)]
+    docs = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in fertility.quality_report(docs, PATH).collect()}
+    for lang in ("en", "fr", "es", "xx"):
+        noise = [(got[i].n_words, got[i].multi_chars_per_token) for i, r in enumerate(rows) if r[0] == lang and r[2] and got[i].kept]
+        assert not noise, (lang, noise)
+        prose = [got[i].kept for i, r in enumerate(rows) if r[0] == lang and not r[2] and not got[i].base_failed]
+        assert sum(prose) >= 0.95 * len(prose), lang
