@@ -163,6 +163,19 @@ class Words:
         return inside, mixed(out[inside])
 
 
+def byte_runs(data: np.ndarray, at: np.ndarray, table: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of the maximal runs of bytes that ``table`` maps to 1, inside one text each."""
+    inside = np.frombuffer(data.tobytes().translate(table), bool)
+    begins, stops = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    stops[:-1] &= ~inside[1:]
+    full = at[:-1] < at[1:]
+    begins[at[:-1][full]] = inside[at[:-1][full]]
+    stops[at[1:][full] - 1] = inside[at[1:][full] - 1]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    return starts, ends, np.repeat(np.arange(len(at) - 1), np.diff(np.searchsorted(starts, at)))
+
+
 def per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over the ranges given by ``at``."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])

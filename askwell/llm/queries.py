@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.llm import fertility, kneser_ney, language, minhash, mixing, neighbours, pieces, secret_scan, suffix_dedup, token_files
+from askwell.llm import (
+    divergence,
+    fertility,
+    kneser_ney,
+    language,
+    lexical_search,
+    line_dedup,
+    minhash,
+    mixing,
+    neighbours,
+    pieces,
+    secret_scan,
+    suffix_dedup,
+    token_files,
+)
 from askwell.llm.common import bounded_batches, table
 from askwell.session import configure, scratch_path
 
@@ -87,4 +101,25 @@ def op10_kneser_ney(spark, sf_dir):
     return kneser_ney.classified(table(spark, sf_dir, "documents"), trusted)
 
 
-ORACLES: dict[str, str] = {"op3_source_mix": mixing.ORACLE, "op4_near_duplicates": minhash.ORACLE}
+@query
+def op11_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_ranked_search(spark, sf_dir):
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_shared_lines(spark, sf_dir):
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+ORACLES: dict[str, str] = {
+    "op3_source_mix": mixing.ORACLE,
+    "op4_near_duplicates": minhash.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_ranked_search": lexical_search.ORACLE,
+    "op13_shared_lines": line_dedup.ORACLE,
+}
