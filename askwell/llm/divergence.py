@@ -36,8 +36,10 @@ MIN_DOCS = 30
 SCALE = 1_000_000_000
 SMOOTH = 5
 TOP_TERMS = 50
-#: Cells of a block's matrix of shares (eight bytes each), and sources compared with all others in a task.
-CELLS = 2_000_000
+#: Least and most cells of a block's matrix of shares (eight bytes each). Between these it has about as many
+#: terms as there are sources, so that the sums of a block are no more rows than its cells.
+CELLS = (100_000, 2_000_000)
+#: Sources compared with all others in a task.
 SOURCES = 256
 #: Runs that a task holds before it merges them, and sends them if they are still as many.
 RUNS = 1_000_000
@@ -223,7 +225,8 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_
         placed = groups.withColumn("part", F.floor((F.row_number().over(in_lang.orderBy("source")) - 1) / SOURCES).cast("int"))
         placed = placed.withColumn("sources", F.count("*").over(in_lang))
         base = F.when(F.col("terms") > 0, _share(F.lit(0), F.col("own"), F.col("terms"))).otherwise(0)
-        blocks = F.greatest(F.ceil(F.col("terms") * F.col("sources") / CELLS), F.lit(1)).cast("int")
+        cells = F.least(F.greatest(F.col("sources") * F.col("sources"), F.lit(CELLS[0])), F.lit(CELLS[1]))
+        blocks = F.greatest(F.ceil(F.col("terms") * F.col("sources") / cells), F.lit(1)).cast("int")
         parts = F.ceil(F.col("sources") / SOURCES).cast("int")
         groups = written(placed.select("*", base.alias("base"), blocks.alias("blocks"), parts.alias("parts")), "groups")
 
