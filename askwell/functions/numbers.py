@@ -1,50 +1,10 @@
-"""Number rendering and vector arithmetic as Spark expressions."""
+"""Vector arithmetic as Spark expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from askwell.functions.text import let
-
-
-def float_text(value: Column) -> Column:
-    """Shortest decimal text of a double with the exponent rules of a Python float.
-
-    Spark switches to ``d.dE±x`` outside 1e-3..1e7; the wanted form is plain
-    from 1e-4 up to 1e16 and ``de±xx`` beyond.
-    """
-    def scientific(p: Column) -> Column:
-        digits = F.regexp_replace(F.get(p, F.lit(0)), r"\.0$|\.", "")
-        power = F.get(p, F.lit(1)).cast("int")
-        size = F.char_length(digits)
-        whole = F.concat(digits, F.expr("repeat('0', 16)")).substr(F.lit(1), power + 1)
-        fraction = F.when(size > power + 1, F.substring(digits, power + 2, size)).otherwise("0")
-        tail = F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size)))
-        gap = F.when(F.abs(power) < 10, "0").otherwise("")
-        return (
-            F.when(power.between(0, 15), F.concat(whole, F.lit("."), fraction))
-            .when(power == -4, F.concat(F.lit("0.000"), digits))
-            .otherwise(
-                F.concat(
-                    F.substring(digits, 1, 1),
-                    F.coalesce(tail, F.lit("")),
-                    F.when(power < 0, "e-").otherwise("e+"),
-                    gap,
-                    F.abs(power).cast("string"),
-                )
-            )
-        )
-
-    def render(text: Column) -> Column:
-        parts = F.split(F.regexp_replace(text, "^-", ""), "E")
-        sign = F.when(text.startswith("-"), "-").otherwise("")
-        return F.when(
-            F.contains(text, F.lit("E")), F.concat(sign, let(parts, scientific))
-        ).otherwise(text)
-
-    return let(value.cast("string"), render)
-
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))

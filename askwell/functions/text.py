@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,18 +16,11 @@ QUESTION_LIMIT = 1000
 LOCAL_HOSTS = ("localhost", "127.0.0.1", "0.0.0.0", "::1")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once so that ``body`` can use it several times.
+def sql_let(name: str, value: str, body: str) -> str:
+    """Bind ``value`` once so that ``body`` can use it several times, as SQL text.
 
     Inside a lambda Spark has no common-subexpression elimination; a
     one-element ``transform`` is the cheapest way to name an intermediate.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def sql_let(name: str, value: str, body: str) -> str:
-    """``let`` for expressions composed as SQL text.
-
     Large expressions are composed as text, which is parsed in one go; built from
     Column calls they would cost seconds of driver round trips per query.
     """

@@ -1,103 +1,103 @@
-"""JSON to ``path: value`` leaves."""
+"""JSON to ``path: value`` leaves.
+
+Bodies are read by Python's parser in Arrow batches and walked with a stack of their own, so a body is
+read once, however deep it lies, nothing runs while a plan is built, and streams can be flattened too.
+Values are written as Python writes them. What the parser refuses (also a nesting beyond its limit of
+several thousand levels) has no leaves; ``is_readable`` tells such bodies apart by the same parser.
+"""
 
 from __future__ import annotations
 
+import json
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from askwell.functions.numbers import float_text
-from askwell.functions.text import quoted, strip
-from askwell.plans.shape import drop_null
-from askwell.session import materialized
+# Tasks get this module's code with the job: executors need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SEPARATOR = " > "
+# Leaves of an Arrow batch that a task returns.
+LEAVES = 20_000
 
 
-# Nesting levels that one pass opens; what lies deeper goes to another pass.
-LEVELS_PER_PASS = 8
+def read_json(body: str | None) -> tuple[bool, object]:
+    """Whether the text is JSON, and its value."""
+    try:
+        return True, json.loads(body or "")
+    except (ValueError, RecursionError):
+        return False, None
 
 
-def _leaf_text(node: Column, kind: Column) -> Column:
-    """A leaf as Python's ``str`` would write it, white space stripped."""
-    plain = node.cast("string")
-    scale = F.regexp_extract(kind, r"^DECIMAL\((\d+),(\d+)\)$", 2)
-    precision = F.regexp_extract(kind, r"^DECIMAL\((\d+),", 1)
-    # Integers beyond 64 bits are decimals without a scale; smaller ones written
-    # with a point are too, but those were floats.
-    big_integer = (scale == "0") & (precision.try_cast("int") > 18)
-    return (
-        F.when(kind == "BOOLEAN", F.initcap(plain))
-        .when(kind == "STRING", strip(plain))
-        .when((kind == "DOUBLE") | (kind.startswith("DECIMAL") & ~big_integer),
-              float_text(F.try_variant_get(node, "$", "double")))
-        .otherwise(plain)
-    )
+def leaves(node: object) -> Iterator[tuple[str, str]]:
+    """``(path, value)`` of every leaf; null and blank ones are left out.
 
+    A list's elements have its own path. An empty path above leaves a key as it is.
+    """
+    todo = [("", node)]
+    while todo:
+        path, node = todo.pop()
+        if isinstance(node, dict):
+            todo += [(f"{path}{SEPARATOR}{key}" if path else key, child) for key, child in node.items()]
+        elif isinstance(node, list):
+            todo += [(path, child) for child in node]
+        elif node is not None and (text := str(node).strip()):
+            yield path, text
 
-def all_leaves(df: DataFrame, body: str, levels: int = LEVELS_PER_PASS) -> DataFrame:
-    """Replace a JSON text column by one row per leaf: ``path``, ``content``; however deep it lies.
 
-    A pass opens ``levels`` levels and is written to the shared folder; what it didn't open is the
-    input of the next one, until nothing is left. So one deep body costs passes over that body
-    alone, and unreadable text, however many brackets it holds, costs nothing.
-    """
-    if levels < 1:
-        raise ValueError("a pass must open a level at least")
+def _encodable(texts: list[str]) -> list[str]:
+    """Escapes of half a surrogate pair have no place in UTF-8."""
+    return [t.encode("utf-8", "replace").decode() for t in texts]
+
+
+def _flatten(body: str, keep: list[str]):
+    def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[int] = []
+            paths: list[str] = []
+            texts: list[str] = []
+
+            def found() -> pa.RecordBatch:
+                kept = batch.select(keep).take(pa.array(rows, pa.int64()))
+                try:
+                    own = [pa.array(c, pa.string()) for c in (paths, texts)]
+                except UnicodeEncodeError:
+                    own = [pa.array(_encodable(c), pa.string()) for c in (paths, texts)]
+                for column in (rows, paths, texts):
+                    column.clear()
+                return pa.RecordBatch.from_arrays([*kept.columns, *own], names=[*keep, "path", "content"])
+
+            for i, value in enumerate(batch.column(body)):
+                for path, text in leaves(read_json(value.as_py())[1]):
+                    rows.append(i)
+                    paths.append(path)
+                    texts.append(f"{path}: {text}")
+                    if len(rows) >= LEAVES:
+                        yield found()
+            yield found()
+
+    return flatten
+
+
+def all_leaves(df: DataFrame, body: str) -> DataFrame:
+    """Replace a JSON text column by one row per leaf: ``path``, ``content``."""
     keep = [c for c in df.columns if c != body]
-    todo, done = df.withColumn("_prefix", F.lit("")), None
-    while True:
-        flat = materialized(flatten_json(todo, body, levels, "_prefix"), "leaves")
-        leaves = flat.where(~F.col("too_deep")).select(*keep, "path", "content")
-        done = leaves if done is None else done.unionByName(leaves)
-        deeper = flat.where("too_deep")
-        if deeper.isEmpty():
-            return done
-        rest = F.expr("substring(content, length(path) + 3)").alias(body)
-        todo = deeper.select(*keep, rest, F.col("path").alias("_prefix"))
-
-
-def flatten_json(df: DataFrame, body: str, levels: int = LEVELS_PER_PASS, prefix: str | None = None) -> DataFrame:
-    """One pass: one row per leaf within ``levels`` levels: ``path``, ``content``, ``too_deep``.
-
-    Every level is one generator over the rows of the level above, so the whole pass is narrow; a
-    leaf that is already reached passes through. The unopened rest comes back as rows with
-    ``too_deep`` set and the rest's JSON as content. ``prefix`` names a column with the path above.
-    Unreadable bodies give no rows.
-    """
-    explode = df.sparkSession.tvf.variant_explode_outer
-    keep = [c for c in df.columns if c not in (body, prefix)]
-    node, path = F.col("_node"), F.col("path")
-    rows = df.select(*keep, F.try_parse_json(F.col(body)).alias("_node"), (F.col(prefix) if prefix else F.lit("")).alias("path"))
-    for _ in range(levels):
-        child = F.when(path == "", F.col("key")).otherwise(
-            F.concat(path, F.lit(SEPARATOR), F.col("key"))
-        )
-        rows = rows.lateralJoin(explode(node.outer()), how="left").select(
-            *keep,
-            F.coalesce(F.col("value"), node).alias("_node"),
-            # No key: a list element, which keeps its parent's path, or a leaf.
-            F.when(F.col("key").isNotNull(), child).otherwise(path).alias("path"),
-        )
-    kind, value = F.col("_kind"), F.col("_value")
-    container = kind.startswith("OBJECT<") | kind.startswith("ARRAY<")
-    empty = (value == "") | (F.col("too_deep") & value.isin("{}", "[]"))
-    leaves = (
-        rows.select(*keep, "path", node, F.schema_of_variant(node).alias("_kind"))
-        .select(
-            *keep,
-            "path",
-            container.alias("too_deep"),
-            F.when(container, F.to_json(node))
-            .when(kind != "VOID", _leaf_text(node, kind))
-            .alias("_value"),
-        )
-        .select(
-            *keep,
-            "path",
-            "too_deep",
-            F.when(~empty, F.concat(F.col("path"), F.lit(": "), value)).alias("_content"),
-        )
-    )
-    return leaves.transform(drop_null("_content", "content")).select(
-        *keep, "path", "content", "too_deep"
-    )
+    fields = [df.schema[c] for c in keep]
+    schema = T.StructType([*fields, T.StructField("path", T.StringType()), T.StructField("content", T.StringType())])
+    return df.mapInArrow(_flatten(body, keep), schema)
+
+
+@F.pandas_udf(T.BooleanType())
+def _readable(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda body: read_json(body)[0])
+
+
+def is_readable(body: Column) -> Column:
+    """Whether a body is JSON."""
+    return F.coalesce(_readable(body), F.lit(False))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askwell.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, chunk_texts
-from askwell.operators.flatten import LEVELS_PER_PASS
 from askwell.operators.dedup import last_wins, with_content_id
 from askwell.functions.text import has_http_scheme, is_safe_url
 from askwell.operators.report import rejects
@@ -45,13 +44,13 @@ def file_chunks(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
     return _chunk_rows(chunk_texts(file_documents(files), "text", size, overlap))
 
 
-def leaf_chunks(responses: DataFrame, levels: int = LEVELS_PER_PASS) -> DataFrame:
+def leaf_chunks(responses: DataFrame) -> DataFrame:
     """``responses``: url, status, body, source_pos, doc_pos. Leaves are not cut.
 
     Leaves with equal text in one response differ in nothing, so they need no
     order of their own.
     """
-    leaves = leaf_documents(responses, levels)
+    leaves = leaf_documents(responses)
     return _chunk_rows(
         leaves.withColumns(
             {"chunk_no": F.lit(0), "start_index": F.lit(None).cast("int")}
@@ -67,14 +66,13 @@ def ingest(
     pages: DataFrame | None = None,
     responses: DataFrame | None = None,
     files: DataFrame | None = None,
-    levels: int = LEVELS_PER_PASS,
 ) -> DataFrame:
     """Chunk rows of all inputs, repeated texts still in."""
     parts = []
     if pages is not None:
         parts.append(page_chunks(pages))
     if responses is not None:
-        parts.append(leaf_chunks(responses, levels))
+        parts.append(leaf_chunks(responses))
     if files is not None:
         parts.append(file_chunks(files))
     if not parts:
@@ -91,7 +89,7 @@ def distinct_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def ingest_manifest(
-    configs: DataFrame, pages: DataFrame, responses: DataFrame, files: DataFrame, levels: int = LEVELS_PER_PASS
+    configs: DataFrame, pages: DataFrame, responses: DataFrame, files: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Chunk rows of what the configurations list, and the rejects ``(source, type, reason)``.
 
@@ -118,4 +116,4 @@ def ingest_manifest(
     turned_away = parts[0]
     for part in parts[1:]:
         turned_away = turned_away.unionByName(part)
-    return ingest(web, api, texts, levels), turned_away
+    return ingest(web, api, texts), turned_away

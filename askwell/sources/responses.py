@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askwell.operators.flatten import LEVELS_PER_PASS, all_leaves
+from askwell.operators.flatten import all_leaves, is_readable
 
 AUTH_STATUSES = (401, 403)
 # Bodies that count as "nothing there" although a leaf could be read from them.
@@ -22,20 +22,18 @@ def route(status: Column) -> Column:
 def reject_reason(status: Column, body: Column) -> Column:
     """Why a response gives no documents; null if it is usable."""
     routed = route(status)
-    unreadable = F.try_parse_json(body).isNull()
-    return F.when(routed != "ok", routed).when(unreadable, F.lit("unreadable"))
+    return F.when(routed != "ok", routed).when(~is_readable(body), F.lit("unreadable"))
 
 
-def leaf_documents(responses: DataFrame, levels: int = LEVELS_PER_PASS) -> DataFrame:
+def leaf_documents(responses: DataFrame) -> DataFrame:
     """One ``(source, type, content)`` row per leaf of every usable response.
 
     Columns other than ``url``, ``status`` and ``body`` are kept. Leaves are not
-    cut, however long they are, nor left out, however deep they lie; ``levels`` is how many one
-    pass opens.
+    cut, however long they are, nor left out, however deep they lie.
     """
     keep = [c for c in responses.columns if c not in ("url", "status", "body")]
     usable = responses.where((F.col("status") == 200) & ~F.col("body").rlike(EMPTY_SCALAR))
-    leaves = all_leaves(usable.select(*keep, "url", "body"), "body", levels)
+    leaves = all_leaves(usable.select(*keep, "url", "body"), "body")
     return leaves.select(
         *keep,
         F.col("url").alias("source"),

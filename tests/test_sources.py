@@ -3,9 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from askwell.functions.numbers import float_text
 from askwell.functions.text import clean_question, has_http_scheme, is_safe_url, strip, url_host
-from askwell.operators.flatten import all_leaves, flatten_json
+from askwell.operators.flatten import all_leaves, is_readable
 from askwell.sources import files, manifest, pages, responses
 
 
@@ -72,11 +71,12 @@ def test_response_route(spark, status, route):
     assert one(spark, responses.route, status, "int") == route
 
 
-@pytest.mark.parametrize(
-    "x", [1.0, 0.1, -2.5, 1e7, 123456789.25, 1e15, 1e16, 1e20, 1e100, 1.5e-4, 1e-5, -2.5e-10, 0.001, 0.0]
-)
-def test_float_text_is_python_text(spark, x):
-    assert one(spark, float_text, x, "double") == str(x)
+NUMBERS = [1.0, 0.1, -2.5, 1e7, 123456789.25, 1e15, 1e16, 1e20, 1e100, 1.5e-4, 1e-5, -2.5e-10, 0.001, 0.0]
+
+
+def test_numbers_are_python_text(spark):
+    rows = spark.createDataFrame([(i, json.dumps({"x": x})) for i, x in enumerate(NUMBERS)], "id int, body string")
+    assert {r.id: r.content for r in all_leaves(rows, "body").collect()} == {i: f"x: {x}" for i, x in enumerate(NUMBERS)}
 
 
 # Bodies with the leaves that are expected of them.
@@ -106,21 +106,31 @@ def test_leaf_documents(spark):
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize("levels", [1, 2, 8])
-def test_no_leaf_is_lost_to_the_levels_of_a_pass(spark, levels):
+def test_no_leaf_is_lost_however_deep(spark):
     deep = '{"k":' * 200 + "7" + "}" * 200
-    rows = [(1, '{"a":{"b":[1,{"c":" x "}]},"c":2}'), (2, "[" * 300), (3, "{" * 300 + "}" * 299)]
-    if levels == 8:
-        rows.append((4, deep))
-    got = {(r.id, r.content) for r in all_leaves(spark.createDataFrame(rows, "id int, body string"), "body", levels).collect()}
-    want = {(1, "a > b: 1"), (1, "a > b > c: x"), (1, "c: 2")}
-    assert got == want | ({(4, " > ".join(["k"] * 200) + ": 7")} if levels == 8 else set())
+    rows = [(1, '{"a":{"b":[1,{"c":" x "}]},"c":2}'), (2, "[" * 300), (3, "{" * 300 + "}" * 299), (4, deep), (5, "[" * 900 + "8" + "]" * 900), (6, None)]
+    rows += [(7, "[" * 1_000_000), (8, json.dumps(list(range(50_000)))), (9, '"half \\ud800 pair"'), (10, "1" * 5000)]
+    landed = spark.createDataFrame([(i, "k", b) for i, b in rows], "id int, path_ string, body string")
+    got = [(r.id, r.content) for r in all_leaves(landed, "body").collect()]
+    want = {(1, "a > b: 1"), (1, "a > b > c: x"), (1, "c: 2"), (4, " > ".join(["k"] * 200) + ": 7"), (5, ": 8"), (9, ": half ? pair")}
+    assert len(got) == len(want) + 50_000
+    assert set(got) == want | {(8, f": {i}") for i in range(50_000)}
+    readable = {r.id for r in landed.where(is_readable(F.col("body"))).collect()}
+    assert readable == {1, 4, 5, 8, 9}
+
+
+def test_empty_payloads_and_blank_leaves(spark):
+    rows = spark.createDataFrame([("u", 200, b) for b in EMPTY] + [("u", 200, '{"a":" \\n","b":null,"c":[[],{}]}')], "url string, status int, body string")
+    assert responses.leaf_documents(rows).count() == 0
 
 
-def test_one_pass_marks_the_rest(spark):
-    rows = spark.createDataFrame([('{"a":{"b":[1]},"c":2}',)], "body string")
-    got = {(r.content, r.too_deep) for r in flatten_json(rows, "body", 1).collect()}
-    assert got == {('a: {"b":[1]}', True), ("c: 2", False)}
+def test_leaves_of_a_stream(spark, tmp_path):
+    schema = "id int, body string"
+    spark.createDataFrame([(1, '{"a":[1,2]}'), (2, "{")], schema).write.parquet(str(tmp_path / "in"))
+    stream = all_leaves(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "body")
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert {(r.id, r.content) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, "a: 1"), (1, "a: 2")}
 
 
 @pytest.mark.parametrize(
@@ -135,10 +145,12 @@ def test_host_is_read_from_the_text(spark, url, host):
     assert one(spark, url_host, url) == host
 
 
-def test_flatten_is_one_narrow_pass(spark):
+def test_flatten_is_one_narrow_pass_and_runs_nothing_early(spark, monkeypatch):
     rows = spark.createDataFrame([('{"a":1}',)], "body string")
-    plan = flatten_json(rows, "body", 3)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Union" not in plan and plan.count("parseJson") == 1
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = jobs()
+    plan = all_leaves(rows, "body")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Union" not in plan and plan.count("MapInArrow") == 1 and jobs() == before
 
 
 def test_page_text(spark):
