@@ -1,28 +1,18 @@
-"""The chunk table: insert-or-replace by id on plain parquet.
-
-A batch is written as a *delta* of its own size, so a refresh that changes little
-writes little. A reader sees the latest *full* version with all deltas laid over
-it that it has not folded. ``compact`` folds them into a new full version now and
-then.
-
-A batch is known by its writer and its number with that writer, so several
-streams can write to one store, and a stream that starts anew is another writer.
-Its place in time is a sequence number taken when it is written. A directory
-counts once Spark has marked it complete, so a failed or killed write leaves the
-table as it was; a batch that is there, or was folded, is skipped, which makes
-replays harmless.
+"""A table of rows by key on plain parquet: insert or replace, never delete.
+
+Every batch is written whole into a folder of its own, named by its place in time, its writer (a stream's
+id, say) and its number with that writer, and a reader takes the latest row of each key. The checkpoint of
+Structured Streaming decides which batches there are; here a batch that was written before is skipped, so
+a replay changes nothing. A folder counts once Spark has marked it complete.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from askwell.operators.dedup import last_wins
+from askwell.session import delete
 
 CHUNK_SCHEMA = T.StructType(
     [
@@ -33,136 +23,66 @@ CHUNK_SCHEMA = T.StructType(
         T.StructField("start_index", T.IntegerType()),
     ]
 )
-_VERSION = re.compile(r"^(full|delta)-(\d{12})(?:-([A-Za-z0-9_.-]+)-(\d{12}))?$")
 DEFAULT_WRITER = "main"
+# The folder's own columns: place in time, and the batch.
+_BATCH = T.StructType(
+    [T.StructField("_at", T.LongType()), T.StructField("_writer", T.StringType()), T.StructField("_batch", T.LongType())]
+)
 
 
-@dataclass(frozen=True)
-class Version:
-    kind: str
-    sequence: int
-    writer: str = ""
-    batch: int = 0
+class ChunkStore:
+    """A folder of batches; ``schema`` may add columns such as a vector, or be one of other rows with a ``key``."""
 
-    @property
-    def name(self) -> str:
-        own = f"-{self.writer}-{self.batch:012d}" if self.kind == "delta" else ""
-        return f"{self.kind}-{self.sequence:012d}{own}"
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType = CHUNK_SCHEMA, key: str = "chunk_id"):
+        self.spark, self.root, self.schema, self.key = spark, root.rstrip("/"), schema, key
 
+    def batches(self, own: str = "_writer=*/_batch=*", complete: bool = True) -> list[str]:
+        """Folders of the batches that are there."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_at=*/{own}" + "/_SUCCESS" * complete)
+        found = place.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(place) or []
+        return sorted(f.getPath().toString().removesuffix("/_SUCCESS") for f in found)
 
-class ChunkStore:
-    """A folder of chunk versions; ``schema`` may add columns such as a vector."""
-
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType = CHUNK_SCHEMA):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.schema = schema
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-
-    def _fs(self):
-        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _found(self) -> list[Version]:
-        """All version folders, complete or not."""
-        fs = self._fs()
-        if not fs.exists(self._path("")):
-            return []
-        names = (_VERSION.match(f.getPath().getName()) for f in fs.listStatus(self._path("")))
-        return [Version(m[1], int(m[2]), m[3] or "", int(m[4] or 0)) for m in names if m]
-
-    def versions(self) -> list[Version]:
-        """Complete versions, oldest first; empty when the store does not exist yet."""
-        fs = self._fs()
-        done = [v for v in self._found() if fs.exists(self._path(f"{v.name}/_SUCCESS"))]
-        done = [v for v in done if v.kind == "delta" or fs.exists(self._path(f"{v.name}/_folded"))]
-        return sorted(done, key=lambda v: (v.sequence, v.name))
-
-    def _folded(self, full: Version) -> set[str]:
-        """Names of the deltas that a full version holds, also of those folded before."""
-        stream = self._fs().open(self._path(f"{full.name}/_folded"))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return set(text.split())
-
-    def _state(self) -> tuple[Version | None, set[str], list[Version]]:
-        """Latest full version, the names it holds, and the deltas it doesn't."""
-        visible = self.versions()
-        full = max((v for v in visible if v.kind == "full"), key=lambda v: v.sequence, default=None)
-        folded = self._folded(full) if full else set()
-        return full, folded, [v for v in visible if v.kind == "delta" and v.name not in folded]
-
-    def _read(self, version: Version) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{version.name}")
+    def holds(self, number: int, writer: str = DEFAULT_WRITER) -> bool:
+        """Whether this batch was written before."""
+        return bool(self.batches(f"_writer={writer}/_batch={number}"))
+
+    def rows(self) -> DataFrame:
+        """All rows of all batches, with the batch they came in."""
+        schema = T.StructType([*self.schema, *_BATCH])
+        folders = self.batches()
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.root).parquet(*folders)
 
     def read(self) -> DataFrame:
-        """The table, or an empty one."""
-        full, _, deltas = self._state()
-        table = self._read(full) if full else None
-        if deltas:
-            news = self._latest(deltas)
-            table = news if table is None else replace_by_id(table, news)
-        return self.spark.createDataFrame([], self.schema) if table is None else table
-
-    def _latest(self, deltas: list[Version]) -> DataFrame:
-        if len(deltas) == 1:
-            return self._read(deltas[0])
-        rows = None
-        for place, v in enumerate(deltas):
-            part = self._read(v).withColumn("_v", F.lit(place))
-            rows = part if rows is None else rows.unionByName(part)
-        return last_wins(rows, ["_v"]).drop("_v")
+        """The latest row of each key.
 
-    def holds(self, number: int, writer: str = DEFAULT_WRITER) -> bool:
-        """Whether this batch was written before."""
-        _, folded, deltas = self._state()
-        end = f"-{writer}-{number:012d}"
-        return any(v.writer == writer and v.batch == number for v in deltas) or any(n.endswith(end) for n in folded)
+        Only keys are shuffled to find those that came in more than once; the rows themselves meet
+        just these few, so they stay where the scan reads them while the few are small enough to
+        broadcast by Spark's own measure.
+        """
+        rows = self.rows().withColumn("_of", F.struct("_at", "_writer", "_batch"))
+        seen = rows.groupBy(self.key).agg(F.max("_of").alias("_last"), F.min("_of").alias("_first"))
+        again = seen.where(F.col("_first") != F.col("_last")).select(self.key, "_last")
+        latest = rows.join(again, self.key, "left").where(F.col("_last").isNull() | (F.col("_of") == F.col("_last")))
+        return latest.select(*self.schema.fieldNames())
 
     def upsert(self, batch: DataFrame, number: int, writer: str = DEFAULT_WRITER) -> bool:
-        """Write batch ``number`` of ``writer``, one row per id. False if there was nothing to do.
+        """Write batch ``number`` of ``writer``, one row per key. False if there was nothing to do.
 
-        An empty batch writes no version.
+        A batch without rows leaves nothing.
         """
-        if not _VERSION.match(f"delta-{0:012d}-{writer}-{0:012d}"):
-            raise ValueError("a writer's name is made of letters, digits, dots, underscores and hyphens")
+        if not writer.replace("-", "").replace("_", "").isalnum():
+            raise ValueError("a writer's name is made of letters, digits, underscores and hyphens")
         if self.holds(number, writer):
             return False
-        sequence = max((v.sequence for v in self._found()), default=-1) + 1
-        version = Version("delta", sequence, writer, number)
-        path = f"{self.root}/{version.name}"
+        at = max((int(f.split("/_at=")[1].split("/")[0]) for f in self.batches(complete=False)), default=-1) + 1
+        path = f"{self.root}/_at={at:012d}/_writer={writer}/_batch={number}"
         batch.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(path)
-        if not self.spark.read.schema(self.schema).parquet(path).head(1):
-            self._fs().delete(self._path(version.name), True)
-            return False
-        return True
-
-    def compact(self) -> None:
-        """Write the current table as one full version, with the names of all it holds."""
-        _, folded, deltas = self._state()
-        if not deltas:
-            return
-        table = self.read()
-        full = Version("full", max(v.sequence for v in self._found()) + 1)
-        table.write.mode("overwrite").parquet(f"{self.root}/{full.name}")
-        out = self._fs().create(self._path(f"{full.name}/_folded"), True)
-        try:
-            out.write(bytearray("\n".join(sorted(folded | {v.name for v in deltas})).encode()))
-        finally:
-            out.close()
-
-    def expire(self, keep_fulls: int = 2) -> None:
-        """Delete full versions but the last ``keep_fulls``, and the deltas that all of those hold."""
-        fulls = [v for v in self.versions() if v.kind == "full"]
-        if len(fulls) > keep_fulls:
-            oldest = fulls[-keep_fulls]
-            held = self._folded(oldest)
-            for v in self.versions():
-                if v.name in held or v in fulls[:-keep_fulls]:
-                    self._fs().delete(self._path(v.name), True)
+        if self.spark.read.schema(self.schema).parquet(path).head(1):
+            return True
+        delete(self.spark, path)
+        return False
 
 
 def replace_by_id(table: DataFrame, batch: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -30,7 +30,8 @@ from askwell.plans.shape import spread
 from askwell.session import configure, scratch_path
 from askwell.sources import files, manifest, pages, responses
 from askwell.streaming.questions import answer_stream
-from askwell.streaming.refresh import refresh
+from askwell.sources.listing import SEEN_SCHEMA
+from askwell.streaming.refresh import refresh, refresh_changed, refresh_manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -347,10 +348,10 @@ def source_manifest(spark, sf_dir):
 
 @query
 def missing_targets(spark, sf_dir):
-    """File targets, one per page, that no landed document carries the number of."""
+    """File targets, one per page, that no landed document carries the number of (files are named by their length)."""
     listed = manifest.source_manifest(_page_configs(spark, sf_dir))
-    landed = _table(spark, sf_dir, "labels").select(
-        F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path")
+    landed = _table(spark, sf_dir, "documents").select(
+        F.concat(F.col("n_chars").cast("string"), F.lit(".txt")).alias("path")
     )
     return manifest.missing_targets(listed, landed).select("page_id", "target")
 
@@ -388,27 +389,55 @@ def reject_report_query(spark, sf_dir):
     )
 
 
+PDF, GONE = "page-{}.pdf", "gone-{}.txt"
+
+
+def _named(pattern: str, number: str):
+    before, after = pattern.split("{}")
+    return F.concat(F.lit(before), F.col(number).cast("string"), F.lit(after))
+
+
+def _config(name, port, *sources):
+    listed = F.array(*(F.struct(F.lit(kind).alias("type"), target.alias("target")) for kind, target in sources))
+    return F.to_json(F.struct(name.alias("bot_name"), F.lit(port).alias("port"), listed.alias("sources")))
+
+
 def _manifest_configs(spark, sf_dir):
-    """One configuration per page, some with a bad address, a bad port or no name."""
-    web = F.struct(F.lit("static_url").alias("type"), F.col("url").alias("target"))
-    api = F.struct(F.lit("dynamic_json").alias("type"), F.concat(F.lit("https://api.example.com/users/"), F.col("page_id")).alias("target"))
-    suffix = F.when(F.col("page_id") % 5 == 0, ".pdf").otherwise(".txt")
-    file = F.struct(F.lit("local_file").alias("type"), F.concat(F.col("page_id").cast("string"), suffix).alias("target"))
-    name = F.when(F.col("page_id") % 11 == 0, "").otherwise(F.concat(F.lit("bot-"), "page_id"))
-    port = F.when(F.col("page_id") % 13 == 0, 80).otherwise(9000)
-    text = F.to_json(F.struct(name.alias("bot_name"), port.alias("port"), F.array(web, api, file).alias("sources")))
-    rows = _addressed_pages(spark, sf_dir).select("page_id", text.alias("config"))
-    return manifest.parse_configs(rows, "config")
+    """A configuration per page and one per document, and for each page two more that are of no use.
+
+    A page's lists its address, an odd address, an API, a PDF and a file that never came; a document's
+    lists its file.
+    """
+    own = _table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("own"))
+    pages_ = own.join(_addressed_pages(spark, sf_dir).select("page_id", "url"), "page_id")
+    api = F.concat(F.lit("https://api.example.com/users/"), F.col("page_id").cast("string"))
+    wanted = (
+        ("static_url", F.col("own")), ("static_url", F.col("url")), ("dynamic_json", api),
+        ("local_file", _named(PDF, "page_id")), ("local_file", _named(GONE, "page_id")),
+    )
+    good = pages_.select(_config(_named("bot-{}", "page_id"), 9000, *wanted).alias("config"))
+    unnamed = pages_.select(_config(F.lit(""), 9000, *wanted).alias("config"))
+    bad_port = pages_.select(_config(_named("bot-{}", "page_id"), 80, *wanted).alias("config"))
+    docs = _table(spark, sf_dir, "documents")
+    files_ = docs.select(_config(_named("docs-{}", "doc_id"), 9000, ("local_file", _named("{}.txt", "doc_id"))).alias("config"))
+    return manifest.parse_configs(good.unionAll(unnamed).unionAll(bad_port).unionAll(files_), "config")
 
 
-def _manifest_run(spark, sf_dir):
-    pages_ = _addressed_pages(spark, sf_dir).select("url", "html", F.col("page_id").alias("doc_pos"))
+def _manifest_landed(spark, sf_dir):
+    """All pages, at their own and at odd addresses; all responses; all documents as text files and all pages as PDFs."""
+    pages_ = _table(spark, sf_dir, "pages").select("url", "html", F.col("page_id").alias("doc_pos"))
+    odd = _addressed_pages(spark, sf_dir).select("url", "html", F.col("page_id").alias("doc_pos"))
+    texts = _table(spark, sf_dir, "documents").select(
+        _named("{}.txt", "doc_id").alias("source"), F.col("text").alias("raw"), F.col("doc_id").alias("doc_pos")
+    )
+    pdfs = pages_.select(_named(PDF, "doc_pos").alias("source"), F.col("html").alias("raw"), "doc_pos")
+    odd = odd.join(pages_.select("url", "doc_pos"), ["url", "doc_pos"], "left_anti")
     answers = _landed_responses(spark, sf_dir).drop("source_pos")
-    texts = _table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(
-        F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ".pdf").otherwise(".txt")).alias("source"),
-        F.col("text").alias("raw"), F.col("doc_id").alias("doc_pos"),
-    )
-    return plan.ingest_manifest(_manifest_configs(spark, sf_dir), pages_, answers, texts)
+    return pages_.unionByName(odd), answers, texts.unionByName(pdfs)
+
+
+def _manifest_run(spark, sf_dir):
+    return plan.ingest_manifest(_manifest_configs(spark, sf_dir), *_manifest_landed(spark, sf_dir))
 
 
 @query
@@ -451,14 +480,61 @@ def _store_rows(docs):
 
 @query
 def store_two_batches(spark, sf_dir):
-    """The same through versions on disk, with a compaction in between."""
+    """The same through batches on disk; a replay of the first one changes nothing."""
     store = ChunkStore(spark, scratch_path(spark, "store"))
     store.upsert(_store_rows(_distinct_documents(spark, sf_dir)), 1)
-    store.compact()
     store.upsert(_store_rows(_labelled(spark, sf_dir)), 2)
+    store.upsert(_store_rows(_distinct_documents(spark, sf_dir)), 1)
     return store.read().select("chunk_id", "source")
 
 
+@query
+def refresh_manifests(spark, sf_dir):
+    """Pages by one manifest, then documents by an edited one, then a broken one, which changes nothing."""
+    store = ChunkStore(spark, scratch_path(spark, "store"))
+    folder = scratch_path(spark, "configs")
+    configs = _manifest_configs(spark, sf_dir)
+    web = F.exists("sources", lambda s: s["type"] == "static_url")
+    read = lambda: manifest.with_defaults(spark.read.schema(manifest.CONFIG).json(folder))
+    for number, edited in enumerate((configs.where(web), configs.where(~web), configs.withColumn("bot_name", F.lit("")))):
+        edited.write.mode("overwrite").json(folder)
+        refresh_manifest(read, lambda: _manifest_landed(spark, sf_dir), store, "timer", number)
+    return store.read().select("chunk_id", "source", "type")
+
+
+@query
+def refresh_changed_files(spark, sf_dir):
+    """Documents as one file per source, of which some are written anew: only these are opened again."""
+    docs = _table(spark, sf_dir, "documents")
+    root = scratch_path(spark, "landed")
+    store = ChunkStore(spark, scratch_path(spark, "store"))
+    seen = ChunkStore(spark, scratch_path(spark, "seen"), SEEN_SCHEMA, "source")
+
+    def read(spark, root, paths):
+        rows = spark.read.schema(docs.schema).parquet(root)
+        return rows.withColumn("source_file", F.col("_metadata.file_path")).where(F.col("source_file").isin(paths))
+
+    def to_chunks(rows):
+        return _whole_texts(rows, F.col("source"), "file", "doc_id")
+
+    land = docs.repartition("source").write.partitionBy("source")
+    land.parquet(root)
+    refresh_changed(spark, root, read, to_chunks, store, seen)
+    news = docs.where(F.col("source") > "src5").withColumn("text", F.concat("text", F.lit(" Second edition.")))
+    news = news.repartition("source").write.partitionBy("source").mode("overwrite")
+    news.option("partitionOverwriteMode", "dynamic").parquet(root)
+    refresh_changed(spark, root, read, to_chunks, store, seen)
+    return store.read().select("chunk_id", "source")
+
+
+def _whole_texts(batch, source, kind, position):
+    """Chunk rows of whole texts."""
+    return with_content_id(batch.withColumnRenamed("text", "content")).select(
+        "chunk_id", "content", source.alias("source"), F.lit(kind).alias("type"), F.lit(0).alias("start_index"),
+        source.alias("source_pos"), F.col(position).alias("doc_pos"), F.lit(0).alias("chunk_no"),
+    )
+
+
 @query
 def refresh_stream(spark, sf_dir):
     """Documents as a file stream into the store, taken once and then again."""
@@ -467,16 +543,7 @@ def refresh_stream(spark, sf_dir):
     checkpoint = scratch_path(spark, "progress")
 
     def to_chunks(batch: DataFrame) -> DataFrame:
-        return with_content_id(batch.withColumnRenamed("text", "content")).select(
-            "chunk_id",
-            "content",
-            "source",
-            F.lit("file").alias("type"),
-            F.lit(0).alias("start_index"),
-            F.col("source").alias("source_pos"),
-            F.col("doc_id").alias("doc_pos"),
-            F.lit(0).alias("chunk_no"),
-        )
+        return _whole_texts(batch, F.col("source"), "file", "doc_id")
 
     for _ in range(2):
         landed = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*.parquet")
@@ -536,10 +603,7 @@ def refresh_two_streams(spark, sf_dir):
     web = spark.readStream.schema(_table(spark, sf_dir, "pages").schema).parquet(f"{sf_dir}/pages*.parquet")
 
     def rows(source, kind, position):
-        return lambda batch: with_content_id(batch.withColumnRenamed("text", "content")).select(
-            "chunk_id", "content", source.alias("source"), F.lit(kind).alias("type"), F.lit(0).alias("start_index"),
-            source.alias("source_pos"), F.col(position).alias("doc_pos"), F.lit(0).alias("chunk_no"),
-        )
+        return lambda batch: _whole_texts(batch, source, kind, position)
 
     refresh(documents, rows(F.col("source"), "file", "doc_id"), store, scratch_path(spark, "progress")).awaitTermination()
     web = web.withColumnRenamed("html", "text")

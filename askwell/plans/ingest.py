@@ -18,20 +18,25 @@ from askwell.sources.responses import reject_reason as response_problem
 
 # Where a chunk stood in the run: source, row of the source, chunk of the row.
 POSITION = ("source_pos", "doc_pos", "chunk_no")
+# Shares that the landed rows of one target are dealt in, so that a target with most of them is no hot key.
+SALTS = 16
 CHUNK_COLUMNS = ("chunk_id", "content", "source", "type", "start_index", *POSITION)
 
 
 def listed(landed: DataFrame, manifest: DataFrame, kind: str, target: str) -> DataFrame:
     """Landed rows whose target the manifest lists under ``kind``, with its position.
 
-    A target listed more than once counts at its last position.
+    A target listed more than once counts at its last position. Every share of the landed rows
+    meets its own copy of the manifest row.
     """
     wanted = (
         manifest.where(F.col("type") == kind)
         .groupBy(F.col("target").alias(target))
         .agg(F.max("source_pos").alias("source_pos"))
     )
-    return landed.join(wanted, target)
+    dealt = landed.withColumn("_share", F.pmod(F.xxhash64("doc_pos"), F.lit(SALTS)).cast("int"))
+    copies = wanted.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [target, "_share"]).drop("_share")
 
 
 def page_chunks(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:

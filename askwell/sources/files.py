@@ -18,9 +18,19 @@ def _named(files: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(source, raw, modified)`` for every file below ``path`` (glob or folder)."""
+    """``(source, raw, modified)`` for every file below ``path`` (glob or folder).
+
+    A file that has vanished or can't be read to its end gives no row, and the others are read.
+    """
     reader = spark.read.format("text").schema(FILE_SCHEMA).option("wholetext", True)
-    return _named(reader.option("recursiveFileLookup", True).load(path))
+    tolerant = reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+    return _named(tolerant.option("recursiveFileLookup", True).load(path))
+
+
+def read_listed_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """The same for some of the files below ``root``; the condition on paths leaves the others unopened."""
+    files = read_files(spark, root)
+    return files.where(F.col("source").isin(paths)).withColumn("source_file", F.col("source"))
 
 
 def stream_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:

@@ -258,15 +258,27 @@ ingested AS (
   FROM f_chunks JOIN documents ON doc_id = id)"""
 
 LISTED = """
-configs AS (
-  SELECT page_id, url, page_id || CASE WHEN page_id % 5 = 0 THEN '.pdf' ELSE '.txt' END AS file,
-         'https://api.example.com/users/' || page_id AS api,
-         CASE WHEN page_id % 11 = 0 THEN 'bot_name' WHEN page_id % 13 = 0 THEN 'port' END AS problem FROM addressed),
-good AS (SELECT * FROM configs WHERE problem IS NULL),
-http AS (SELECT url FROM good WHERE url LIKE 'http://%' OR url LIKE 'https://%'),
-texts AS (
-  SELECT doc_id, doc_id || CASE WHEN doc_id % 5 = 0 THEN '.pdf' ELSE '.txt' END AS file
-  FROM documents WHERE doc_id % 3 <> 0)"""
+landed_pages AS (
+  SELECT page_id, url FROM pages
+  UNION ALL SELECT a.page_id, a.url FROM addressed a JOIN pages p USING (page_id) WHERE a.url <> p.url),
+wanted AS (SELECT 0 AS pos, url AS target FROM pages UNION ALL SELECT 1, url FROM addressed),
+http AS (
+  SELECT target, max(pos) AS pos FROM wanted WHERE target LIKE 'http://%' OR target LIKE 'https://%' GROUP BY 1),
+apis AS (SELECT 'https://api.example.com/users/' || page_id AS api FROM pages)"""
+
+MANIFEST_INGESTED = f"""
+{PAGE_BLOCKS},
+{chunk_ctes(PAGE_TEXT, 'w_')},
+{RESPONSES}, {ADDRESSED}, {LISTED},
+{LEAVES},
+{chunk_ctes('SELECT doc_id AS id, text FROM documents', 'f_')},
+ingested AS (
+  SELECT md5(content) AS chunk_id, url AS source, 'url' AS type, start_index, content, pos AS source_pos, id AS doc_pos, chunk_no, 0 AS run
+  FROM w_chunks JOIN landed_pages ON page_id = id JOIN http ON url = target WHERE {SAFE}
+  UNION ALL
+  SELECT md5(content), source, type, NULL::INTEGER, content, 2, event_id, 0, 0 FROM leaves WHERE source IN (SELECT api FROM apis)
+  UNION ALL
+  SELECT md5(content), id || '.txt', 'file', start_index, content, 0, id, chunk_no, 1 FROM f_chunks)"""
 
 DOC_CHUNKS = f"""
 {chunk_ctes('SELECT doc_id AS id, text FROM documents')},
@@ -361,7 +373,7 @@ SELECT page_id, {HOST} AS bot_name, 8000::INTEGER AS port, 0::INTEGER AS refresh
 FROM pages CROSS JOIN range(3) AS r(pos)""",
     "missing_targets": """
 SELECT page_id, page_id || '.txt' AS target FROM pages
-WHERE NOT EXISTS (SELECT 1 FROM labels WHERE doc_id = page_id)""",
+WHERE NOT EXISTS (SELECT 1 FROM documents WHERE n_chars = page_id)""",
     "ingest_all": f"""
 WITH RECURSIVE {INGESTED}
 SELECT chunk_id, source, type, start_index, length(content)::INTEGER AS n_chars FROM ingested
@@ -385,32 +397,30 @@ SELECT type, reason, count(*) AS rejected FROM rejected GROUP BY 1, 2""",
     "ingest_manifest_rejects": f"""
 WITH {RESPONSES}, {ADDRESSED}, {LISTED},
 rejected AS (
-  SELECT 'config' AS type, problem AS reason FROM configs WHERE problem IS NOT NULL
-  UNION ALL SELECT 'static_url', 'bad scheme' FROM good WHERE url NOT IN (SELECT url FROM http)
-  UNION ALL SELECT 'file', 'missing' FROM good WHERE file NOT IN (SELECT file FROM texts)
-  UNION ALL SELECT 'url', 'unsafe host' FROM addressed WHERE url IN (SELECT url FROM http) AND NOT {SAFE}
-  UNION ALL SELECT 'json', {ROUTE} FROM landed WHERE status <> 200 AND url IN (SELECT api FROM good)
-  UNION ALL SELECT 'json', 'unreadable' FROM landed WHERE status = 200 AND NOT json_valid(props) AND url IN (SELECT api FROM good)
-  UNION ALL SELECT 'file', 'pdf' FROM texts WHERE file LIKE '%.pdf' AND file IN (SELECT file FROM good))
+  SELECT 'config' AS type, unnest(['bot_name', 'port']) AS reason FROM pages
+  UNION ALL SELECT 'static_url', 'bad scheme' FROM wanted WHERE target NOT IN (SELECT target FROM http)
+  UNION ALL SELECT 'file', unnest(['missing', 'pdf']) FROM pages
+  UNION ALL SELECT 'url', 'unsafe host' FROM landed_pages WHERE url IN (SELECT target FROM http) AND NOT {SAFE}
+  UNION ALL SELECT 'json', {ROUTE} FROM landed WHERE status <> 200 AND url IN (SELECT api FROM apis)
+  UNION ALL SELECT 'json', 'unreadable' FROM landed WHERE status = 200 AND NOT json_valid(props) AND url IN (SELECT api FROM apis))
 SELECT type, reason, count(*) AS rejected FROM rejected GROUP BY 1, 2""",
     "ingest_manifest": f"""
-WITH RECURSIVE {PAGE_BLOCKS},
-{chunk_ctes(PAGE_TEXT, 'w_')},
-{RESPONSES}, {ADDRESSED}, {LISTED},
-{LEAVES},
-{chunk_ctes('SELECT doc_id AS id, text FROM documents', 'f_')},
-ingested AS (
-  SELECT md5(content) AS chunk_id, url AS source, 'url' AS type, start_index, content,
-         0 AS source_pos, page_id AS doc_pos, chunk_no
-  FROM w_chunks JOIN addressed ON page_id = id WHERE url IN (SELECT url FROM http) AND {SAFE}
-  UNION ALL
-  SELECT md5(content), source, type, NULL::INTEGER, content, 1, event_id, 0 FROM leaves WHERE source IN (SELECT api FROM good)
-  UNION ALL
-  SELECT md5(content), file, 'file', start_index, content, 2, doc_id, chunk_no
-  FROM f_chunks JOIN texts ON doc_id = id WHERE file NOT LIKE '%.pdf' AND file IN (SELECT file FROM good))
+WITH RECURSIVE {MANIFEST_INGESTED}
 SELECT chunk_id, source, type, start_index, length(content)::INTEGER AS n_chars FROM ingested
 QUALIFY row_number() OVER (
-  PARTITION BY chunk_id ORDER BY source_pos DESC, doc_pos DESC, chunk_no DESC) = 1""",
+  PARTITION BY chunk_id ORDER BY source_pos DESC, doc_pos DESC, chunk_no DESC, source DESC, start_index DESC NULLS LAST) = 1""",
+    "refresh_manifests": f"""
+WITH RECURSIVE {MANIFEST_INGESTED}
+SELECT chunk_id, source, type FROM ingested
+QUALIFY row_number() OVER (
+  PARTITION BY chunk_id
+  ORDER BY run DESC, source_pos DESC, doc_pos DESC, chunk_no DESC, source DESC, start_index DESC NULLS LAST) = 1""",
+    "refresh_changed_files": """
+WITH landed AS (
+  SELECT 0 AS run, md5(text) AS chunk_id, source, doc_id FROM documents
+  UNION ALL SELECT 1, md5(text || ' Second edition.'), source, doc_id FROM documents WHERE source > 'src5')
+SELECT chunk_id, source FROM landed
+QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY run DESC, source DESC, doc_id DESC) = 1""",
     "upsert_two_batches": f"WITH {DISTINCT_DOCS}, {LABELLED} {UPSERTED.format(more=', doc_id')}",
     "store_two_batches": f"WITH {DISTINCT_DOCS}, {LABELLED} {UPSERTED.format(more='')}",
     "refresh_stream": f"WITH {DISTINCT_DOCS} SELECT chunk_id, source FROM docs",

@@ -1,5 +1,8 @@
+import pytest
+
 from askwell.operators.dedup import last_wins, with_content_id
 from askwell.operators.store import ChunkStore, replace_by_id
+from askwell.sources.listing import SEEN_SCHEMA
 
 
 def rows(spark, *pairs):
@@ -35,7 +38,7 @@ def test_replace_by_id(spark):
     assert sources(replace_by_id(store, batch)) == {"t": "s3", "v": "s0", "n": "s4"}
 
 
-def test_versions(spark, tmp_path):
+def test_batches(spark, tmp_path):
     store = ChunkStore(spark, str(tmp_path / "store"))
     assert store.read().count() == 0
     assert store.upsert(rows(spark, row("t", "s1"), row("v", "s0")), 0)
@@ -46,26 +49,19 @@ def test_versions(spark, tmp_path):
     # A replayed batch changes nothing, even with other content.
     assert not store.upsert(rows(spark, row("t", "other")), 2)
     assert sources(store.read()) == want
-    # An empty batch writes no version.
-    before = store.versions()
+    # An empty batch writes nothing.
+    before = store.batches(complete=False)
     assert not store.upsert(rows(spark, row("x", "s")).limit(0), 3)
-    assert store.versions() == before
-    store.compact()
-    assert sources(store.read()) == want
+    assert store.batches(complete=False) == before
     assert store.upsert(rows(spark, row("v", "s9")), 4)
-    store.compact()
-    assert store.upsert(rows(spark, row("z", "s9")), 5)
-    store.compact()
-    store.expire(keep_fulls=2)
-    assert [v.kind for v in store.versions()] == ["full", "delta", "full"]
-    assert sources(store.read()) == {**want, "v": "s9", "z": "s9"}
+    assert sources(store.read()) == {**want, "v": "s9"} and store.read().count() == 3
 
 
-def test_unfinished_version_is_ignored(spark, tmp_path):
+def test_unfinished_batch_is_ignored(spark, tmp_path):
     store = ChunkStore(spark, str(tmp_path / "store"))
     store.upsert(rows(spark, row("t", "s1")), 0)
     store.upsert(rows(spark, row("t", "s2")), 1)
-    (tmp_path / "store" / "delta-000000000001-main-000000000001" / "_SUCCESS").unlink()
+    (tmp_path / "store" / "_at=000000000001" / "_writer=main" / "_batch=1" / "_SUCCESS").unlink()
     assert sources(store.read()) == {"t": "s1"}
     assert store.upsert(rows(spark, row("t", "s3")), 1)
     assert sources(store.read()) == {"t": "s3"}
@@ -75,15 +71,31 @@ def test_writers_do_not_meet(spark, tmp_path):
     store = ChunkStore(spark, str(tmp_path / "store"))
     assert store.upsert(rows(spark, row("t", "s1")), 5, "a")
     assert store.upsert(rows(spark, row("u", "s1")), 5, "b")
-    store.compact()
-    # A late lower number counts, a replay of a folded batch doesn't.
+    # A late lower number counts, a replay doesn't.
     assert store.upsert(rows(spark, row("v", "s1")), 2, "a")
     assert not store.upsert(rows(spark, row("x", "s1")), 5, "b")
     assert store.upsert(rows(spark, row("t", "s2")), 0, "a-again")
-    want = {"t": "s2", "u": "s1", "v": "s1"}
+    # Names and numbers that end alike are others.
+    assert store.upsert(rows(spark, row("w", "s1")), 1, "x-main") and store.upsert(rows(spark, row("w", "s2")), 1, "main")
+    assert store.upsert(rows(spark, row("y", "s1")), 11, "main")
+    want = {"t": "s2", "u": "s1", "v": "s1", "w": "s2", "y": "s1"}
     assert sources(store.read()) == want
-    for _ in range(3):
-        store.compact()
-        store.expire(keep_fulls=1)
-    assert sources(store.read()) == want and len(store.versions()) == 1
-    assert not store.upsert(rows(spark, row("x", "s1")), 2, "a")
+    assert not store.upsert(rows(spark, row("x", "s1")), 2, "a") and not store.upsert(rows(spark, row("x", "s1")), 1, "x-main")
+    with pytest.raises(ValueError):
+        store.upsert(rows(spark, row("x", "s1")), 0, "a/b")
+
+
+def test_reading_shuffles_keys_only(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    for i in range(3):
+        store.upsert(rows(spark, row("t", f"s{i}"), row(f"u{i}", "s")), i)
+    plan = store.read()._jdf.queryExecution().executedPlan().toString()
+    shuffled = plan[plan.index("Exchange hashpartitioning") :]
+    assert "content" not in shuffled and "max_by" not in plan
+
+
+def test_tables_of_other_rows(spark, tmp_path):
+    seen = ChunkStore(spark, str(tmp_path / "seen"), SEEN_SCHEMA, "source")
+    for i, length in enumerate((5, 7)):
+        seen.upsert(spark.createDataFrame([("f", i, length)], SEEN_SCHEMA), i)
+    assert [tuple(r) for r in seen.read().collect()] == [("f", 1, 7)]
