@@ -32,8 +32,6 @@ DEFAULT_K = 5
 # with all of them distinct words a slice stays in the tens of megabytes.
 SLICE_QUESTIONS = 10_000
 SLICE_BYTES = 64 << 20
-# Hits that may be broadcast to look their texts up: about 100 bytes each.
-BROADCAST_HITS = 500_000
 # Lanes in which a question's hits are ranked before they meet.
 LANES = 64
 # Score cells a task holds at a time.
@@ -164,37 +162,35 @@ def nearest(
     """The ``k`` nearest chunks per question: ``query_id, chunk_id, distance, rank``.
 
     Exact. Equal distances are ordered by chunk id. With term vectors a chunk must
-    share a term with the question. More questions than one slice holds are
-    answered here and now, slice after slice, into a table in the scratch folder;
-    the driver never holds more than one slice.
+    share a term with the question. Questions are answered here and now, slice after
+    slice, into a table in the scratch folder; the driver never holds more than one
+    slice, and a slice's broadcast is given back when it is answered.
     """
     spark = chunks.sparkSession
-    schema = T.StructType(
-        [
-            T.StructField("query_id", questions.schema[query_id].dataType),
-            T.StructField("chunk_id", chunks.schema[chunk_id].dataType),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
     stored = chunks.select(F.col(chunk_id).alias("id"), F.col(vector).alias("vector"))
     asked = questions.where(F.col(vector).isNotNull()).select(query_id, vector)
-
-    def answer(part: DataFrame) -> tuple[DataFrame, Broadcast]:
-        shared = spark.sparkContext.broadcast(part.toArrow())
-        return rank_hits(stored.mapInArrow(_search(shared, k), schema), k), shared
-
-    count = _slice_count(asked, vector)
-    if count == 1:
-        return answer(asked)[0]
-    out = scratch_path(spark, "hits")
+    count, out = _slice_count(asked, vector), scratch_path(spark, "hits")
     place = F.pmod(F.xxhash64(query_id), F.lit(count))
     for i in range(count):
-        hits, shared = answer(asked.where(place == i))
+        hits, shared = slice_hits(stored, asked.where(place == i), k)
         hits.write.parquet(f"{out}/{i}")
         shared.destroy()
     return spark.read.schema(hits.schema).option("recursiveFileLookup", True).parquet(out)
 
 
+def slice_hits(stored: DataFrame, asked: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
+    """The ranked hits of one slice of questions, and its broadcast. ``stored``: id, vector; ``asked``: id, vector."""
+    schema = T.StructType(
+        [
+            T.StructField("query_id", asked.schema[0].dataType),
+            T.StructField("chunk_id", stored.schema["id"].dataType),
+            T.StructField("distance", T.DoubleType()),
+        ]
+    )
+    shared = stored.sparkSession.sparkContext.broadcast(asked.toArrow())
+    return rank_hits(stored.mapInArrow(_search(shared, k), schema), k), shared
+
+
 def _search(asked, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = asked.value
@@ -235,15 +231,6 @@ def rank_hits(hits: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     return few.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
 
 
-def with_chunks(
-    hits: DataFrame, chunks: DataFrame, columns: list[str], at_most: int | None = None
-) -> DataFrame:
-    """Look the hits' text and metadata up.
-
-    ``at_most`` bounds the hits (questions times k). Within ``BROADCAST_HITS`` they
-    are broadcast, so that the chunk table is scanned in place; otherwise, or if no
-    bound is known, the join is left to the optimizer's own size estimates.
-    """
-    if at_most is not None and at_most <= BROADCAST_HITS:
-        hits = F.broadcast(hits)
+def with_chunks(hits: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
+    """Look the hits' text and metadata up; hits are a written table, whose size the optimizer knows."""
     return hits.join(chunks.select("chunk_id", *columns), "chunk_id")

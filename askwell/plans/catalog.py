@@ -22,12 +22,13 @@ from askwell.operators.embed import (
 )
 from askwell.operators.flatten import all_leaves
 from askwell.operators.report import ingest_report, reject_report, rejects
-from askwell.operators.retrieve import DEFAULT_K, nearest, with_chunks
+from askwell.operators.postings import PostingsIndex
+from askwell.operators.retrieve import nearest, with_chunks
 from askwell.operators.store import CHUNK_SCHEMA, ChunkStore, replace_by_id
 from askwell.plans import ingest as plan
 from askwell.plans.answer import answer_contexts, answer_hits, answer_prompts
 from askwell.plans.shape import spread
-from askwell.session import configure, scratch_path
+from askwell.session import configure, scratch_path, written
 from askwell.sources import files, manifest, pages, responses
 from askwell.streaming.questions import answer_stream
 from askwell.sources.listing import SEEN_SCHEMA
@@ -76,10 +77,15 @@ def _distinct_documents(spark, sf_dir):
 
 
 def _stored_documents(spark, sf_dir):
-    """The distinct documents with their vectors, written once and read back."""
-    path = scratch_path(spark, "documents")
-    bag_of_words()(spread(_distinct_documents(spark, sf_dir))).write.parquet(path)
-    return spark.read.parquet(path)
+    """The distinct documents, written once and read back."""
+    return written(spread(_distinct_documents(spark, sf_dir)), scratch_path(spark, "documents"))
+
+
+def _indexed_documents(spark, sf_dir):
+    """An index of the distinct documents."""
+    index = PostingsIndex(spark, scratch_path(spark, "index"), parts=32, shard_postings=100_000)
+    index.add(bag_of_words()(spread(_distinct_documents(spark, sf_dir))))
+    return index
 
 
 @query
@@ -190,9 +196,17 @@ def retrieve_with_source(spark, sf_dir):
     # Written once: the search and the lookup of the hits' sources read the same distinct rows.
     docs = _stored_documents(spark, sf_dir)
     hits = answer_hits(docs, _questions(spark, sf_dir))
-    asked = _questions(spark, sf_dir).count()
-    found = with_chunks(hits, docs, ["source", "doc_id"], at_most=asked * DEFAULT_K)
-    return _hit_columns(found, "source", "doc_id")
+    return _hit_columns(with_chunks(hits, docs, ["source", "doc_id"]), "source", "doc_id")
+
+
+@query
+def retrieve_postings_top5(spark, sf_dir):
+    """The hits of ``retrieve_text_top5`` from a stored index; half of the documents are added later, some again."""
+    docs = bag_of_words()(spread(_distinct_documents(spark, sf_dir)))
+    index = PostingsIndex(spark, scratch_path(spark, "index"), parts=32, shard_postings=100_000)
+    index.add(docs.where(F.col("chunk_id") < "a"))
+    index.add(docs)
+    return _hit_columns(answer_hits(index, _questions(spark, sf_dir)))
 
 
 @query
@@ -553,13 +567,13 @@ def refresh_stream(spark, sf_dir):
 
 @query
 def question_stream(spark, sf_dir):
-    """Questions as a file stream answered from the distinct documents."""
+    """Questions as a file stream answered from an index of the distinct documents."""
     schema = _table(spark, sf_dir, "benchmark").schema
     out = scratch_path(spark, "answers")
     asked = spark.readStream.schema(schema).parquet(f"{sf_dir}/benchmark*.parquet")
     asked = asked.select(F.col("item_id").alias("query_id"), "text")
-    stored = _stored_documents(spark, sf_dir)
-    answer_stream(asked, lambda: stored, out, scratch_path(spark, "progress")).awaitTermination()
+    index = _indexed_documents(spark, sf_dir)
+    answer_stream(asked, lambda: index, out, scratch_path(spark, "progress")).awaitTermination()
     return _hit_columns(spark.read.parquet(out))
 
 

@@ -8,32 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from askwell.operators.embed import Embedder
+from askwell.operators.postings import PostingsIndex
 from askwell.operators.retrieve import DEFAULT_K
 from askwell.plans.answer import answer_hits, answer_prompts
 from askwell.streaming.refresh import with_interval
 
 
 def _per_batch(
-    questions: DataFrame,
-    snapshot: Callable[[], DataFrame],
-    answer: Callable[[DataFrame, DataFrame], DataFrame],
-    out: str,
-    checkpoint: str,
-    interval_minutes: int,
+    questions: DataFrame, answer: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, interval_minutes: int
 ) -> StreamingQuery:
     def write(batch: DataFrame, number: int) -> None:
-        chunks = snapshot()
-        if "vector" not in chunks.columns:
-            raise ValueError("a stream is answered from stored vectors; embed the chunks when they are stored")
-        answer(chunks, batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        answer(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = questions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return with_interval(writer, interval_minutes).start()
 
 
+def _stored(snapshot: Callable[[], DataFrame | PostingsIndex]) -> DataFrame | PostingsIndex:
+    stored = snapshot()
+    if isinstance(stored, DataFrame) and "vector" not in stored.columns:
+        raise ValueError("a stream is answered from stored vectors; embed the chunks when they are stored")
+    return stored
+
+
 def answer_stream(
     questions: DataFrame,
-    snapshot: Callable[[], DataFrame],
+    snapshot: Callable[[], DataFrame | PostingsIndex],
     out: str,
     checkpoint: str,
     embedder: Embedder | None = None,
@@ -42,12 +42,12 @@ def answer_stream(
 ) -> StreamingQuery:
     """Write the hits of each micro-batch of questions below ``out``.
 
-    ``snapshot`` is called per batch, so answers follow the table as it is
-    refreshed; it must bring the chunks' vectors, as the corpus is never embedded
-    here. A batch overwrites its own folder, so a replay repeats nothing.
+    ``snapshot`` is called per batch, so answers follow the table as it is refreshed. It gives an index,
+    of which a batch reads the terms it asks for, or the chunks with their vectors, which a batch scans;
+    the corpus is never embedded here. A batch overwrites its own folder, so a replay repeats nothing.
     """
-    answer = lambda chunks, batch: answer_hits(chunks, batch, embedder, k)
-    return _per_batch(questions, snapshot, answer, out, checkpoint, interval_minutes)
+    answer = lambda batch: answer_hits(_stored(snapshot), batch, embedder, k)
+    return _per_batch(questions, answer, out, checkpoint, interval_minutes)
 
 
 def prompt_stream(
@@ -59,7 +59,12 @@ def prompt_stream(
     k: int = DEFAULT_K,
     system: Column | None = None,
     interval_minutes: int = 0,
+    index: Callable[[], PostingsIndex] | None = None,
 ) -> StreamingQuery:
-    """The same, with a prompt per question in place of its hits."""
-    answer = lambda chunks, batch: answer_prompts(chunks, batch, embedder, k, system)
-    return _per_batch(questions, snapshot, answer, out, checkpoint, interval_minutes)
+    """The same, with a prompt per question in place of its hits; ``index`` is asked for the hits, if given."""
+
+    def answer(batch: DataFrame) -> DataFrame:
+        chunks = snapshot() if index else _stored(snapshot)
+        return answer_prompts(chunks, batch, embedder, k, system, index() if index else None)
+
+    return _per_batch(questions, answer, out, checkpoint, interval_minutes)

@@ -333,6 +333,8 @@ FROM ranked QUALIFY rank <= 5""",
 WITH {DISTINCT_DOCS}, counted AS ({terms_of('docs', 'chunk_id', 'text')})
 SELECT chunk_id, term, tf FROM docs LEFT JOIN counted USING (chunk_id)""",
     "retrieve_text_top5": f"""
+WITH {DISTINCT_DOCS}, {retrieval_ctes('docs', 'text')} SELECT {HIT_COLUMNS} FROM hits""",
+    "retrieve_postings_top5": f"""
 WITH {DISTINCT_DOCS}, {retrieval_ctes('docs', 'text')} SELECT {HIT_COLUMNS} FROM hits""",
     "retrieve_with_source": f"""
 WITH {DISTINCT_DOCS}, {retrieval_ctes('docs', 'text')}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from askwell.operators import retrieve
 from askwell.operators.embed import bag_of_words, batch_model, check_same_embedder, hashed_words
-from askwell.operators.retrieve import nearest
+from askwell.operators.retrieve import nearest, slice_hits
 from askwell.plans.answer import answer_hits, answer_prompts
 
 WORDS = "red blue green sky sea the of and old new".split()
@@ -65,7 +65,10 @@ def test_dense_like_brute_force(spark):
 def test_no_pairs_are_shuffled(spark):
     stored = spark.createDataFrame(texts(1, 20), "chunk_id string, content string")
     asked = spark.createDataFrame(texts(2, 3), "query_id string, text string")
-    plan = answer_hits(stored, asked)._jdf.queryExecution().executedPlan().toString()
+    stored, asked = bag_of_words()(stored), bag_of_words()(asked, "text")
+    found, shared = slice_hits(stored.selectExpr("chunk_id id", "vector"), asked.select("query_id", "vector"), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    shared.destroy()
     # k hits per question and task go to the lanes, k per question and lane to the last ranking.
     assert "Join" not in plan and "Cartesian" not in plan and plan.count("Exchange") == 2
     assert plan.count("WindowGroupLimit") >= 2

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from askwell.operators.store import ChunkStore
 from askwell.plans.answer import answer_hits, answer_prompts
 from askwell.plans.ingest import distinct_chunks, file_chunks
+from askwell.operators.postings import PostingsIndex
 from askwell.operators.report import ingest_report
 from askwell.sources import listing
 from askwell.sources.files import read_files, read_listed_files, stream_files
@@ -91,6 +92,10 @@ def test_streamed_answers_equal_batch_answers(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out").select(columns).collect()
     want = answer_hits(chunks, spark.read.schema(schema).parquet(f"{tmp_path}/asked/*")).select(columns)
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
+    index = PostingsIndex(spark, f"{tmp_path}/index", parts=4)
+    index.add(chunks)
+    answer_stream(stream, lambda: index, f"{tmp_path}/indexed", f"{tmp_path}/progress-4").awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/indexed").select(columns).collect())) == sorted(map(tuple, got))
     prompt_stream(stream, lambda: chunks, f"{tmp_path}/prompts", f"{tmp_path}/progress-2").awaitTermination()
     asked = spark.read.schema(schema).parquet(f"{tmp_path}/asked/*")
     prompts = {r.query_id: r.prompt for r in spark.read.parquet(f"{tmp_path}/prompts").collect()}
