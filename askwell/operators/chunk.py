@@ -5,217 +5,132 @@ cut before each line break, then before each space, then anywhere. Neighbouring
 short pieces are packed into chunks of at most ``size`` characters, and a chunk
 starts with up to ``overlap`` characters of the one before it.
 
-Everything is one expression over the row: no shuffle, no key and no Python, so
-a source that owns a third of all rows is spread like any other. Long texts are
-read through fixed-size blocks, because reaching a character offset in a UTF-8
-string costs a scan from its start.
+Kept separators make every chunk a range of its text, so a text is walked over the
+offsets of its pieces: two binary searches give a chunk's end and the next one's
+start. Texts are taken row by row from Arrow batches, without any shuffle or key, so
+a source that owns a third of all rows is spread like any other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import sys
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
-from askwell.functions.text import WHITE_SPACE, quoted, sql_let
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+# Tasks get this module's code with the job: executors need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_SIZE = 500
 CHUNK_OVERLAP = 100
-STEPS = 128
+# Chunks of an Arrow batch that a task returns.
+CHUNKS = 10_000
 
 PARAGRAPH, LINE, WORD = "\n\n", "\n", " "
 
-# One piece per match; every piece but the first starts with its separator.
-_PIECES = {
-    PARAGRAPH: r"(?s)\n\n.*?(?=\n\n|\z)|.+?(?=\n\n|\z)",
-    LINE: r"\n[^\n]*|[^\n]+",
-    WORD: r" [^ ]*|[^ ]+",
-}
-# A run is text that is packed on its own. ``mark`` stands where a piece starts in
-# ``guide``, or in the text itself if there is no guide; a text that is one long
-# piece has no mark.
-_NO_RUNS = "cast(array() as array<struct<mark:string,body:string,guide:string>>)"
-
-# The functions below compose SQL text: arguments and results are expressions.
-
-
-def _run(mark: str | None, body: str, guide: str = "null") -> str:
-    mark = "null" if mark is None else f"'{mark}'"
-    return (
-        f"named_struct('mark', cast({mark} as string), 'body', {body},"
-        f" 'guide', cast({guide} as string))"
-    )
-
-
-def _blocks(text: str, width: int) -> str:
-    cut = f"regexp_extract_all({text}, r'(?s).{{1,{width}}}', 0)"
-    return f"if(char_length({text}) <= {width}, array({text}), {cut})"
-
-
-def _window(blocks: str, start: str, width: int) -> str:
-    """``width`` characters from the 0-based ``start``; blocks are ``width`` wide."""
-    i = f"cast({start} div {width} as int)"
-    two = f"concat(get({blocks}, {i}), coalesce(get({blocks}, {i} + 1), ''))"
-    return f"substring({two}, {start} % {width} + 1, {width})"
 
-
-def _split(segment: str, sep: str, size: int) -> str:
-    """Runs of a segment: neighbouring short pieces joined, long pieces alone.
-
-    With a one-character separator the text is its own guide; paragraph breaks can
-    touch ("\n\n\n"), so their guide is drawn from the pieces.
-    """
-
-    def joined(pieces: str) -> str:
-        body = f"array_join({pieces}, '')"
-        if sep != PARAGRAPH:
-            return _run(sep, body)
-        drawn = f"transform({pieces}, p -> rpad('{LINE}', char_length(p), '.'))"
-        return _run(LINE, body, f"array_join({drawn}, '')")
-
-    left, right = "get(cuts, k - 1)", "get(cuts, k)"
-    short = joined(f"slice(pieces, {left} + 1, {right} - {left} - 1)")
-    around = (
-        f"concat(if({right} - {left} > 1, array({short}), {_NO_RUNS}),"
-        f" if({right} <= size(pieces), array({_run(None, f'get(pieces, {right} - 1)')}), {_NO_RUNS}))"
-    )
-    between_long = sql_let(
-        "cuts",
-        "concat(array(0), long_at, array(size(pieces) + 1))",
-        f"flatten(transform(sequence(1, size(cuts) - 1), k -> {around}))",
-    )
-    grouped = sql_let(
-        "long_at",
-        f"filter(sequence(1, size(pieces)), i -> char_length(get(pieces, i - 1)) >= {size})",
-        f"if(size(long_at) = 0, array({joined('pieces')}), {between_long})",
-    )
-    cut = sql_let("pieces", f"regexp_extract_all({segment}, r'{_PIECES[sep]}', 0)", grouped)
-    return f"if(contains({segment}, '{sep}'), {cut}, array({_run(None, segment)}))"
-
-
-def _refine(runs: str, sep: str, size: int) -> str:
-    """Split what is still one long piece at the next separator."""
-    return (
-        f"flatten(transform({runs}, r ->"
-        f" if(r.mark is null, {_split('r.body', sep, size)}, array(r))))"
-    )
-
-
-def _gather(over: str, first: str, step: str, field: str, kind: str) -> str:
-    """Fold ``x -> next m`` over an array and list ``field`` of every m that has one.
-
-    Appending copies a list, so steps append to a short list of their own, ``STEPS`` at a time, and
-    only these lists are appended to the whole; they are made one at the end.
+class _Text:
+    """A text and where its separators stand, in characters."""
+
+    def __init__(self, text: str):
+        self.text, self.codes = text, None
+
+    def starts(self, sep: str, begin: int, end: int) -> list[int]:
+        """Where a range is cut: at each separator that doesn't overlap the one before it."""
+        if sep == PARAGRAPH:
+            found, at = [], self.text.find(sep, begin, end)
+            while at >= 0:
+                found.append(at)
+                at = self.text.find(sep, at + len(sep), end)
+            return found
+        if self.codes is None:
+            self.codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return (np.flatnonzero(self.codes[begin:end] == ord(sep)) + begin).tolist()
+
+
+def _pack(bounds: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Chunks of a run of short pieces; ``bounds`` are the pieces' starts and the end of the last."""
+    begin, last = bounds[0], len(bounds) - 1
+    while True:
+        at = bisect_right(bounds, begin + size) - 1
+        yield begin, bounds[at]
+        if at == last:
+            return
+        # The first piece in reach of the overlap that leaves room for the one that did not fit.
+        room = size - (bounds[at + 1] - bounds[at])
+        begin = bounds[bisect_left(bounds, bounds[at] - min(overlap, room))]
+
+
+def _slide(begin: int, end: int, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Chunks of a long piece without any separator: a sliding window."""
+    stop = max(end - overlap, begin + 1)
+    yield from ((at, min(at + size, end)) for at in range(begin, stop, size - overlap))
+
+
+def _ranges(text: _Text, begin: int, end: int, seps: tuple[str, ...], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    if end - begin <= size:
+        yield begin, end
+        return
+    if not seps:
+        yield from _slide(begin, end, size, overlap)
+        return
+    cuts = text.starts(seps[0], begin, end)
+    if not cuts:
+        yield from _ranges(text, begin, end, seps[1:], size, overlap)
+        return
+    bounds = [*([begin] if cuts[0] > begin else []), *cuts, end]
+    first = 0
+    for i in np.flatnonzero(np.diff(bounds) >= size).tolist():  # a long piece closes the run before it
+        if i > first:
+            yield from _pack(bounds[first : i + 1], size, overlap)
+        yield from _ranges(text, bounds[i], bounds[i + 1], seps[1:], size, overlap)
+        first = i + 1
+    if first < len(bounds) - 1:
+        yield from _pack(bounds[first:], size, overlap)
+
+
+def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Iterator[tuple[str, int]]:
+    """The chunks of a text in order, stripped, never empty, with their start offsets.
+
+    A chunk's offset is its first match at or after the previous chunk's end less
+    ``overlap``. On repeated lines that can lie before the true place.
     """
-    name, move = step.split(" -> ", 1)
-    none = f"cast(array() as array<{kind}>)"
-    found = f"if(state.m.{field} is null, state.out, array_append(state.out, state.m.{field}))"
-    inner = (
-        f"aggregate(slice(every, part * {STEPS} + 1, {STEPS}), named_struct('m', whole.m, 'out', {none}),"
-        f" (state, {name}) -> named_struct('m', {move}, 'out', {found}))"
-    )
-    begin = f"named_struct('m', {first}, 'out', cast(array() as array<array<{kind}>>))"
-    add = sql_let("done", inner, "named_struct('m', done.m, 'out', array_append(whole.out, done.out))")
-    last = f"if(whole.m.{field} is null, {none}, array(whole.m.{field}))"
-    fold = (
-        f"aggregate(sequence(0, (greatest(size(every), 1) - 1) div {STEPS}), {begin},"
-        f" (whole, part) -> {add}, whole -> flatten(array_append(whole.out, {last})))"
-    )
-    return sql_let("every", over, fold)
-
-
-def _pack(size: int, overlap: int) -> str:
-    """Chunks of a run ``r`` of short pieces, not yet stripped."""
-    reach = 2 * size
-    # ``view`` starts at the chunk. It ends before the last piece that starts within
-    # ``size``; the next chunk then starts at the first piece in reach of the overlap
-    # that leaves room for the piece that did not fit.
-    end = f"{size} - char_length(substring_index(substring(view, 1, {size + 1}), r.mark, -1))"
-    ahead = f"substring(view, end + 2, {size})"
-    piece = f"if(hit > 0, hit, char_length({ahead}) + 1)"
-    back = sql_let("hit", f"locate(r.mark, {ahead})", f"least({overlap}, {size} - {piece})")
-    resume = sql_let(
-        "hit",
-        "locate(r.mark, substring(view, end - back + 1, back))",
-        "named_struct('end', end, 'next', state.m.next + if(hit > 0, end - back + hit - 1, end))",
-    )
-    cut = (
-        f"if(char_length(view) <= {size},"
-        " named_struct('end', char_length(view), 'next', b.length),"
-        f" {sql_let('end', end, sql_let('back', back, resume))})"
-    )
-    seen = f"if(b.drawn, {_window('b.body', 'state.m.next', reach)}, view)"
-    move = sql_let(
-        "view",
-        _window("b.guide", "state.m.next", reach),
-        sql_let("m", cut, f"named_struct('next', m.next, 'chunk', substring({seen}, 1, m.end))"),
-    )
-    stay = "named_struct('next', state.m.next, 'chunk', cast(null as string))"
-    # Any two steps advance by at least half of what a chunk adds.
-    steps = f"sequence(1, cast(4 * b.length div {size - overlap} as int) + 2)"
-    fold = _gather(
-        steps,
-        "named_struct('next', 0, 'chunk', cast(null as string))",
-        f"n -> if(state.m.next >= b.length, {stay}, {move})",
-        "chunk",
-        "string",
-    )
-    body = _blocks("r.body", reach)
-    bound = sql_let(
-        "body",
-        body,
-        "named_struct('body', body,"
-        f" 'guide', if(r.guide is null, body, {_blocks('r.guide', reach)}),"
-        " 'drawn', r.guide is not null, 'length', char_length(r.body))",
-    )
-    return f"if(char_length(r.body) <= {size}, array(r.body), {sql_let('b', bound, fold)})"
-
-
-def _slide(size: int, overlap: int) -> str:
-    """Chunks of a long piece ``r`` without any separator: a sliding window."""
-    stride = size - overlap
-    count = f"cast(greatest(0, ceil((char_length(r.body) - {size}) / {stride})) as int)"
-    parts = ", ".join(f"get(b, k + {i})" for i in range(-(-size // stride)))
-    chunk = f"substring(concat_ws('', {parts}), 1, {size})"
-    return sql_let(
-        "b", _blocks("r.body", stride), f"transform(sequence(0, {count}), k -> {chunk})"
-    )
-
-
-def split_text(column: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
-    """``array<string>`` of the chunks of a text, in order, stripped, never empty."""
-    if not 0 <= overlap < size:
-        raise ValueError("overlap must be smaller than size")
-    text = quoted(column)
-    runs = _refine(_refine(_split(text, PARAGRAPH, size), LINE, size), WORD, size)
-    raw = (
-        f"flatten(transform({runs}, r ->"
-        f" if(r.mark is null, {_slide(size, overlap)}, {_pack(size, overlap)})))"
-    )
-    chunks = f"if(char_length({text}) <= {size}, array({text}), {raw})"
-    return F.expr(
-        f"array_remove(transform({chunks}, c -> trim(BOTH '{WHITE_SPACE}' FROM c)), '')"
-    )
-
-
-def start_offsets(chunks: str, column: str, overlap: int = CHUNK_OVERLAP) -> Column:
-    """0-based offset per chunk: its first match at or after the previous chunk's
-    end less ``overlap``. On repeated lines that can lie before the true place."""
-    reach = 4 * CHUNK_SIZE
-    text = quoted(column)
-    # Nearly always the match is close; otherwise the rest of the text is searched.
-    seek = sql_let(
-        "near",
-        f"locate(chunk, {_window('b', 'low', reach)})",
-        f"if(near > 0, low + near - 1, locate(chunk, {text}, low + 1) - 1)",
-    )
-    place = sql_let(
-        "found",
-        sql_let("low", f"greatest(0, state.m.end - {overlap})", seek),
-        "named_struct('at', found, 'end', found + char_length(chunk))",
-    )
-    first = "named_struct('at', cast(null as int), 'end', 0)"
-    fold = _gather(quoted(chunks), first, f"chunk -> {place}", "at", "int")
-    return F.expr(sql_let("b", _blocks(text, reach), fold))
+    end = 0
+    for a, b in _ranges(_Text(text), 0, len(text), (PARAGRAPH, LINE, WORD), size, overlap):
+        if chunk := text[a:b].strip():
+            at = text.find(chunk, max(0, end - overlap))
+            end = at + len(chunk)
+            yield chunk, at
+
+
+def _cut(text: str, keep: list[str], size: int, overlap: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[int] = []
+            found: tuple[list, list, list] = ([], [], [])
+
+            def chunks() -> pa.RecordBatch:
+                kept = batch.select(keep).take(pa.array(rows, pa.int64()))
+                own = [pa.array(c, t) for c, t in zip(found, (pa.int32(), pa.string(), pa.int32()))]
+                for column in (rows, *found):
+                    column.clear()
+                return pa.RecordBatch.from_arrays([*kept.columns, *own], names=[*keep, "chunk_no", "content", "start_index"])
+
+            for i, value in enumerate(batch.column(text)):
+                for number, (chunk, at) in enumerate(split_text(value.as_py() or "", size, overlap)):
+                    rows.append(i)
+                    for column, item in zip(found, (number, chunk, at)):
+                        column.append(item)
+                    if len(rows) >= CHUNKS:
+                        yield chunks()
+            yield chunks()
+
+    return cut
 
 
 def chunk_texts(
@@ -228,18 +143,9 @@ def chunk_texts(
 
     All other columns are kept. Rows whose text is null or blank give no chunks.
     """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be smaller than size")
     keep = [c for c in df.columns if c != text]
-    # No null check on the text: where the text is computed, Catalyst would compute it
-    # once more for the filter, and below any shuffle in between.
-    cut = df.withColumn("_chunks", split_text(text, size, overlap))
-    rows = F.arrays_zip(
-        F.col("_chunks").alias("content"),
-        start_offsets("_chunks", text, overlap).alias("start_index"),
-    )
-    # A plain explode makes Catalyst infer "size(...) > 0" below the projection and
-    # so chunk every text twice; the outer form with a null check does not.
-    placed = cut.select(*keep, rows.alias("_rows"))
-    exploded = placed.select(*keep, F.posexplode_outer("_rows").alias("chunk_no", "_row"))
-    return exploded.where(F.col("_row").isNotNull()).select(
-        *keep, "chunk_no", "_row.content", "_row.start_index"
-    )
+    own = (("chunk_no", T.IntegerType()), ("content", T.StringType()), ("start_index", T.IntegerType()))
+    schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(*f) for f in own)])
+    return df.mapInArrow(_cut(text, keep, size, overlap), schema)

@@ -7,16 +7,25 @@ An embedder maps a DataFrame with a text column to the same rows with a
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askwell.functions.text import quoted, sql_let
 
+# Tasks get this module's code with the job: executors need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TOKEN_BREAK = r"[ \n\t.,;:!?|]+"
 TERM_VECTOR = T.ArrayType(
     T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])
@@ -69,33 +78,52 @@ def bag_of_words() -> Embedder:
     return Embedder("bag-of-words", embed)
 
 
+def word_bucket(word: str, dim: int) -> int:
+    """A word's place in a hashed vector: the first 32 bits of its md5, as SQL has them too."""
+    return int.from_bytes(md5(word.encode()).digest()[:4], "big") % dim
+
+
+def _hashed_counts(terms: pa.Array, dim: int) -> pa.Array:
+    """Vectors of unit length from ``(term, tf)`` lists."""
+    counts = np.zeros((len(terms), dim))
+    cells = terms.flatten()
+    words = cells.field("term").dictionary_encode()
+    place = np.fromiter((word_bucket(w, dim) for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+    owner = np.repeat(np.arange(len(terms)), pc.fill_null(terms.value_lengths(), 0).to_numpy(zero_copy_only=False))
+    np.add.at(counts, (owner, place[words.indices.to_numpy(zero_copy_only=False)]), cells.field("tf").to_numpy(zero_copy_only=False))
+    norm = np.sqrt((counts * counts).sum(1, keepdims=True))
+    unit = (counts / np.where(norm > 0, norm, 1)).astype(np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(terms) + 1, dtype=np.int32) * dim), pa.array(unit.ravel()))
+
+
 def hashed_words(dim: int = 256) -> Embedder:
     """Fixed-width vectors of unit length from hashed term counts."""
 
-    def embed(df: DataFrame, text: str) -> DataFrame:
-        from pyspark.ml.feature import HashingTF, Normalizer
-        from pyspark.ml.functions import vector_to_array
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names[:-1]
+            own = _hashed_counts(batch.column(batch.num_columns - 1), dim)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], own], names=[*names, "vector"])
 
-        words = df.withColumn("_words", tokens(text))
-        hashed = HashingTF(numFeatures=dim, inputCol="_words", outputCol="_tf").transform(words)
-        unit = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(hashed)
-        return unit.withColumn("vector", vector_to_array("_unit", "float32")).drop(
-            "_words", "_tf", "_unit"
-        )
+    def embed(df: DataFrame, text: str) -> DataFrame:
+        kept = df.drop("vector")
+        schema = T.StructType([*kept.schema, T.StructField("vector", DENSE_VECTOR)])
+        return kept.withColumn("_terms", term_counts(text)).mapInArrow(vectors, schema)
 
     return Embedder(f"hashed-words-{dim}", embed)
 
 
-def batch_model(name: str, load: Callable[[], Callable[[pd.Series], list]]) -> Embedder:
-    """A user's model: ``load`` runs once per task, its result once per Arrow batch."""
+def batch_model(name: str, load: Callable[[], Callable[[pd.Series], list]], batch_size: int = 256) -> Embedder:
+    """A user's model: ``load`` runs once per Python worker, its result once per at most ``batch_size`` texts."""
 
-    @F.pandas_udf(DENSE_VECTOR)
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make() -> Callable[[np.ndarray], np.ndarray]:
         model = load()
-        for batch in batches:
-            yield pd.Series(list(model(batch)))
+        return lambda texts: np.array(list(model(pd.Series(texts, dtype=object))), np.float32)
 
     def embed(df: DataFrame, text: str) -> DataFrame:
+        from pyspark.ml.functions import predict_batch_udf
+
+        vectors = predict_batch_udf(make, return_type=DENSE_VECTOR, batch_size=batch_size)
         return df.withColumn("vector", vectors(F.col(text)))
 
     return Embedder(name, embed)

@@ -295,6 +295,12 @@ def web_chunks(spark, sf_dir):
 
 # --- JSON
 
+# Bodies that an event's number picks from (fixed values).
+ODD_BODIES = (
+    "{}", "[]", "0", "0.0", "false", '""', "null", '[[],{},[{}]]', '{"a":null,"b":"  ","c":"\\t\\n"}', "not json", '{"a":', "",
+    '{"a":"  USER\\u00a0","b":null}', '[null,"USER"," "]', '" USER "', '{"a":[{"b":{}},{"b":"\\u3000USER\\u0085"}]}', "-USER", '{"t":true,"n":0,"f":false}',
+)
+
 
 @query
 def json_flatten(spark, sf_dir):
@@ -322,6 +328,16 @@ def json_leaf_docs(spark, sf_dir):
     )
 
 
+@query
+def json_odd_payloads(spark, sf_dir):
+    """Payloads that hold nothing, blank and null leaves, and white space around values, one per event."""
+    body = F.element_at(F.array(*map(F.lit, ODD_BODIES)), (F.col("event_id") % len(ODD_BODIES) + 1).cast("int"))
+    body = F.replace(body, F.lit("USER"), F.col("user_id").cast("string"))
+    events = _table(spark, sf_dir, "events")
+    landed = events.select("event_id", F.lit("u").alias("url"), F.lit(200).alias("status"), body.alias("body"))
+    return responses.leaf_documents(landed).select("event_id", "content")
+
+
 @query
 def response_routing(spark, sf_dir):
     landed = _landed_responses(spark, sf_dir)
@@ -502,6 +518,20 @@ def store_two_batches(spark, sf_dir):
     return store.read().select("chunk_id", "source")
 
 
+@query
+def store_empty_batch(spark, sf_dir):
+    """Rows of the table, and whether it was written to, after a batch, one without rows, and a replay."""
+    store = ChunkStore(spark, scratch_path(spark, "store"))
+    rows = _store_rows(_distinct_documents(spark, sf_dir))
+    steps = [("first", rows, 0), ("empty", rows.where("content IS NULL"), 1), ("replay", rows, 0)]
+    out = None
+    for name, batch, number in steps:
+        wrote = store.upsert(batch, number)
+        after = store.read().agg(F.count("*").alias("rows")).select(F.lit(name).alias("step"), F.lit(wrote).alias("wrote"), "rows")
+        out = after if out is None else out.unionAll(after)
+    return out
+
+
 @query
 def refresh_manifests(spark, sf_dir):
     """Pages by one manifest, then documents by an edited one, then a broken one, which changes nothing."""

@@ -2,25 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def drop_null(column: str, name: str) -> Callable[[DataFrame], DataFrame]:
-    """Rename ``column`` to ``name`` and keep the rows where it is not null.
-
-    A plain filter on a computed column is pushed below the projection, where the
-    whole expression is evaluated a second time; a generator is a barrier to that.
-    """
-
-    def apply(df: DataFrame) -> DataFrame:
-        keep = [c for c in df.columns if c != column]
-        passed = df.select(*keep, F.explode_outer(F.array(column)).alias(name))
-        return passed.where(F.col(name).isNotNull())
-
-    return apply
 
 
 def spread(df: DataFrame) -> DataFrame:

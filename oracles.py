@@ -217,6 +217,7 @@ hits AS (
   FROM scored QUALIFY rank <= 5)"""
 
 
+BUCKET = "('0x' || substr(md5(term), 1, 8))::BIGINT % 256"
 HIT_COLUMNS = "query_id, chunk_id, rank, round(distance, 6) AS distance"
 CENTROIDS = """
 parts AS (
@@ -366,6 +367,35 @@ UNION ALL SELECT event_id, 'ids', 'ids: ' || event_id FROM events
 UNION ALL SELECT event_id, 'ids', 'ids: ' || user_id FROM events
 UNION ALL SELECT event_id, 'ids', 'ids: ' || event_id FROM events""",
     "json_leaf_docs": f"WITH {RESPONSES}, {LEAVES} SELECT event_id, source, type, content FROM leaves",
+    "json_odd_payloads": """
+WITH picked AS (SELECT event_id, event_id % 18 AS k, user_id::VARCHAR AS u FROM events)
+SELECT event_id, 'a: ' || u AS content FROM picked WHERE k = 12
+UNION ALL SELECT event_id, ': ' || u FROM picked WHERE k IN (13, 14)
+UNION ALL SELECT event_id, 'a > b: ' || u FROM picked WHERE k = 15
+UNION ALL SELECT event_id, ': ' || (-u::BIGINT) FROM picked WHERE k = 16 AND u <> '0'
+UNION ALL SELECT event_id, unnest(['t: True', 'n: 0', 'f: False']) FROM picked WHERE k = 17""",
+    "store_empty_batch": f"""
+WITH {DISTINCT_DOCS}, n AS (SELECT count(*) AS rows FROM docs)
+SELECT 'first' AS step, true AS wrote, rows FROM n UNION ALL SELECT 'empty', false, rows FROM n UNION ALL SELECT 'replay', false, rows FROM n""",
+    "retrieve_hashed_top5": f"""
+WITH {DISTINCT_DOCS},
+asked AS (SELECT item_id AS query_id, {CLEAN} AS question FROM benchmark),
+ct AS ({terms_of('docs', 'chunk_id', 'text')}),
+qt AS ({terms_of('asked', 'query_id', 'question')}),
+cb AS (SELECT chunk_id, {BUCKET} AS b, sum(tf) AS n FROM ct GROUP BY 1, 2),
+qb AS (SELECT query_id, {BUCKET} AS b, sum(tf) AS n FROM qt GROUP BY 1, 2),
+cv AS (SELECT *, (n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)))::FLOAT::DOUBLE AS x FROM cb),
+qv AS (SELECT *, (n / sqrt(sum(n * n) OVER (PARTITION BY query_id)))::FLOAT::DOUBLE AS x FROM qb),
+cn AS (SELECT chunk_id, sqrt(sum(x * x)) AS len FROM cv GROUP BY 1),
+qn AS (SELECT query_id, sqrt(sum(x * x)) AS len FROM qv GROUP BY 1),
+dots AS (SELECT query_id, chunk_id, sum(qv.x * cv.x) AS dot FROM qv JOIN cv USING (b) GROUP BY 1, 2),
+scored AS (
+  SELECT query_id, chunk_id, round(1 - dot / (cn.len * qn.len), 9) AS distance
+  FROM dots JOIN cn USING (chunk_id) JOIN qn USING (query_id)),
+hits AS (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id))::INTEGER AS rank
+  FROM scored QUALIFY rank <= 5)
+SELECT {HIT_COLUMNS} FROM hits""",
     "response_routing": f"WITH {RESPONSES} SELECT event_id, status, {ROUTE} AS route FROM landed",
     "source_manifest": f"""
 SELECT page_id, {HOST} AS bot_name, 8000::INTEGER AS port, 0::INTEGER AS refresh_interval_minutes,

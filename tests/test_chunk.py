@@ -1,9 +1,10 @@
 import random
+import time
 
 import brute
 import pytest
 
-from askwell.operators.chunk import chunk_texts
+from askwell.operators.chunk import chunk_texts, split_text
 
 FIXED = [
     "x" * 1300 + " y " + "z" * 499 + "\n" + "w" * 500,
@@ -77,8 +78,18 @@ def test_partitioning_does_not_matter(spark):
 def test_no_shuffle_and_texts_are_cut_once(spark, tmp_path):
     spark.createDataFrame([(1, "a b")], "id int, text string").write.parquet(f"{tmp_path}/t")
     plan = chunk_texts(spark.read.parquet(f"{tmp_path}/t"))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan
-    assert plan.count(r"\n[^\n]*|[^\n]+") == 1
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_long_texts_take_linear_time():
+    def seconds(text):
+        began = time.perf_counter()
+        assert sum(1 for _ in split_text(text)) > len(text) // 500
+        return time.perf_counter() - began
+
+    for unit in ("word and line\n", "word ", "x", "a b\n\n", "repeated line of some length\n"):
+        small, large = (seconds(unit * (n // len(unit))) for n in (1_000_000, 4_000_000))
+        assert large < 8 * small + 0.5
 
 
 def test_overlap_must_be_smaller_than_size(spark):
