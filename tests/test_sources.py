@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +163,43 @@ def test_page_text(spark):
     assert one(spark, pages.page_text, html) == f"{words}\n\n{words}&&lt; x"
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("a<!-- no --> b<!---->c", "a bc"),
+        ("a<P CLASS='x'>b</P>c<br/>d", "a\nb\nc\nd"),
+        ("<header>h</header><head><title>t</title></head>x", "\nh\nx"),
+        ("<script>if (a<b) { x = '</p>' }</script>y<STYLE>p{}</style >z", "yz"),
+        ("<!-- never closed <p>text</p> more", "\ntext\n more"),
+        ("x <!-- never closed", "x "),
+        ("x <!-- odd > y <b>z</b>", "x  y z"),
+        ("<p>one</p><script>var a = 1; if (a < 2) {} <p>two</p>", "\none\n\ntwo\n"),
+        ("<p>one</p><style>p { color: red }", "\none\n"),
+        ("<head><title>t</title><body><p>one</p>", "\none\n"),
+        ("<script>a()<div>x</div><script>b()</script>y", "y"),
+        ("5 < 6 and <i>it</i>alic <", "5 italic <"),
+        ("<scripted>s</scripted><head_x>h</head_x>", "sh"),
+        ("< b > c", " c"),
+        ("no tags", "no tags"),
+        ("", ""),
+    ],
+)
+def test_visible_text(html, text):
+    assert pages.visible_text(html) == text
+
+
+def test_malformed_pages_take_linear_time():
+    began = time.perf_counter()
+    for unit in ("<", "<!-- ", "<script>", "<script> <p>", "</", "<!-- > "):
+        pages.visible_text(unit * 100_000 + ">")
+        pages.visible_text(unit * 100_000)
+    assert time.perf_counter() - began < 20
+
+
+def test_pages_without_html(spark):
+    assert one(spark, pages.page_text, None) is None and one(spark, pages.page_text, "") == ""
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_bytes("one\r\ntwo\rthrée".encode())
