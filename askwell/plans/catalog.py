@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from askwell.functions.numbers import cosine_distance
 from askwell.functions.text import clean_question, content_id, has_http_scheme, url_host
+from askwell.operators.cells import VectorCells
 from askwell.operators.chunk import chunk_texts
 from askwell.operators.dedup import last_wins, with_content_id
 from askwell.operators.embed import (
@@ -168,6 +169,15 @@ def retrieve_dense_top5(spark, sf_dir):
     )
 
 
+@query
+def retrieve_cells_top5(spark, sf_dir):
+    """The hits of ``retrieve_dense_top5`` from vectors stored by cell."""
+    index = VectorCells(spark, scratch_path(spark, "cells"))
+    index.build(_table(spark, sf_dir, "embeddings"), chunk_id="vec_id", vector="embedding")
+    hits, _ = index.search(_centroids(_table(spark, sf_dir, "embeddings")), query_id="label", vector="centroid")
+    return hits.select("query_id", F.col("chunk_id").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
 @query
 def term_vectors(spark, sf_dir):
     docs = spread(_distinct_documents(spark, sf_dir).select("chunk_id", "content"))

@@ -323,6 +323,15 @@ SELECT vec_id, label,
 FROM embeddings JOIN centroids USING (label)""",
     "retrieve_dense_top5": f"""
 WITH {CENTROIDS},
+ranked AS (
+  SELECT c.label AS query_id, vec_id,
+         round(1 - list_cosine_similarity(embedding::DOUBLE[], centroid), 9) AS d
+  FROM embeddings CROSS JOIN centroids c)
+SELECT query_id, vec_id, round(d, 6) AS distance,
+       (row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id))::INTEGER AS rank
+FROM ranked QUALIFY rank <= 5""",
+    "retrieve_cells_top5": f"""
+WITH {CENTROIDS},
 ranked AS (
   SELECT c.label AS query_id, vec_id,
          round(1 - list_cosine_similarity(embedding::DOUBLE[], centroid), 9) AS d
