@@ -4,7 +4,8 @@ The automaton holds all ordinary pieces of a public ``.model`` file. Text is rea
 symbol; at each position the output links name all pieces that end there, longest first, and each
 relaxes the best score of that position: ``best[i] = max(best[i - len(piece)] + score(piece))``. A
 symbol that no piece ends with falls back to its UTF-8 bytes (at a cost below any piece's score),
-so every text has an encoding and decoding gives it back exactly.
+so every text has an encoding and decoding gives it back exactly. A space is the pieces' mark; a mark
+that the text itself holds is spelled in bytes, so the two stay apart.
 
 The file's normaliser is the identity with a leading space mark and spaces escaped; other
 normalisers are refused. Pieces hold space marks only at their front, so a text falls apart into
@@ -24,12 +25,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from askwell.llm.common import UnitCache, documents, gathered, slices, text_bytes
 
 MARK = "▁"
+# What a symbol of a text is in the pieces: a space is the mark, the text's own mark is in none.
+_SYMBOL = {" ": MARK, MARK: ""}
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6  # piece types of the model format (fixed values)
 
 
@@ -79,11 +81,12 @@ class Pieces:
         self.goto, self.fail, self.ends = goto, fail, ends
 
     def encode_unit(self, unit: str) -> list[int]:
-        """Ids of the best segmentation of a string."""
+        """Ids of the best segmentation of a string (with spaces, not marks)."""
         goto, fail, ends, low = self.goto, self.fail, self.ends, self.fallback
         best, last = [0.0], [(0, 0)]
         node = 0
         for i, symbol in enumerate(unit, 1):
+            symbol = _SYMBOL.get(symbol, symbol)
             nxt = goto[node].get(symbol)
             while nxt is None and node:
                 node = fail[node]
@@ -110,10 +113,11 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of an encoding."""
-        raw = bytearray()
-        for i in ids:
-            raw += bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].encode()
-        return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
+        return b"".join(map(self.bytes_of, ids)).decode("utf-8", "replace")[1:]
+
+    def bytes_of(self, i: int) -> bytes:
+        """What an id stands for: a byte, or a piece with spaces for its marks."""
+        return bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].replace(MARK, " ").encode()
 
 
 def read_model(path: str) -> Pieces:
@@ -131,15 +135,13 @@ def read_model(path: str) -> Pieces:
 @lru_cache(maxsize=2)
 def model_cache(path: str) -> tuple[Pieces, UnitCache]:
     pieces = read_model(path)
-    return pieces, UnitCache(lambda units: [pieces.encode_unit(u.replace(" ", MARK)) for u in units])
+    return pieces, UnitCache(lambda units: [pieces.encode_unit(u) for u in units])
 
 
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, and how many each has. A space mark in a text reads as a space."""
+    """Ids of all texts, and how many each has."""
     pieces, cache = model_cache(path)
     data, at = text_bytes(texts)
-    if MARK.encode() in data.tobytes():
-        data, at = text_bytes(pc.replace_substring(texts, MARK, " "))
     full = at[:-1] < at[1:]
     data = np.insert(data, at[:-1][full], 32)  # the leading mark of each text
     at = at + np.concatenate([[0], np.cumsum(full)])
@@ -202,7 +204,7 @@ def encoding_report(docs: DataFrame, path: str) -> DataFrame:
         is_byte = np.zeros(len(pieces.pieces), np.int64)
         is_byte[list(pieces.byte_of)] = 1
         # Decoding by table: the bytes of every id, cut out of one long run.
-        raw = [bytes([pieces.byte_of[i]]) if i in pieces.byte_of else p.encode() for i, p in enumerate(pieces.pieces)]
+        raw = [pieces.bytes_of(i) for i in range(len(pieces.pieces))]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         begin = np.cumsum(sizes) - sizes
         pool = np.frombuffer(b"".join(raw), np.uint8)
@@ -214,10 +216,7 @@ def encoding_report(docs: DataFrame, path: str) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(n)])
             back = gathered(pool, begin[ids], n).tobytes()
             at = ends[cut].tolist()
-            same = [
-                back[a:b].decode("utf-8", "replace").replace(MARK, " ")[1:] == t.replace(MARK, " ")
-                for a, b, t in zip(at, at[1:], texts)
-            ]
+            same = [back[a:b].decode("utf-8", "replace")[1:] == t for a, b, t in zip(at, at[1:], texts)]
             fallen = np.diff(np.concatenate([[0], np.cumsum(is_byte[ids])])[cut])
             four = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
             crc = [zlib.crc32(four[4 * a : 4 * b]) for a, b in zip(cut.tolist(), cut[1:].tolist())]
