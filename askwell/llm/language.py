@@ -9,8 +9,8 @@ the lead over the runner-up, 0 to 1.
 Texts are lower-cased, all but letters becomes single spaces, and they are cut into stretches of ``STRETCH`` bytes that numpy parses side by side, against
 all languages at once, so that a long text takes no longer per byte. A phrase ends with its stretch.
 
-The labelled sample is bounded: ``SAMPLE_ROWS`` rows per language in the order of a hash, the first
-``SAMPLE_CHARS`` characters of each. It is all that reaches the driver and the tasks (40 KB for each
+The labelled sample is bounded: ``SAMPLE_ROWS`` rows per language in the order of a hash, and of each a stretch
+of ``SAMPLE_CHARS`` characters from a place that a hash picks in the whole text. It is all that reaches the driver and the tasks (40 KB for each
 language); everything else is done row by row, without a shuffle.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; without labelled rows all
@@ -172,7 +172,9 @@ def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPL
     few = plain.select("doc_id", "lang", mark.alias("mark")).withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("mark", "doc_id")))
     few = few.where(F.col("n") <= rows).select(F.col("doc_id").alias("few_id"), F.col("lang").alias("few_lang"), "n")
     cut = plain.join(F.broadcast(few), (F.col("doc_id") == F.col("few_id")) & (F.col("lang") == F.col("few_lang")))  # rows x languages
-    cut = cut.select("lang", "n", _letters(F.substring("text", 1, chars)).alias("text")).toPandas()
+    room = F.greatest(F.length("text") - chars, F.lit(0)) + 1
+    begin = F.pmod(F.xxhash64("doc_id", F.lit("stretch")), room).cast("int") + 1
+    cut = cut.select("lang", "n", _letters(F.substring("text", begin, F.lit(chars))).alias("text")).toPandas()
     cut = cut.sort_values(["lang", "n", "text"]).drop_duplicates(["lang", "n"])
     return {lang: "\n".join(part["text"]) for lang, part in cut.groupby("lang")}
 

@@ -54,3 +54,11 @@ def test_odd_rows(spark):
         assert got[8].lang_pred == "de" and got[None].lang_pred == "en"
     assert {r.lang_pred for r in language.identified(docs.drop("lang")).collect()} == {"und"}
     assert rows_of(language.identified(docs.limit(0))) == []
+
+
+def test_the_sample_is_taken_from_whole_texts(spark):
+    rows = [(i, "a " * 1000 + "b " * 1000 + "c " * 1000, "xx") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.labelled_sample(docs)["xx"]
+    assert {"a", "b", "c"} <= set(sample) and sample == language.labelled_sample(docs.repartition(5))["xx"]
+    assert all(len(part) <= language.SAMPLE_CHARS for part in sample.split("\n"))
