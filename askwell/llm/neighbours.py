@@ -10,8 +10,9 @@ which ``REACH`` of them have their nearest. The number of functions grows with t
 rows, so that buckets stay small.
 
 Candidates of all tables are scored by exact distance inside the tasks; only the best of each query
-and task leave it. Equal vectors are one candidate that carries its smallest ids, as no more of
-them can be among the nearest. Buckets of many distinct vectors are dealt over several tasks.
+and task leave it. A query that would have to visit more than ``MOST`` buckets of a table is compared with
+all vectors instead, block by block. Equal vectors are one candidate that carries its smallest ids, as
+no more of them can be among the nearest. Buckets of many distinct vectors are dealt over several tasks.
 
 Defined results: vectors that are null, empty, all zero or hold null or non-finite components take
 no part, nor do rows without an id; vectors of other lengths never meet; fewer candidates than ``k``
@@ -40,6 +41,8 @@ SAMPLE = 2_000
 REACH = 0.95
 #: Distinct vectors of a bucket in one task, and about the rows of a task.
 SPLIT = 20_000
+#: Buckets that a query visits in one table; beyond them it meets all vectors.
+MOST = 100_000
 SEED = 77
 
 
@@ -65,11 +68,12 @@ def _below(x: float) -> float:
     return 0.5 * (1 + math.erf(x / math.sqrt(2)))
 
 
-def visited(position: np.ndarray, spread: float, enough: float, most: int = 100_000) -> np.ndarray:
+def visited(position: np.ndarray, spread: float, enough: float, most: int | None = None) -> np.ndarray | None:
     """Buckets around ``position`` (in bucket widths) in falling probability, until ``enough`` is covered.
 
-    ``spread``: deviation of a neighbour's projection, in bucket widths.
+    ``spread``: deviation of a neighbour's projection, in bucket widths. None if more than ``most`` are needed.
     """
+    most = most or MOST
     own = np.floor(position)
     choices = []
     for x, b in zip(position, own):
@@ -85,7 +89,9 @@ def visited(position: np.ndarray, spread: float, enough: float, most: int = 100_
     start = sum(c[0][0] for c in choices)
     heap = [(start, (0,) * len(choices), 0)]
     out, covered = [], 0.0
-    while heap and covered < enough and len(out) < most:
+    while heap and covered < enough:
+        if len(out) == most:
+            return None
         cost, ranks, last = heapq.heappop(heap)
         covered += math.exp(-cost)
         out.append([b + choices[i][r][1] for i, (b, r) in enumerate(zip(own, ranks))])
@@ -129,14 +135,15 @@ def _hasher(functions: int, width: float, tables: int):
     return hashed
 
 
-def _prober(functions: int, width: float, tables: int, spread: float, enough: float):
+def _prober(functions: int, width: float, tables: int, spread: float, enough: float, most: int):
     def probes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for rows, matrix in _stacked(frame["vec"]) if len(frame) else ():
                 for t in range(tables):
                     for i, position in zip(rows, projections(matrix, t, functions, width)):
-                        keys = keys_of(visited(position, spread, enough), t, matrix.shape[1])
-                        yield pd.DataFrame({"bucket": keys, "q": frame["rep"].iloc[i]})
+                        buckets = visited(position, spread, enough, most)
+                        keys = np.zeros(1, np.int64) if buckets is None else keys_of(buckets, t, matrix.shape[1])
+                        yield pd.DataFrame({"bucket": keys, "q": frame["rep"].iloc[i], "all": buckets is None})
 
     return probes
 
@@ -207,7 +214,9 @@ def _nearest_neighbours(frame: DataFrame, is_query, k: int, tables: int, recall:
     index = vectors.mapInPandas(_hasher(functions, width, tables), "bucket long, rep long, vec array<double>")
     asking = vectors.join(asked.select(F.col("q").alias("rep")).distinct(), "rep", "left_semi").select("rep", "vec")
     lanes = max(spark.sparkContext.defaultParallelism, 1)
-    probes = asking.repartition(lanes).mapInPandas(_prober(functions, width, tables, 1 / WIDTH, enough), "bucket long, q long")
+    prober = _prober(functions, width, tables, 1 / WIDTH, enough, MOST)
+    probes = written(asking.repartition(lanes).mapInPandas(prober, "bucket long, q long, all boolean"), "probes")
+    probes, whole = probes.where("NOT all").drop("all"), probes.where("all").select("q").distinct()
     # Buckets of many distinct vectors fall apart into parts; a query visits them all.
     large = vectors.mapInPandas(_bucket_counter(functions, width, tables), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     large = written(large.where(F.col("n") > SPLIT).select(F.col("bucket").alias("large"), F.ceil(F.col("n") / SPLIT).alias("parts")), "large")
@@ -220,6 +229,12 @@ def _nearest_neighbours(frame: DataFrame, is_query, k: int, tables: int, recall:
     probes = probes.groupBy(block.alias("block"), "q").agg(F.sort_array(F.collect_set("part")).alias("parts"))
     probes = probes.join(vectors.select(F.col("rep").alias("q"), "vec"), "q")
     found = index.groupBy("block").cogroup(probes.groupBy("block")).applyInPandas(_scored(k + 1), "q long, rep long, score double")
+    # Queries that meet all vectors: one block of vectors after another.
+    own = max(1, math.ceil(rows / SPLIT))
+    every = vectors.select(F.pmod(F.xxhash64("rep"), F.lit(own)).cast("long").alias("block"), F.lit(0).cast("long").alias("part"), "rep", "vec")
+    whole = whole.join(vectors.select(F.col("rep").alias("q"), F.col("vec").alias("vec")), "q").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(own - 1).cast("long"))))
+    whole = whole.select("block", "q", F.array(F.lit(0).cast("long")).alias("parts"), "vec")
+    found = found.unionByName(every.groupBy("block").cogroup(whole.groupBy("block")).applyInPandas(_scored(k + 1), "q long, rep long, score double"))
     best = found.groupBy("q", "rep").agg(F.min("score").alias("score"))
     best = best.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy("score", "rep"))).where(F.col("n") <= k + 1)
     best = best.join(vectors.select("rep", "ids"), "rep").select("q", "score", "ids")

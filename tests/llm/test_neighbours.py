@@ -74,3 +74,10 @@ def test_clusters_of_near_copies_do_not_narrow_the_search(spark):
     rows += [rows[i % 20] + rng.normal(size=16) * 1e-4 for i in range(600)]
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
     check(spark, frame, 0.9)
+
+
+def test_queries_beyond_the_most_buckets_meet_all_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST", 3)
+    monkeypatch.setattr(neighbours, "SPLIT", 100)
+    check(spark, spark.read.parquet(f"{SMALL}/embeddings.parquet"), 1.0)
+    assert neighbours.visited(np.array([0.5, 0.5]), 0.5, 0.9999) is None
