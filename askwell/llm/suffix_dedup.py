@@ -18,8 +18,9 @@ are cut into windows of which ``HOT_WINDOWS`` share a longer core, so that no ta
 core's neighbourhoods.
 
 Defined results: null and empty texts keep nothing and lose nothing; rows that share a doc_id are
-one document, whose text is the smallest of theirs, and get one result; rows without a doc_id are one
-document, later than all others; no rows give no rows; other columns are ignored.
+one document, whose text is the smallest of theirs, and get one result; each row without a doc_id is a
+document of its own, later than all others, among them in the order of a hash of their texts (so
+doc_ids stay below 2**62); no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ HOT = 20_000
 HOT_WINDOWS = 8
 #: Bytes of text worked on at once, and of pieces that share an index.
 BATCH, CHUNK = 512 << 10, 3 << 20
-_LAST = (1 << 63) - 1
+_NAMELESS = 1 << 62  # from here on: rows without a doc_id
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -292,19 +293,36 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _one_row_each(docs: DataFrame) -> DataFrame:
-    """uid, text: one row per doc_id (see the module's defined results)."""
-    plain = documents(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("uid"), "text")
-    twice = plain.groupBy("uid").agg(F.count("*").alias("n")).where("n > 1").select("uid")
+def _one_row_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """uid, text: one row per document (see the module's defined results); uid, n of equal rows without a doc_id."""
+    nameless = F.lit(_NAMELESS) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(_NAMELESS - 1))
+    plain = documents(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), nameless).alias("uid"), "text")
+    twice = plain.groupBy("uid").agg(F.count("*").alias("n")).where("n > 1")
     if twice.isEmpty():
-        return plain
+        return plain, None
     few = plain.join(twice, "uid", "left_semi").groupBy("uid").agg(F.min("text").alias("text"))
-    return plain.join(twice, "uid", "left_anti").unionByName(few)
+    return plain.join(twice, "uid", "left_anti").unionByName(few), twice.where(F.col("uid") >= _NAMELESS)
+
+
+def _with_equal_rows(found: DataFrame, equal: DataFrame) -> DataFrame:
+    """A result for each further row without a doc_id: as a copy it loses all, if it is long enough."""
+    more = found.join(equal.select(F.col("uid").alias("of"), "n"), F.col("uid") == F.col("of"))
+    more = more.withColumn("copy", F.explode(F.expr("sequence(2L, n)")))
+    whole = F.col("n_bytes") >= SPAN
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    span = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("stop")))
+    copies = {
+        "n_removed": F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")),
+        "n_spans": F.when(whole, F.lit(1)).otherwise(F.col("n_spans")).cast("long"),
+        "kept_sha256": F.when(whole, nothing).otherwise(F.col("kept_sha256")),
+        "spans": F.when(whole, span).otherwise(F.col("spans")),
+    }
+    return found.unionByName(more.withColumns(copies).select(*found.columns))
 
 
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and stop of each removed run of bytes)."""
-    plain = _one_row_each(docs)
+    plain, equal = _one_row_each(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Copies of a text: all but the first are removed whole, and take no further part.
     digests = plain.where("text IS NOT NULL").select("uid", F.sha2("text", 256).alias("digest"))
@@ -324,5 +342,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     marks = marks.groupBy(F.col("uid").alias("at_uid")).agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
     out = texts.join(marks, F.col("uid") == F.col("at_uid"), "left").select("uid", "text", "copy", "marks")
     kinds = "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,stop:int>>"
-    doc_id = F.when(F.col("uid") != _LAST, F.col("uid")).alias("doc_id")
-    return out.mapInArrow(_finish, kinds).select(doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    doc_id = F.when(F.col("uid") < _NAMELESS, F.col("uid")).alias("doc_id")
+    found = out.mapInArrow(_finish, kinds)
+    found = found if equal is None else _with_equal_rows(found, equal)
+    return found.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")

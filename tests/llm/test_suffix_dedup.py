@@ -70,3 +70,18 @@ def test_odd_rows(spark):
     spans = {r.doc_id: [(s.start, s.stop) for s in r.spans] for r in suffix_dedup.repeated_spans(frame).collect()}
     assert spans[2] == [(1, 301)] and spans[1] == []
     assert result(frame.limit(0)) == {}
+
+
+def test_every_row_without_an_id_has_a_result(spark):
+    rng = np.random.default_rng(8)
+    base = "".join(rng.choice(list("abcdefgh"), 260))
+    texts = [base[:150], base[:200], base[100:], "short", "short", base, base, base, None, None, ""]
+    frame = spark.createDataFrame([(None, t) for t in texts] + [(5, base[50:180])], "doc_id long, text string")
+    got = [tuple(r)[:5] for r in suffix_dedup.repeated_spans(frame).collect()]
+    assert sorted(r[1] for r in got) == sorted([len(t or "") for t in texts] + [130])
+    # In the order in which the documents are taken, the named one first.
+    keys = {t or "": h for t, h in spark.createDataFrame([(t or "",) for t in set(texts)], "t string").selectExpr("t", "pmod(xxhash64(t), 4611686018427387903)").collect()}
+    order = [base[50:180], *sorted((t or "" for t in texts), key=keys.get)]
+    want = brute(list(enumerate(order)))
+    assert sorted(r[1:] for r in got) == sorted(want.values())
+    assert [r for r in got if r[0] == 5][0][1:] == want[0]
