@@ -12,7 +12,7 @@ agreement; with a chance agreement of 1/4 taken out it estimates the similarity
 0.03), and pairs four and a half errors below the limit fall away. The others are confirmed on the
 full sets. Where a bucket then still holds several components, the nodes that look similar across
 them form families, and in each family the nodes outside its largest component are held against
-all others by an inverted index of the full sets; only links that join components leave the task.
+all others by an index of the full sets' rarest items; only links that join components leave the task.
 So no link is lost to the pairing, and a group of copies costs a few pairs for each of them.
 
 Components come from alternating large and small stars, written to the shared folder in each round.
@@ -39,8 +39,8 @@ SIMILARITY = 80  # percent of the union
 SHINGLE = 5
 #: Pairs of which the estimate is below this aren't confirmed: the limit less four and a half standard errors.
 LEAST_ESTIMATE = 0.66
-#: Nodes of a bucket whose signatures meet in one task, nodes whose sets do, and how many of these ask.
-BLOCK, FAMILY, ASKING = 4_000, 4_000, 400
+#: Nodes of a bucket whose signatures meet in one task, and shingles of the sets that meet in one (twice over).
+BLOCK, FAMILY = 4_000, 2_000_000
 
 _RNG = np.random.default_rng(20_240_601)
 _A = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -215,19 +215,79 @@ def _open_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(group) - 1, group[0])), pa.array(group[1:])], ["a", "b"])
 
 
+class PrefixIndex:
+    """Sets by their rarest items, to find those that may share ``percent`` of a union with another set.
+
+    Items are ordered by how many of the sets hold them. Two sets that are linked have a first common item in
+    that order, among the rarest ``100 - percent`` of each, and no more items in common than either has from
+    there on. A list holds an item's sets by how much that leaves for them, so that a look-up reads
+    only those for which it can be enough: boilerplate that many sets share costs them nothing.
+    """
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent = percent
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        items = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        self.keys, self.codes, counts = np.unique(items, return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(self.keys), np.int64)
+        self.rank[np.argsort(counts, kind="stable")] = np.arange(len(self.keys))
+        self.ends = np.cumsum(self.sizes)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.lexsort((self.rank[self.codes], owner))
+        place = np.arange(len(items)) - (self.ends - self.sizes)[owner]
+        early = place < self.prefix(self.sizes)[owner]
+        code, owner, place = self.codes[order][early], owner[early], place[early]
+        spare = (self.sizes[owner] - place) * (100 + percent) - percent * self.sizes[owner]
+        order = np.lexsort((-spare, code))
+        self.owner, self.less = owner[order], -spare[order]
+        self.lists = np.searchsorted(code[order], np.arange(len(self.keys) + 1))
+        self.held = np.zeros(len(self.keys), bool)
+
+    def prefix(self, sizes: np.ndarray) -> np.ndarray:
+        """How many of its rarest items a set is found by."""
+        return sizes - (self.percent * sizes + 99) // 100 + 1
+
+    def _codes_in(self, items: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, items), len(self.keys) - 1)
+        return at[self.keys[at] == items]
+
+    def candidates(self, items: np.ndarray) -> np.ndarray:
+        """Sets that may be linked with this one, itself included."""
+        codes, size = self._codes_in(items), len(items)
+        codes = codes[np.argsort(self.rank[codes])]
+        first = size - len(codes)  # items that no set holds are the rarest
+        found = []
+        for at, code in enumerate(codes[: max(int(self.prefix(np.int64(size))) - first, 0)].tolist(), first):
+            a, b = self.lists[code], self.lists[code + 1]
+            near = self.owner[a : a + np.searchsorted(self.less[a:b], -self.percent * size, "right")]
+            found.append(near[self.percent * (size + self.sizes[near]) <= (100 + self.percent) * (size - at)])
+        near = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        small, large = np.minimum(self.sizes[near], size), np.maximum(self.sizes[near], size)
+        return near[100 * small >= self.percent * large]
+
+    def linked(self, items: np.ndarray, others: np.ndarray) -> Iterator[int]:
+        """Those of the sets that are linked with this one, by all items."""
+        codes = self._codes_in(items)
+        self.held[codes] = True
+        try:
+            for i in others.tolist():
+                common = int(np.count_nonzero(self.held[self.codes[self.ends[i] - self.sizes[i] : self.ends[i]]]))
+                if 100 * common >= self.percent * (len(items) + int(self.sizes[i]) - common):
+                    yield i
+        finally:
+            self.held[codes] = False
+
+
 def _crossed(percent: int):
-    """Links between components of a family: each asking node's set against all others, by an inverted index."""
+    """Links between components of a family: each asking node's set against all others."""
 
     def cross(frame: pd.DataFrame) -> pd.DataFrame:
         asks = frame["asks"].to_numpy()
         x, y = frame[asks], frame[~asks]
         ids, labels = y["id"].to_numpy(), y["label"].to_numpy()
-        sizes = y["items"].map(len).to_numpy()
-        items = np.concatenate(y["items"].to_list()) if len(y) else np.zeros(0, np.int64)
-        order = np.argsort(items, kind="stable")
-        owner = np.repeat(np.arange(len(y)), sizes)[order]
-        keys, first = np.unique(items[order], return_index=True)
-        count = np.diff(np.append(first, len(items)))
+        index = PrefixIndex(y["items"].to_list(), percent)
         parent: dict[int, int] = {}
 
         def root(n: int) -> int:
@@ -236,16 +296,14 @@ def _crossed(percent: int):
             return n
 
         out = []
-        for node, label, own in zip(x["id"], x["label"], x["items"]):
-            at = np.searchsorted(keys, own)
-            at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == own)] if len(keys) else at[:0]
-            common = np.bincount(gathered(owner, first[at], count[at]), minlength=len(y))
-            linked = np.flatnonzero((100 * common >= percent * (len(own) + sizes - common)) & (labels != label))
-            others, place = np.unique(labels[linked], return_index=True)
-            for other, i in zip(others.tolist(), place.tolist()):
-                if root(other) != root(int(label)):  # one link is enough to join two components
-                    parent[root(other)] = root(int(label))
-                    out.append((node, ids[linked[i]]))
+        for node, label, own in zip(x["id"], x["label"].astype(int), x["items"]):
+            near = index.candidates(own)
+            apart = near[np.fromiter((root(int(c)) != root(label) for c in labels[near]), bool, len(near))]
+            for i in index.linked(own, apart):
+                other = root(int(labels[i]))
+                if other != root(label):  # one link is enough to join two components
+                    parent[other] = root(label)
+                    out.append((node, ids[i]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return cross
@@ -274,7 +332,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     large components in blocks of their nodes.
     """
     labels = components(pairs, "families")
-    sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / FAMILY).alias("blocks"))
+    sized = labels.join(sets.select(F.col("id").alias("node"), F.size("items").alias("n")), "node")
+    sizes = sized.groupBy("label").agg(F.ceil(F.sum("n") / FAMILY).alias("blocks"))
     placed = labels.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     left = placed.select(F.col("node").alias("a"), "label", F.col("block").alias("p"))
     right = placed.select(F.col("node").alias("b"), F.col("block").alias("q"))
@@ -301,11 +360,11 @@ def _cross_links(shared: DataFrame, labels: DataFrame, nodes: DataFrame, sets: D
     families = components(rest.mapInArrow(_open_families, "a long, b long"), "families")
     members = families.select(F.col("node").alias("id"), F.col("label").alias("family")).join(named.select("id", "label").distinct(), "id")
     members = written(members, "families")
-    main = members.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
+    own = members.join(sets.select("id", F.size("items").alias("items")), "id")
+    main = own.groupBy("family", "label").agg(F.count("*").alias("n"), F.sum("items").alias("items"))
+    main = main.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("items").alias("items"), F.max_by("items", F.struct("n", "label")).alias("still"))
     placed = members.join(main, "family").withColumn("asking", F.col("label") != F.col("main"))
-    sizes = placed.groupBy("family").agg(F.count_if("asking").alias("asks"), F.max("n").alias("n"))
-    sizes = sizes.select("family", F.ceil(F.col("asks") / ASKING).alias("ps"), F.ceil(F.col("n") / FAMILY).alias("qs"))
-    placed = placed.join(sizes, "family").withColumn("mark", F.xxhash64("id"))
+    placed = placed.withColumns({"ps": F.ceil((F.col("items") - F.col("still")) / FAMILY), "qs": F.ceil(F.col("items") / FAMILY), "mark": F.xxhash64("id")})
     x = placed.where("asking").select("family", "id", "label", F.pmod("mark", "ps").alias("p"), F.explode(F.expr("sequence(0L, qs - 1)")).alias("q"), F.lit(True).alias("asks"))
     y = placed.select("family", "id", "label", F.explode(F.expr("sequence(0L, ps - 1)")).alias("p"), F.pmod("mark", "qs").alias("q"), F.lit(False).alias("asks"))
     dealt = x.unionByName(y).select(F.xxhash64("family", "p", "q").alias("task"), "id", "label", "asks").join(sets, "id")

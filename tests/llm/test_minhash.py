@@ -103,3 +103,54 @@ def test_small_sets_at_the_limit_are_not_lost():
         assert abs(found.mean() - 0.8) < 0.002 and found.std() < 0.032
         lost = (found < minhash.LEAST_ESTIMATE) | ~(left == right).any(1)
         assert lost.sum() <= 2
+
+
+def test_prefix_index_finds_all_links():
+    rng = np.random.default_rng(11)
+    base = [rng.integers(0, 1 << 40, n) for n in (1, 3, 40, 300)]
+    sets = []
+    for _ in range(400):
+        own = base[rng.integers(len(base))]
+        keep = own[rng.random(len(own)) < rng.choice([0.7, 0.9, 0.97, 1.0])]
+        more = rng.integers(0, 1 << 40, rng.integers(0, 1 + len(own) // 5))
+        sets.append(np.unique(np.concatenate([keep, more])))
+    sets = [s for s in sets if len(s)]
+    plain = [set(s.tolist()) for s in sets]
+    index = minhash.PrefixIndex(sets, 80)
+    for i, own in enumerate(sets):
+        want = [j for j, other in enumerate(plain) if 100 * len(plain[i] & other) >= 80 * len(plain[i] | other)]
+        near = index.candidates(own)
+        assert list(index.linked(own, near)) == want
+    assert minhash.PrefixIndex([], 80).candidates(sets[0]).tolist() == []
+
+
+def test_shared_boilerplate_makes_no_candidates():
+    """Sets that share just too little, all of the same items, aren't compared at all."""
+    common = np.arange(1000, 1196)
+    sets = [np.concatenate([common, 10_000 + 40 * i + np.arange(40)]) for i in range(300)]
+    index = minhash.PrefixIndex(sets, 80)
+    assert all(index.candidates(own).tolist() == [i] for i, own in enumerate(sets))
+
+
+def test_blocks_of_families_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "FAMILY", 700)
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    test_chains_and_hot_groups(spark)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert set(rows_of(minhash.near_duplicates(docs, shingle=2))) == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 2)
+
+
+def test_long_sets_at_the_limit_are_not_lost():
+    """Pairs at exactly 0.8, of many shingles: the estimate and the bands let them through."""
+    rng = np.random.default_rng(17)
+    lost = total = 0
+    for common, more in ((80, 20), (800, 200), (4000, 1000)):
+        n = 2_000_000 // (common + more) // 4
+        wide = rng.integers(0, 1 << 52, (n, common + more), dtype=np.uint64)
+        signed = [minhash.signatures(x.ravel(), np.arange(len(x)) * x.shape[1]) for x in (wide[:, :common].copy(), wide)]
+        (a, left), (b, right) = signed
+        found = minhash.estimated(a, b)
+        assert abs(found.mean() - 0.8) < 0.01 and found.std() < 0.04
+        lost += int(((found < minhash.LEAST_ESTIMATE) | ~(left == right).any(1)).sum())
+        total += n
+    assert total > 5000 and lost <= 1
