@@ -296,7 +296,10 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _one_row_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """uid, text: one row per document (see the module's defined results); uid, n of equal rows without a doc_id."""
     nameless = F.lit(_NAMELESS) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(_NAMELESS - 1))
-    plain = documents(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), nameless).alias("uid"), "text")
+    # The last literal is never taken, but tells Spark that a uid is never null: otherwise it would filter some
+    # of the reads of the texts for that, and their shuffles would no longer be one.
+    uid = F.coalesce(F.col("doc_id").cast("long"), nameless, F.lit(_NAMELESS))
+    plain = documents(docs, "doc_id", "text").select(uid.alias("uid"), "text")
     twice = plain.groupBy("uid").agg(F.count("*").alias("n")).where("n > 1")
     if twice.isEmpty():
         return plain, None
