@@ -35,6 +35,7 @@ DEFAULT_PORT = 8000
 DEFAULT_REFRESH_MINUTES = 0
 DEFAULT_LLM_MODEL = "llama-3.3-70b-versatile"
 DEFAULT_EMBEDDING_MODEL = "all-MiniLM-L6-v2"
+# Ports that a configuration may name (fixed values).
 PORT_RANGE = (1024, 65535)
 
 
