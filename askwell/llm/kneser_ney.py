@@ -7,15 +7,19 @@ counts, the three discounts of each order, the interpolation weight of each cont
 probability of each n-gram. The n-grams of the documents get their probabilities by joins with these
 tables, order by order; an n-gram or context that wasn't seen takes the lower order's.
 
-Documents are dealt once into blocks of about ``BLOCK_BYTES`` of text. A block's texts meet the
-probabilities of the n-grams that occur in them, and of no others. A document is kept if its perplexity
+Texts are dealt into ``FOLDS`` by their hash, so equal texts are in one. There is a model for each fold, of
+the trusted texts in the others, and it scores the fold's documents: no text is scored by a model that has
+seen it, and the thresholds come from held-out texts alone. An n-gram's number holds its model's.
+
+Documents are dealt once into blocks of about ``BLOCK_BYTES`` of text, each of one fold. A block's texts meet
+the probabilities of the n-grams that occur in them, and of no others. A document is kept if its perplexity
 is at most the ``QUANTILE`` of its language's trusted documents.
 
 A frequent n-gram is one row per task before any shuffle, and one row per block after it.
 
 Defined results: null and empty texts have no perplexity and are not kept; a language without trusted
-documents takes the quantile over all of them; without any trusted text all with text are kept;
-repeated rows are scored alike; other columns are ignored.
+documents takes the quantile over all of them; without any trusted text all with text are kept; if all
+trusted texts are in one fold, there is one model of them for all documents; repeated rows are scored alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from askwell.llm.common import documents, settled, slices, text_bytes, written
 ORDER = 5
 QUANTILE = 0.995
 BLOCK_BYTES = 32 << 20
+FOLDS = 2
+MODEL_BITS = 48  # an n-gram's number holds the number of its model from this bit on
 START = 255  # never a byte of UTF-8
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,39 +118,79 @@ def _unpacked(packed, sizes, most: int = 1 << 21) -> Iterator[tuple[np.ndarray,
         yield np.frombuffer(b"".join(held), np.uint8), np.array(at)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        grams, n = np.unique(gram_keys(*text_bytes(batch.column("text"))), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n.astype(np.int64))], ["gram", "n"])
-
-
-def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct n-grams of each block; all of a block's rows are in one task."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        blocks = batch.column("block").to_numpy(zero_copy_only=False)
-        for block in np.unique(blocks).tolist():
-            own = batch.filter(pa.array(blocks == block))
-            for data, at in _unpacked(own.column("packed").to_pylist(), own.column("n_bytes").to_numpy()):
-                grams = np.unique(gram_keys(data, at))
-                held[block] = np.union1d(held[block], grams) if block in held else grams
-    for block, grams in held.items():
-        for i in range(0, len(grams), 100_000):
-            part = grams[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int64)), pa.array(part)], ["block", "gram"])
+def _count(folds: int):
+    """The n-grams of trusted texts, for the models that learn from their fold."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            of = batch.column("fold").to_numpy(zero_copy_only=False)
+            for fold in np.unique(of).tolist():
+                texts = batch.column("text").filter(pa.array(of == fold))
+                grams, n = np.unique(gram_keys(*text_bytes(texts)), return_counts=True)
+                for model in range(folds):
+                    if model != fold or folds == 1:
+                        rows = [pa.array(grams | model << MODEL_BITS), pa.array(n.astype(np.int64))]
+                        yield pa.RecordBatch.from_arrays(rows, ["gram", "n"])
+
+    return count
+
+
+def _block_grams(folds: int):
+    """The distinct n-grams of each block; all of a block's rows are in one task, and of one fold."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            blocks = batch.column("block").to_numpy(zero_copy_only=False)
+            for block in np.unique(blocks).tolist():
+                own = batch.filter(pa.array(blocks == block))
+                for data, at in _unpacked(own.column("packed").to_pylist(), own.column("n_bytes").to_numpy()):
+                    grams = np.unique(gram_keys(data, at))
+                    held[block] = np.union1d(held[block], grams) if block in held else grams
+        for block, grams in held.items():
+            for i in range(0, len(grams), 100_000):
+                part = grams[i : i + 100_000] | block % folds << MODEL_BITS
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int64)), pa.array(part)], ["block", "gram"])
+
+    return distinct
+
+
+def _model(gram: str) -> F.Column:
+    """The number of an n-gram's model, in its place."""
+    return F.col(gram).bitwiseAND(F.lit(-1 << MODEL_BITS))
 
 
 def _tail(gram: str, order: int) -> F.Column:
-    """The last ``order`` bytes."""
-    return F.col(gram).bitwiseAND(F.lit((1 << (8 * order)) - 1))
+    """The last ``order`` bytes, in the same model."""
+    return F.col(gram).bitwiseAND(F.lit(-1 << MODEL_BITS | (1 << (8 * order)) - 1))
+
+
+def _context(gram: str) -> F.Column:
+    """All but the last byte, in the same model."""
+    return F.shiftright(F.col(gram).bitwiseAND(F.lit((1 << MODEL_BITS) - 1)), 8).bitwiseOR(_model(gram))
+
+
+def _per_model(values: dict[int, float], other: float) -> F.Column:
+    """A number for each model (there are ``FOLDS`` at most)."""
+    out = F.lit(other)
+    for model, value in values.items():
+        out = F.when(_model("gram") == model, F.lit(value)).otherwise(out)
+    return out
+
+
+def _discounts(ones: float, twos: float, threes: float, fours: float) -> list[float]:
+    """What is taken off n-grams seen once, twice, and more often, from how many were seen so often."""
+    t = (ones, twos, threes, fours)
+    y = ones / (ones + 2 * twos) if ones else 0.0
+    return [max(0.05, min(k - 0.05, k - (k + 1) * y * t[k] / t[k - 1])) if t[k - 1] else 0.5 for k in (1, 2, 3)]
 
 
-def language_model(trusted: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
-    """Per order: (gram, p) of the seen n-grams, and (ctx, back, kinds) of the seen contexts.
+def language_model(trusted: DataFrame, folds: int) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """Per order: (gram, p) of the seen n-grams, and (ctx, back, kinds) of the seen contexts, of all models.
 
     Order 1 is smoothed with one equal share for each of its symbols and one for the unseen.
     """
-    top = trusted.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    top = trusted.mapInArrow(_count(folds), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counts = {ORDER: written(top, "kn-counts")}
     for order in range(ORDER - 1, 0, -1):  # how many symbols an n-gram was seen after
         above = counts[order + 1].select(_tail("gram", order).alias("gram"))
@@ -152,11 +198,11 @@ def language_model(trusted: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]
     model: dict[int, tuple[DataFrame, DataFrame]] = {}
     for order in range(1, ORDER + 1):
         table = counts[order]
-        t = table.agg(*(F.coalesce(F.sum((F.col("n") == k).cast("double")), F.lit(0.0)) for k in (1, 2, 3, 4))).first()
-        y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0.0
-        cuts = [max(0.05, min(k - 0.05, k - (k + 1) * y * t[k] / t[k - 1])) if t[k - 1] else 0.5 for k in (1, 2, 3)]
-        cut = F.expr(f"CASE WHEN n = 1 THEN {cuts[0]!r}D WHEN n = 2 THEN {cuts[1]!r}D ELSE {cuts[2]!r}D END")
-        table = table.withColumn("ctx", F.shiftright("gram", 8)).withColumn("cut", cut)
+        often = (F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4))
+        cuts = {r[0]: _discounts(*r[1:]) for r in table.groupBy(_model("gram")).agg(*often).collect()}
+        once, twice, more = (_per_model({m: c[k] for m, c in cuts.items()}, 0.0) for k in (0, 1, 2))
+        cut = F.when(F.col("n") == 1, once).when(F.col("n") == 2, twice).otherwise(more)
+        table = table.withColumn("ctx", _context("gram")).withColumn("cut", cut)
         sums = table.groupBy("ctx").agg(F.sum("n").alias("all"), F.sum("cut").alias("off"), F.count("*").alias("kinds"))
         weights = written(sums.select("ctx", "all", "kinds", (F.col("off") / F.col("all")).alias("back")), "kn-contexts")
         own = table.join(weights, "ctx").withColumn("own", (F.col("n") - F.col("cut")) / F.col("all"))
@@ -172,13 +218,13 @@ def language_model(trusted: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]
 
 def probabilities(grams: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """gram, p for distinct n-grams: the seen probability, or what the lower orders leave."""
-    unigram = model[1][1].first()
-    out = grams.withColumn("p", F.lit(unigram.back / (unigram.kinds + 1) if unigram else 1.0))
+    unseen = {r.ctx: r.back / (r.kinds + 1) for r in model[1][1].collect()}  # one row per model
+    out = grams.withColumn("p", _per_model(unseen, 1.0))
     for order in range(1, ORDER + 1):
         p, weights = model[order]
         out = out.withColumn("g", _tail("gram", order)).join(p.select(F.col("gram").alias("g"), F.col("p").alias("seen")), "g", "left")
         if order > 1:
-            out = out.withColumn("c", F.shiftright("g", 8)).join(weights.select(F.col("ctx").alias("c"), "back"), "c", "left")
+            out = out.withColumn("c", _context("g")).join(weights.select(F.col("ctx").alias("c"), "back"), "c", "left")
             out = out.withColumn("p", F.coalesce("back", F.lit(1.0)) * F.col("p")).drop("c", "back")
         out = out.withColumn("p", F.coalesce("seen", "p")).drop("g", "seen")
     return out
@@ -187,6 +233,7 @@ def probabilities(grams: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]
 def _scored(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
     """Mean negative log probability of a byte of each text of a block."""
     table = table[table["gram"].notna()]
+    table = table.assign(gram=table["gram"].to_numpy(np.int64) & (1 << MODEL_BITS) - 1)  # all of one model
     known, cost = Lookup(table["gram"].to_numpy(np.int64)), -table["p"].to_numpy(float)
     totals = []
     for data, at in _unpacked(docs["packed"], docs["n_bytes"]):
@@ -201,16 +248,27 @@ def _scored(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
 
 def perplexities(docs: DataFrame, trusted_ids: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, lang, n_bytes, nll (mean negative log probability of a byte), trusted."""
+    spark = docs.sparkSession
     plain = documents(docs, "doc_id", "text", "lang").withColumn("lang", F.col("lang").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long"))
     trust = trusted_ids.select(F.col("doc_id").cast("long").alias("t_id")).where("t_id IS NOT NULL")
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS))
     # Spark's own Bloom filter keeps texts that aren't trusted out of this join's shuffle.
-    docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1b")
-    model = language_model(plain.join(trust, F.col("doc_id") == F.col("t_id"), "left_semi").select("text"))
+    bloom = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(bloom)
+    spark.conf.set(bloom, "1b")
+    try:
+        trusted = plain.join(trust, F.col("doc_id") == F.col("t_id"), "left_semi").where("text != ''")
+        trusted = written(trusted.select("text", fold.alias("fold")), "kn-trusted")
+    finally:
+        spark.conf.set(bloom, before)
+    folds = FOLDS if len(trusted.select("fold").distinct().collect()) == FOLDS else 1  # FOLDS rows at most
+    model = language_model(trusted, folds)
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    keyed = plain.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).alias("block"), "text")
-    dealt = keyed.mapInArrow(_pack, "doc_id long, lang string, block long, n_bytes long, packed binary").repartition(blocks, "block")
-    grams = dealt.mapInArrow(_block_grams, "block long, gram long")
+    parts = max(1, -(-size // (block_bytes * folds)))
+    block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(parts)) * folds + F.pmod(F.xxhash64("text"), F.lit(folds))
+    keyed = plain.select("doc_id", "lang", block.alias("block"), "text")
+    dealt = keyed.mapInArrow(_pack, "doc_id long, lang string, block long, n_bytes long, packed binary").repartition(parts * folds, "block")
+    grams = dealt.mapInArrow(_block_grams(folds), "block long, gram long")
     known = probabilities(grams.select("gram").distinct(), model)
     table = grams.join(known, "gram").select("block", "gram", F.log("p").cast("float").alias("p"))
     out = dealt.groupBy("block").cogroup(table.groupBy("block")).applyInPandas(_scored, "doc_id long, lang string, n_bytes long, nll double")

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 from helpers import SMALL, rows_of
+from pyspark.sql import functions as F
 
 from askwell.llm import kneser_ney
 from askwell.llm.kneser_ney import ORDER
@@ -46,19 +47,24 @@ def test_against_a_plain_model(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     labels = spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1").select("doc_id")
     trusted = {r.doc_id for r in labels.collect()}
-    rows = {r.doc_id: r for r in docs.collect()}
-    model = Plain([rows[i].text.encode() for i in sorted(trusted) if i in rows])
+    rows = {r.doc_id: r for r in docs.withColumn("fold", F.expr(f"pmod(xxhash64(text), {kneser_ney.FOLDS})")).collect()}
+    own = [rows[i] for i in sorted(trusted) if i in rows]
+    models = {f: Plain([r.text.encode() for r in own if r.fold != f]) for f in range(kneser_ney.FOLDS)}  # held out
+    setting = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(setting)
     got = {r.doc_id: r for r in kneser_ney.perplexities(docs, labels, block_bytes=100_000).collect()}
+    assert spark.conf.get(setting) == before
     assert set(got) == set(rows)
     known = {}
     for i, row in list(rows.items())[::9]:
         raw = row.text.encode()
         cost = 0.0
         for g in grams(raw):
-            if g not in known:
-                known[g] = -math.log(model.p(g))
-            cost += known[g]
+            if (row.fold, g) not in known:
+                known[row.fold, g] = -math.log(models[row.fold].p(g))
+            cost += known[row.fold, g]
         assert abs(got[i].nll - cost / len(raw)) < 1e-5 and got[i].trusted == (i in trusted)
+    model = models[0]
     seen = [c for c in range(256) if bytes([c]) in model.counts[1]]
     unseen = next(c for c in range(256) if c not in seen)  # one share for all of them
     assert abs(sum(model.p(b"the " + bytes([c])) for c in [*seen, unseen]) - 1) < 1e-9
@@ -73,6 +79,16 @@ def test_thresholds(spark):
     assert sum(r.kept for r in good) >= 0.98 * len(good) and not any(r.kept for r in noisy)
 
 
+def test_a_text_is_scored_by_a_model_that_has_not_seen_it(spark):
+    """A trusted text of words of its own costs as much as without its label."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, "qzx jvkq wqzj xkvq zzqj kxwv " * 30, "en")], docs.schema)
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1").select("doc_id")
+    both = labels.union(spark.createDataFrame([(-1,)], labels.schema))
+    with_label, without = (kneser_ney.perplexities(docs.union(odd), ids).where("doc_id = -1").first() for ids in (both, labels))
+    assert with_label.trusted and not without.trusted and abs(with_label.nll - without.nll) < 1e-6
+
+
 def test_odd_rows(spark):
     rows = [(1, "abab abab", "en"), (2, None, "en"), (3, "", None), (4, "zzzz", None), (None, "abab", "de"), (5, "漢字 é \x00", "en"), (6, "ab " * 100_000, "fr"), (1, "abab abab", "en")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, gram int")
