@@ -11,7 +11,8 @@ all languages at once, so that a long text takes no longer per byte. A phrase en
 
 The labelled sample is bounded: ``SAMPLE_ROWS`` rows per language in the order of a hash, and of each a stretch
 of ``SAMPLE_CHARS`` characters from a place that a hash picks in the whole text. It is all that reaches the driver and the tasks (40 KB for each
-language); everything else is done row by row, without a shuffle.
+language); everything else is done row by row, without a shuffle. A worker's automata take about 1 MB for each
+language, as only moves that exist are held.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; without labelled rows all
 are ``und``; ties go to the first language by code point; repeated rows are judged alike; labels of null
@@ -70,6 +71,66 @@ class SuffixAutomaton:
         self.moves = moves
 
 
+class Moves:
+    """The moves of many automata in one pool of slots: about one slot a move, however wide the alphabet.
+
+    State ``s`` has its move by ``symbol`` in slot ``base[s] + symbol`` if that slot's ``owner`` is ``s``. Rows of several
+    moves are laid side by side where all of their slots are free, and single moves fill what is left open.
+    """
+
+    def __init__(self, automata: list[list[dict[int, int]]], width: int):
+        parts, states, slots = [], 0, 0
+        self.roots = []
+        for moves in automata:
+            base, owner, to = self._laid(moves, width)
+            parts.append((base + slots, np.where(owner < 0, -1, owner + states), to + states))
+            self.roots.append(states)
+            states, slots = states + len(moves), slots + len(owner)
+        empty = [(np.zeros(0, np.int32),) * 3]
+        self.base, self.owner, self.to = (np.concatenate(x).astype(np.int32) for x in zip(*(parts or empty)))
+
+    @staticmethod
+    def _laid(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """base of each state; owner and target of each slot."""
+        many = sorted((s for s, row in enumerate(moves) if len(row) > 1), key=lambda s: (-len(moves[s]), s))
+        taken, base, low = bytearray(2 * width + sum(map(len, moves))), np.zeros(len(moves), np.int64), 0
+        for state in many:
+            at, tries, row = low, 0, moves[state]
+            first, others = min(row), list(row)
+            while True:
+                for symbol in others:
+                    if taken[at + symbol]:
+                        break
+                else:
+                    break
+                at, tries = taken.find(0, at + first + 1) - first, tries + 1  # the next place with its first slot open
+                if at + 2 * width > len(taken):
+                    taken.extend(bytes(len(taken)))
+            for symbol in row:
+                taken[at + symbol] = 1
+            base[state] = at
+            if tries > 32:  # what is left open below is for the single moves
+                low = max(low, at - width // 2)
+        one = np.array([s for s, row in enumerate(moves) if len(row) == 1], np.int64)
+        symbols = np.array([next(iter(moves[s])) for s in one.tolist()], np.int64)
+        # A base isn't negative, so single moves start beyond the first symbols.
+        free = np.flatnonzero(np.frombuffer(bytes(taken) + bytes(len(one) + width), np.uint8)[width:] == 0)[: len(one)] + width
+        base[one] = free - symbols
+        states = np.repeat(np.arange(len(moves)), [len(row) for row in moves])
+        by = np.array([symbol for row in moves for symbol in row], np.int64)
+        targets = np.array([to for row in moves for to in row.values()], np.int64)
+        slots = base[states] + by
+        end = int(max(base.max(initial=0) + width, slots.max(initial=0) + 1))
+        owner, to = np.full(end, -1, np.int64), np.zeros(end, np.int64)
+        owner[slots], to[slots] = states, targets
+        return base, owner, to
+
+    def after(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The states that follow, -1 where there is no move."""
+        slots = self.base[states] + symbols
+        return np.where(self.owner[slots] == states, self.to[slots], -1)
+
+
 class CrossParser:
     """Counts phrases of many texts against many languages."""
 
@@ -77,20 +138,11 @@ class CrossParser:
         self.languages = sorted(samples)
         texts = [samples[name].encode() for name in self.languages]
         symbols = np.unique(np.frombuffer(b"".join(texts), np.uint8))
-        self.code = np.full(256, len(symbols), np.int64)  # the last code: in no sample
+        self.code = np.full(256, len(symbols), np.int32)  # the last code: in no sample
         self.code[symbols] = np.arange(len(symbols))
-        self.width = len(symbols) + 1
-        self.roots, tables, base = [], [], 0
-        for text in texts:
-            moves = SuffixAutomaton(text).moves
-            table = np.full((len(moves), self.width), -1, np.int32)
-            for state, row in enumerate(moves):
-                for symbol, to in row.items():
-                    table[state, self.code[symbol]] = base + to
-            tables.append(table)
-            self.roots.append(base)
-            base += len(moves)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        codes = self.code.astype(np.uint8).tobytes()  # UTF-8 never uses all bytes, so that the last code is below 256
+        self.moves = Moves([SuffixAutomaton(text.translate(codes)).moves for text in texts], len(symbols) + 1)
+        self.roots = self.moves.roots
         self.bits = np.array([np.log2(max(2, len(t))) for t in texts])
 
     def phrases(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -103,18 +155,18 @@ class CrossParser:
         order = np.argsort(-size, kind="stable")
         begin, size = begin[order], size[order]
         symbols = self.code[data]
-        root = np.repeat(np.array(self.roots, np.int64)[:, None], len(begin), axis=1)
+        root = np.repeat(np.array(self.roots, np.int32)[:, None], len(begin), axis=1)
         state, count = root.copy(), np.zeros(root.shape, np.int64)
         active = np.searchsorted(-size, -np.arange(STRETCH), "left")  # stretches longer than each step
         for step in range(int(size[0]) if len(size) else 0):
             k = int(active[step])
             symbol, top = symbols[begin[:k] + step], root[:, :k]
             now = state[:, :k]
-            to = self.table[now * self.width + symbol].astype(np.int64)
+            to = self.moves.after(now, symbol)
             miss = to < 0
             if miss.any():
                 ended = miss & (now != top)
-                again = self.table[top * self.width + symbol]
+                again = self.moves.after(top, symbol)
                 alone = miss & (again < 0)
                 count[:, :k] += ended
                 count[:, :k] += alone

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from helpers import SMALL, rows_of
 
 from askwell.llm import language
@@ -62,3 +63,17 @@ def test_the_sample_is_taken_from_whole_texts(spark):
     sample = language.labelled_sample(docs)["xx"]
     assert {"a", "b", "c"} <= set(sample) and sample == language.labelled_sample(docs.repartition(5))["xx"]
     assert all(len(part) <= language.SAMPLE_CHARS for part in sample.split("\n"))
+
+
+@pytest.mark.parametrize("symbols", [1, 2, 30, 240])
+def test_pooled_moves_are_the_automatas(symbols):
+    random = np.random.default_rng(symbols)
+    automata = [language.SuffixAutomaton(random.integers(0, symbols, n).astype(np.uint8).tobytes()).moves for n in (0, 1, 700, 3000)]
+    width = symbols + 1
+    pool = language.Moves(automata, width)
+    for root, moves in zip(pool.roots, automata):
+        for symbol in range(width):
+            want = [root + row[symbol] if symbol in row else -1 for row in moves]
+            assert pool.after(root + np.arange(len(moves)), np.full(len(moves), symbol)).tolist() == want
+    held = sum(len(row) for moves in automata for row in moves)
+    assert len(pool.owner) <= 2 * held + 8 * width
