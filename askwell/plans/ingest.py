@@ -27,7 +27,8 @@ def listed(landed: DataFrame, manifest: DataFrame, kind: str, target: str) -> Da
     """Landed rows whose target the manifest lists under ``kind``, with its position.
 
     A target listed more than once counts at its last position. Every share of the landed rows
-    meets its own copy of the manifest row.
+    meets its own copy of the manifest row. The copies are made after Spark has measured the manifest,
+    so the join is told to shuffle both sides: a broadcast would bring them all to the driver.
     """
     wanted = (
         manifest.where(F.col("type") == kind)
@@ -36,7 +37,7 @@ def listed(landed: DataFrame, manifest: DataFrame, kind: str, target: str) -> Da
     )
     dealt = landed.withColumn("_share", F.pmod(F.xxhash64("doc_pos"), F.lit(SALTS)).cast("int"))
     copies = wanted.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(copies, [target, "_share"]).drop("_share")
+    return dealt.join(copies.hint("merge"), [target, "_share"]).drop("_share")
 
 
 def page_chunks(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:

@@ -35,3 +35,14 @@ def test_manifest_decides_what_is_taken_and_who_wins(spark):
     report = {r.source: (r.chunks, r.distinct_chunks) for r in ingest_report(rows).collect()}
     assert report["https://a"] == (1, 1) and len(report) == 4
     assert rows.where(F.col("chunk_id") != F.md5("content")).count() == 0
+
+
+def test_copies_of_a_small_manifest_are_not_broadcast(spark):
+    manifest = spark.createDataFrame([(i, "static_url", f"https://{i % 40}") for i in range(50)], "source_pos int, type string, target string")
+    pages = spark.createDataFrame([(f"https://{i % 60}", "", i) for i in range(120)], "url string, html string, doc_pos int")
+    taken = listed(pages, manifest, "static_url", "url")
+    assert {(r.url, r.doc_pos, r.source_pos) for r in taken.collect()} == {
+        (f"https://{i % 60}", i, i % 60 + 40 if i % 60 < 10 else i % 60) for i in range(120) if i % 60 < 40
+    }
+    # The plan that ran: Spark had measured 40 rows before there were 16 of each.
+    assert "Broadcast" not in taken._jdf.queryExecution().executedPlan().toString()
