@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from askwell.functions.text import quoted, sql_let
+from askwell.functions.text import quoted
 
 # Tasks get this module's code with the job: executors need not have it installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TOKEN_BREAK = r"[ \n\t.,;:!?|]+"
+TOKEN_SEPARATORS = " \n\t.,;:!?|"
 TERM_VECTOR = T.ArrayType(
     T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])
 )
@@ -44,29 +44,51 @@ class Embedder:
         return self.embed(df, text).withColumn("embedder", F.lit(self.name))
 
 
-def _tokens(column: str) -> str:
-    return f"array_remove(split(lower({quoted(column)}), r'{TOKEN_BREAK}'), '')"
-
-
-def tokens(column: str) -> Column:
-    return F.expr(_tokens(column))
+# Which bytes belong to words; the separators are ASCII, so this holds inside UTF-8 too.
+_IN_WORD = np.array([chr(b) not in TOKEN_SEPARATORS for b in range(256)])
+
+
+def _counted(texts: pa.Array) -> pa.Array:
+    """Sorted ``(term, tf)`` of each lower-cased text; a text that is null or has no word gets none."""
+    n, texts = len(texts), texts.fill_null("")
+    _, places, data = texts.buffers()
+    wide = pa.types.is_large_string(texts.type)
+    at = np.frombuffer(places, np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    inside = _IN_WORD[raw]
+    begins, stops = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    stops[:-1] &= ~inside[1:]
+    full = at[:-1] < at[1:]  # words don't cross texts
+    begins[at[:-1][full]] = inside[at[:-1][full]]
+    stops[at[1:][full] - 1] = inside[at[1:][full] - 1]
+    starts = np.flatnonzero(begins)
+    ends = np.concatenate([[0], np.cumsum(np.flatnonzero(stops) + 1 - starts)])
+    buffers = [None, pa.py_buffer(ends), pa.py_buffer(raw[inside].tobytes())]
+    words = pa.Array.from_buffers(pa.large_string(), len(starts), buffers).dictionary_encode()
+    order = pc.array_sort_indices(words.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    # A text and a term make a number; sorted, equal ones form runs.
+    owner = np.searchsorted(at, starts, "right") - 1
+    cells = np.sort(owner * len(order) + rank[words.indices.to_numpy()])
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, np.int64)
+    owner, term = np.divmod(cells[first], max(len(order), 1))
+    terms = words.dictionary.take(order).take(pa.array(term)).cast(pa.string())
+    tf = pa.array(np.diff(np.append(first, len(cells))).astype(np.int32))
+    sizes = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays([terms, tf], ["term", "tf"]))
+
+
+@F.arrow_udf(TERM_VECTOR)
+def _term_counts(texts: pa.Array) -> pa.Array:
+    return _counted(texts)
 
 
 def term_counts(column: str) -> Column:
-    """Bag of words of a row as sorted ``(term, tf)``, counted without a shuffle.
-
-    Sorted tokens form runs; a run's length is the distance to the next run.
-    """
-    begins = (
-        "filter(sequence(0, size(words) - 1), i -> i = 0 or get(words, i) != get(words, i - 1))"
-    )
-    counted = (
-        "transform(begins, (at, j) -> named_struct('term', get(words, at),"
-        " 'tf', coalesce(get(begins, j + 1), size(words)) - at))"
-    )
-    none = "cast(array() as array<struct<term:string,tf:int>>)"
-    runs = f"if(size(words) > 0, {sql_let('begins', begins, counted)}, {none})"
-    return F.expr(sql_let("words", f"sort_array({_tokens(column)})", runs))
+    """Bag of words of a row as sorted ``(term, tf)``, counted without a shuffle, an Arrow batch at a time."""
+    return _term_counts(F.lower(F.col(quoted(column))))
 
 
 def bag_of_words() -> Embedder:

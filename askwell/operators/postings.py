@@ -82,12 +82,13 @@ class PostingsIndex:
     def add(self, chunks: DataFrame) -> bool:
         """Take in the chunks (``chunk_id``, term ``vector``, ``embedder``) whose ids the index doesn't hold."""
         done = self.additions()
-        new = chunks.select("chunk_id", "vector", "embedder").where(F.size("vector") > 0)
+        new = chunks.select("chunk_id", "vector", "embedder")
         if done:
             new = new.join(self.chunks().select("chunk_id"), "chunk_id", "left_anti")
         path = scratch_path(self.spark, "vectors")
         try:
-            new = written(new, path)
+            # A condition on vectors that aren't written yet would have them made twice.
+            new = written(new, path).where(F.size("vector") > 0)
             postings = new.agg(F.sum(F.size("vector"))).first()[0]
             if not postings:
                 return False

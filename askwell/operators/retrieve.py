@@ -36,6 +36,8 @@ SLICE_BYTES = 64 << 20
 LANES = 64
 # Score cells a task holds at a time.
 CELLS = 4_000_000
+# Score cells of one term from which they are filled by themselves.
+WIDE_TERM = 1_000
 # Distances are compared at this precision, equal ones by chunk id.
 RANK_DIGITS = 9
 
@@ -52,9 +54,9 @@ class _TermScorer:
         self.vocabulary = terms.dictionary
         code = terms.indices.to_numpy(zero_copy_only=False)
         order = np.argsort(code, kind="stable")
-        ends = np.cumsum(np.bincount(code, minlength=len(self.vocabulary)))
-        self.asked = np.split(owner[order], ends[:-1]) if len(ends) else []
-        self.weight = np.split(tf[order], ends[:-1]) if len(ends) else []
+        self.asked, self.weight = owner[order], tf[order]
+        self.many = np.bincount(code, minlength=len(self.vocabulary))
+        self.begin = np.cumsum(self.many) - self.many
 
     def distances(self, vectors: pa.Array) -> np.ndarray:
         flat, owner = _unnest(vectors)
@@ -64,11 +66,20 @@ class _TermScorer:
         code = code.fill_null(-1).to_numpy(zero_copy_only=False)
         known = np.flatnonzero(code >= 0)
         order = known[np.argsort(code[known], kind="stable")]
-        codes, begins = np.unique(code[order], return_index=True)
+        codes, begins, sizes = np.unique(code[order], return_index=True, return_counts=True)
         dots = np.zeros((self.size, len(vectors)))
-        for at, rows in zip(codes, np.split(order, begins[1:])):
-            cells = np.ix_(self.asked[at], owner[rows])
-            dots[cells] += np.outer(self.weight[at], tf[rows])
+        # A term of many cells fills them at once; those of the others are gathered and summed together.
+        wide = sizes * self.many[codes] > WIDE_TERM
+        for at, begin, size in zip(codes[wide], begins[wide], sizes[wide]):
+            rows, own = order[begin : begin + size], slice(self.begin[at], self.begin[at] + self.many[at])
+            dots[np.ix_(self.asked[own], owner[rows])] += np.outer(self.weight[own], tf[rows])
+        rows = order[np.repeat(~wide, sizes)]
+        many = self.many[code[rows]]
+        for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(np.cumsum(many) // CELLS)) + 1):
+            own, n = rows[part], many[part]
+            pairs = np.repeat(self.begin[code[own]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            cells = self.asked[pairs] * len(vectors) + np.repeat(owner[own], n)
+            dots += np.bincount(cells, self.weight[pairs] * np.repeat(tf[own], n), dots.size).reshape(dots.shape)
         with np.errstate(divide="ignore", invalid="ignore"):
             distance = 1.0 - dots / np.sqrt(np.outer(self.norm2, norm2))
         # Nothing in common is no hit at all.

@@ -57,10 +57,12 @@ class ChunkStore:
     def read(self) -> DataFrame:
         """The latest row of each key.
 
-        Only keys are shuffled to find those that came in more than once; the rows themselves meet
-        just these few, so they stay where the scan reads them while the few are small enough to
-        broadcast by Spark's own measure.
+        A single batch has one row per key, and is read as it is. Of several, only keys are shuffled to
+        find those that came in more than once; the rows themselves meet just these few, so they stay
+        where the scan reads them while the few are small enough to broadcast by Spark's own measure.
         """
+        if len(self.batches()) == 1:
+            return self.rows().select(*self.schema.fieldNames())
         rows = self.rows().withColumn("_of", F.struct("_at", "_writer", "_batch"))
         seen = rows.groupBy(self.key).agg(F.max("_of").alias("_last"), F.min("_of").alias("_first"))
         again = seen.where(F.col("_first") != F.col("_last")).select(self.key, "_last")

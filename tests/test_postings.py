@@ -101,3 +101,17 @@ def test_prompts_and_embedders(spark, tmp_path):
     assert sorted(answer_prompts(chunks.select("chunk_id", "content"), asked, index=index).collect()) == want
     with pytest.raises(ValueError):
         answer_hits(index, asked, hashed_words(16))
+
+
+def test_vectors_of_an_addition_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @postings.F.udf("array<struct<term:string,tf:int>>")
+    def vector(text):
+        made.add(1)
+        return [(word, 1) for word in text.split()]
+
+    rows = spark.createDataFrame([(f"c{i}", f"w{i}" if i else "") for i in range(8)], "chunk_id string, content string")
+    rows = rows.select("chunk_id", vector("content").alias("vector"), postings.F.lit("e").alias("embedder")).repartition(2)
+    index = PostingsIndex(spark, str(tmp_path / "index"), parts=2)
+    assert index.add(rows) and index.chunks().count() == 7 and made.value == 8

@@ -3,11 +3,12 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from askwell.operators import retrieve
-from askwell.operators.embed import bag_of_words, batch_model, check_same_embedder, hashed_words
+from askwell.operators.embed import bag_of_words, batch_model, check_same_embedder, hashed_words, term_counts
 from askwell.operators.retrieve import nearest, slice_hits
 from askwell.plans.answer import answer_hits, answer_prompts
 
@@ -118,3 +119,22 @@ def test_an_unnamed_embedder_is_refused(spark):
     stored = spark.createDataFrame([("a", None)], "chunk_id string, embedder string")
     with pytest.raises(ValueError):
         check_same_embedder(stored, bag_of_words())
+
+
+def test_counts_of_odd_texts(spark):
+    odd = [(0, None), (1, ""), (2, " .\n,"), (3, "b a\tB\nc|c;é"), (4, "\x00 x"), (5, "zz")]
+    got = spark.createDataFrame(odd, "i int, t string").select("i", term_counts("t").alias("v")).collect()
+    want = {0: [], 1: [], 2: [], 3: [("a", 1), ("b", 2), ("c", 2), ("é", 1)], 4: [("\x00", 1), ("x", 1)], 5: [("zz", 1)]}
+    assert {r.i: [tuple(c) for c in r.v] for r in got} == want
+
+
+@pytest.mark.parametrize("wide, cells", [(0, 4_000_000), (10**9, 4_000_000), (10**9, 3), (5, 3)])
+def test_scores_do_not_depend_on_how_cells_are_filled(spark, monkeypatch, wide, cells):
+    monkeypatch.setattr(retrieve, "WIDE_TERM", wide)
+    monkeypatch.setattr(retrieve, "CELLS", cells)
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+    vectors = [[{"term": t, "tf": n} for t, n in v.items()] for v in ({"a": 1, "b": 2}, {}, {"b": 1, "z": 3}, {"a": 2, "c": 1})]
+    asked = [[{"term": t, "tf": n} for t, n in v.items()] for v in ({"a": 2, "b": 1}, {"z": 1}, {"q": 1})]
+    got = retrieve._TermScorer(pa.array(asked, kind)).distances(pa.array(vectors, kind))
+    want = [[1 - 4 / 25**0.5, np.inf, 1 - 1 / 50**0.5, 1 - 4 / 25**0.5], [np.inf, np.inf, 1 - 3 / 10**0.5, np.inf], [np.inf] * 4]
+    assert np.array_equal(np.round(got, 9), np.round(want, 9))

@@ -99,3 +99,11 @@ def test_tables_of_other_rows(spark, tmp_path):
     for i, length in enumerate((5, 7)):
         seen.upsert(spark.createDataFrame([("f", i, length)], SEEN_SCHEMA), i)
     assert [tuple(r) for r in seen.read().collect()] == [("f", 1, 7)]
+
+
+def test_a_single_batch_is_read_without_a_shuffle(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("a", "x", "s", "file", 0), (None, None, "s", "file", 1)], store.schema)
+    store.upsert(rows, 0)
+    assert sorted(store.read().collect(), key=str) == sorted(rows.collect(), key=str)
+    assert "Exchange" not in store.read()._jdf.queryExecution().executedPlan().toString()
