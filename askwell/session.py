@@ -8,9 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library's results or plans depend on. Everything else (memory,
-# executors, shuffle partitions) is the cluster's business.
+# executors, shuffle partitions) is the cluster's business. A Python worker gets
+# a bounded number of bytes at once, so that long rows don't fill its memory.
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 RECOMMENDED = {

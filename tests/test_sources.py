@@ -1,6 +1,7 @@
 import json
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,11 @@ def test_config_problem(spark, change, problem):
     text = json.dumps({"bot_name": "b", **change})
     configs = manifest.parse_configs(spark.createDataFrame([(text,)], "t string"), "t")
     assert configs.select(manifest.config_problem(configs)).first()[0] == problem
+
+
+def test_a_worker_gets_a_bounded_number_of_bytes(spark):
+    def sizes(batches):
+        yield from (pd.DataFrame({"n": [len(b)]}) for b in batches)
+
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("t"))
+    assert max(r.n for r in rows.mapInPandas(sizes, "n long").collect()) < 1000
