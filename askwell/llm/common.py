@@ -62,12 +62,19 @@ def settled(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> Da
         frame.write.parquet(path)
         return spark.read.schema(frame.schema).parquet(path)
     finally:
-        for own in _owned.get() or ():
-            place = spark._jvm.org.apache.hadoop.fs.Path(own)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        discard(spark)
         _owned.reset(token)
 
 
+def discard(spark: SparkSession, *names: str) -> None:
+    """Delete the running operator's scratch tables of these names, or all; without ``settled`` they stay."""
+    for own in list(_owned.get() or ()):
+        place = spark._jvm.org.apache.hadoop.fs.Path(own)
+        if not names or place.getName().rpartition("-")[0] in names:
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _owned.get().remove(own)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about ``most`` bytes of ``column``, one row at least."""
     for batch in batches:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askwell.llm.common import documents, settled, slices, text_bytes, written
+from askwell.llm.common import discard, documents, settled, slices, text_bytes, written
 
 ORDER = 5
 QUANTILE = 0.995
@@ -217,16 +217,23 @@ def language_model(trusted: DataFrame, folds: int) -> dict[int, tuple[DataFrame,
 
 
 def probabilities(grams: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """gram, p for distinct n-grams: the seen probability, or what the lower orders leave."""
+    """gram, p for distinct n-grams: the seen probability, or what the lower orders leave.
+
+    A lower order's are found for the distinct ends of the n-grams: these are far fewer, and travel instead of them.
+    """
+    asked = {ORDER: grams}
+    for order in range(ORDER - 1, 0, -1):
+        asked[order] = asked[order + 1].select(_tail("gram", order).alias("gram")).distinct()
     unseen = {r.ctx: r.back / (r.kinds + 1) for r in model[1][1].collect()}  # one row per model
-    out = grams.withColumn("p", _per_model(unseen, 1.0))
-    for order in range(1, ORDER + 1):
+    out = asked[1].join(model[1][0].withColumnRenamed("p", "seen"), "gram", "left")
+    out = out.select("gram", F.coalesce("seen", _per_model(unseen, 1.0)).alias("p"))
+    for order in range(2, ORDER + 1):
         p, weights = model[order]
-        out = out.withColumn("g", _tail("gram", order)).join(p.select(F.col("gram").alias("g"), F.col("p").alias("seen")), "g", "left")
-        if order > 1:
-            out = out.withColumn("c", _context("g")).join(weights.select(F.col("ctx").alias("c"), "back"), "c", "left")
-            out = out.withColumn("p", F.coalesce("back", F.lit(1.0)) * F.col("p")).drop("c", "back")
-        out = out.withColumn("p", F.coalesce("seen", "p")).drop("g", "seen")
+        own = asked[order].join(p.withColumnRenamed("p", "seen"), "gram", "left")
+        own = own.withColumn("c", _context("gram")).join(weights.select(F.col("ctx").alias("c"), "back"), "c", "left")
+        own = own.select("gram", "seen", "back", _tail("gram", order - 1).alias("g"))
+        left = F.coalesce("back", F.lit(1.0)) * F.col("p")
+        out = own.join(out.select(F.col("gram").alias("g"), "p"), "g").select("gram", F.coalesce("seen", left).alias("p"))
     return out
 
 
@@ -263,6 +270,7 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, block_bytes: int = BLO
         spark.conf.set(bloom, before)
     folds = FOLDS if len(trusted.select("fold").distinct().collect()) == FOLDS else 1  # FOLDS rows at most
     model = language_model(trusted, folds)
+    discard(spark, "kn-trusted", "kn-counts")  # the trusted texts, and counts: nothing reads them any more
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // (block_bytes * folds)))
     block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(parts)) * folds + F.pmod(F.xxhash64("text"), F.lit(folds))
@@ -270,7 +278,7 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, block_bytes: int = BLO
     dealt = keyed.mapInArrow(_pack, "doc_id long, lang string, block long, n_bytes long, packed binary").repartition(parts * folds, "block")
     grams = dealt.mapInArrow(_block_grams(folds), "block long, gram long")
     known = probabilities(grams.select("gram").distinct(), model)
-    table = grams.join(known, "gram").select("block", "gram", F.log("p").cast("float").alias("p"))
+    table = grams.join(known.select("gram", F.log("p").cast("float").alias("p")), "gram").select("block", "gram", "p")
     out = dealt.groupBy("block").cogroup(table.groupBy("block")).applyInPandas(_scored, "doc_id long, lang string, n_bytes long, nll double")
     out = out.join(trust.distinct(), F.col("doc_id") == F.col("t_id"), "left")
     return out.select("doc_id", "lang", "n_bytes", "nll", F.col("t_id").isNotNull().alias("trusted"))

@@ -98,3 +98,16 @@ def test_odd_rows(spark):
     assert len(got) == len(rows) and by[2] == (None, False) and by[3] == (None, False) and by[1][1] and by[4][0] > by[1][0]
     assert all(r[2] for r in rows_of(kneser_ney.classified(docs, one.limit(0)).select("doc_id", "n_bytes", "kept")) if r[1])
     assert rows_of(kneser_ney.classified(docs.limit(0), one)) == []
+
+
+def test_trusted_texts_and_counts_are_not_kept_while_documents_are_scored(spark, monkeypatch, tmp_path):
+    """Scratch tables that nothing reads any more take no disk when the documents' n-grams are joined."""
+    root, seen = f"{tmp_path}/scratch", []
+    monkeypatch.setattr("askwell.llm.common.scratch_path", lambda session, name: f"{root}/{name}-{len(list(tmp_path.glob('scratch/*'))):032x}")
+    plain = kneser_ney.probabilities
+    monkeypatch.setattr(kneser_ney, "probabilities", lambda *a: seen.extend(p.name.rpartition("-")[0] for p in tmp_path.glob("scratch/*")) or plain(*a))
+    rows = [(i, f"some words {i % 3} and more {i} of them", "en") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert kneser_ney.classified(docs, docs.where("doc_id < 6").select("doc_id")).where("kept").count()
+    assert "kn-probabilities" in seen and not {"kn-trusted", "kn-counts"} & set(seen)
+    assert [p.name.rpartition("-")[0] for p in tmp_path.glob("scratch/*")] == ["perplexities"]
