@@ -146,15 +146,18 @@ def _setter(k: int):
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
-    """node, label (smallest node of its component) for every node of the edges (a, b)."""
+    """node, label (smallest node of its component) for every node of the edges (a, b).
+
+    Both sides of the joins are dealt anyway; broadcasts in each round would only fill the driver.
+    """
     now = written(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct(), name)
     mark = None
     while True:
         both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(now.select(F.col("hi"), F.col("lo")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        moved = large.join(least, "hi").select("m", "lo").where("m < lo").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
+        moved = large.join(least.hint("merge"), "hi").select("m", "lo").where("m < lo").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
         stars = least.select(F.col("m").alias("lo"), "hi").union(moved).distinct()
         now = written(stars, name)
         count, total = now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()

@@ -154,3 +154,12 @@ def test_long_sets_at_the_limit_are_not_lost():
         lost += int(((found < minhash.LEAST_ESTIMATE) | ~(left == right).any(1)).sum())
         total += n
     assert total > 5000 and lost <= 1
+
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    """Rounds of small tables don't pass through the driver."""
+    plans, plain = [], minhash.written
+    monkeypatch.setattr(minhash, "written", lambda frame, name: plans.append(frame._jdf.queryExecution().toString()) or plain(frame, name))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (8, 8)], "a long, b long")
+    assert sorted(map(tuple, minhash.components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)]
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
