@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from askwell.llm.common import Words, documents, gathered, mixed, settled, slices, text_bytes, written
@@ -145,25 +145,37 @@ def _setter(k: int):
     return make
 
 
-def components(edges: DataFrame, name: str = "stars") -> DataFrame:
-    """node, label (smallest node of its component) for every node of the edges (a, b).
+def _fewer(frame: DataFrame) -> DataFrame:
+    """Rows of a few numbers per node or pair, in fewer tasks and files than the shuffle's, of which the number suits whole texts."""
+    spark = frame.sparkSession
+    return frame.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
+def stars(edges: DataFrame, name: str = "stars") -> DataFrame:
+    """lo (smallest node of a component) and hi (each of its others) of the edges (a, b), which are read twice.
 
-    Both sides of the joins are dealt anyway; broadcasts in each round would only fill the driver.
+    In a round an edge's smaller end gives way to the smallest node it is tied to itself (large stars), and what a
+    node is then tied to is tied to the smallest of it (small stars). An edge leaves one edge at most, and the table says
+    whether any has moved. Both sides of the join are dealt anyway; broadcasts in each round would only fill the driver.
     """
-    now = written(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct(), name)
-    mark = None
+    now = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi")
+    node = Window.partitionBy("hi").orderBy("lo", "moved")
     while True:
-        both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(now.select(F.col("hi"), F.col("lo")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        moved = large.join(least.hint("merge"), "hi").select("m", "lo").where("m < lo").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
-        stars = least.select(F.col("m").alias("lo"), "hi").union(moved).distinct()
-        now = written(stars, name)
-        count, total = now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        if (count, total) == mark:
-            return now.select(F.col("hi").alias("node"), F.col("lo").alias("label")).union(now.select("lo", "lo").distinct())
-        mark = (count, total)
+        least = now.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("m"))
+        large = now.join(least.hint("merge"), "lo", "left").select(F.coalesce("m", "lo").alias("lo"), "hi", F.col("m").isNotNull().alias("moved"))
+        small = large.withColumns({"m": F.first("lo").over(node), "last": F.lag("lo").over(node)}).where("last IS NULL OR last < lo")
+        other = F.col("m") < F.col("lo")
+        small = small.select(F.col("m").alias("lo"), F.when(other, F.col("lo")).otherwise(F.col("hi")).alias("hi"), (F.col("moved") | other).alias("moved"))
+        out = written(_fewer(small), name)
+        now = out.select("lo", "hi")
+        if not out.agg(F.bool_or("moved")).first()[0]:
+            return now
+
+
+def components(edges: DataFrame, name: str = "stars") -> DataFrame:
+    """node, label (smallest node of its component) for every node of the edges (a, b), which are read twice."""
+    now = stars(edges, name)
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("label")).union(now.select("lo", "lo").distinct())
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -329,30 +341,29 @@ def _linked(percent: int):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are links, by their full sets.
+    """The pairs (a < b) that are links, by their full sets.
 
     A set travels once to each task that needs it: pairs meet by the components of all pairs, and
     large components in blocks of their nodes.
     """
-    labels = components(pairs, "families")
-    sized = labels.join(sets.select(F.col("id").alias("node"), F.size("items").alias("n")), "node")
-    sizes = sized.groupBy("label").agg(F.ceil(F.sum("n") / FAMILY).alias("blocks"))
-    placed = labels.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    left = placed.select(F.col("node").alias("a"), "label", F.col("block").alias("p"))
-    right = placed.select(F.col("node").alias("b"), F.col("block").alias("q"))
-    placed = pairs.join(left, "a").join(right, "b")
-    placed = written(placed.select("a", "b", F.xxhash64("label", F.least("p", "q"), F.greatest("p", "q")).alias("task")), "placed")
+    tied = stars(pairs, "families")
+    labels = tied.select(F.col("hi").alias("id"), F.col("lo").alias("label")).union(tied.select("lo", "lo").distinct())
+    sized = labels.join(sets.select("id", F.size("items").alias("n")), "id")
+    large = sized.groupBy("label").agg(F.ceil(F.sum("n") / FAMILY).alias("blocks")).where("blocks > 1")  # one for so many shingles at most
+    named = pairs.join(tied.select(F.col("hi").alias("b"), F.col("lo").alias("label")), "b").join(F.broadcast(large), "label", "left")
+    p, q = (F.pmod(F.xxhash64(end), F.coalesce("blocks", F.lit(1))) for end in "ab")
+    placed = written(_fewer(named.select("a", "b", F.xxhash64("label", F.least(p, q), F.greatest(p, q)).alias("task"))), "placed")
     needed = placed.select(F.col("task").alias("at"), F.col("a").alias("id")).union(placed.select("task", "b")).distinct().join(sets, "id")
     return needed.groupBy("at").cogroup(placed.groupBy("task")).applyInPandas(_linked(percent), "a long, b long")
 
 
-def _cross_links(shared: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _cross_links(shared: DataFrame, tied: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that join components which share a bucket.
 
     In buckets that hold several components, nodes that look similar across them hang together in
     families. In a family, the nodes outside its largest component are held against all others.
     """
-    named = shared.select("bucket", "id").join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
+    named = shared.select("bucket", "id").join(tied.select(F.col("hi").alias("id"), F.col("lo").alias("label")), "id", "left")
     named = written(named.withColumn("label", F.coalesce("label", "id")), "named")
     open_ = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).where("l < m")
     rest = named.join(open_.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket").join(nodes, "id")
@@ -360,9 +371,9 @@ def _cross_links(shared: DataFrame, labels: DataFrame, nodes: DataFrame, sets: D
     rest = rest.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
     rest = rest.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "label", "sig")
     rest = rest.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    families = components(rest.mapInArrow(_open_families, "a long, b long"), "families")
+    families = components(written(rest.mapInArrow(_open_families, "a long, b long"), "families"), "families")
     members = families.select(F.col("node").alias("id"), F.col("label").alias("family")).join(named.select("id", "label").distinct(), "id")
-    members = written(members, "families")
+    members = written(_fewer(members), "families")
     own = members.join(sets.select("id", F.size("items").alias("items")), "id")
     main = own.groupBy("family", "label").agg(F.count("*").alias("n"), F.sum("items").alias("items"))
     main = main.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("items").alias("items"), F.max_by("items", F.struct("n", "label")).alias("still"))
@@ -385,9 +396,9 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     signed = written(plain.mapInArrow(_signer(shingle), kinds), "signatures")
     linkable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = linkable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    member = linkable.select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).select("doc_id", "rep").distinct()
+    member = linkable.select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).select("doc_id", "rep")
     member = written(member, "members")
-    nodes = linkable.join(member.where("doc_id = rep").select(F.col("doc_id")).distinct(), "doc_id", "left_semi")
+    nodes = linkable.join(member.where("doc_id = rep"), "doc_id", "left_semi")
     nodes = nodes.select(F.col("doc_id").alias("id"), "sig", "bands")
     sigs = nodes.select("id", "sig")
     in_bucket = nodes.select("id", F.explode("bands").alias("bucket"))
@@ -401,12 +412,12 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     tested = written(pairs.where(f"{_estimate_sql('p', 'q')} >= {LEAST_ESTIMATE}").select("a", "b").distinct(), "pairs")
     # A doc_id of several rows with different texts joins their classes.
     reps = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-    edges = written(confirmed(tested, sets, percent).union(reps.where("a < b").select("a", "b")), "links")
-    labels = written(components(edges), "labels")
-    edges = edges.union(_cross_links(shared, labels, nodes, sets, percent))
-    labels = components(edges)
+    edges = written(confirmed(tested, sets, percent).union(_fewer(reps.where("a < b").select("a", "b"))), "links")
+    tied = stars(edges)
+    crossed = written(_cross_links(shared, tied, nodes, sets, percent), "crossed")
+    tied = stars(tied.select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(crossed))
     ids = signed.select("doc_id", "n_shingles").join(reps.select("doc_id", F.col("a").alias("rep")), "doc_id", "left")
-    out = ids.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    out = ids.join(tied.select(F.col("hi").alias("rep"), F.col("lo").alias("label")), "rep", "left")
     component = F.coalesce("label", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

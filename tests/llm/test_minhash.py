@@ -163,3 +163,37 @@ def test_components_broadcast_nothing(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (8, 8)], "a long, b long")
     assert sorted(map(tuple, minhash.components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)]
     assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
+
+
+def test_components_take_few_shuffles_and_files(spark, monkeypatch):
+    """A round shuffles its edges twice and their ends once, and ends in fewer files than the shuffle has partitions."""
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 900, (700, 2))] + [(2000 + i, 2001 + i) for i in range(40)] + [(5000 + i, 4000) for i in range(300)]
+    edges += [(b, a) for a, b in edges[:200]] + edges[:50]
+    parent = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in range(len(parent)):
+        before = dict(parent)
+        for a, b in edges:
+            if a != b:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+        if parent == before:
+            break
+    seen, plain = [], minhash.written
+
+    def written(frame, name):
+        out = plain(frame, name)
+        seen.append((frame._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange hashpartitioning"), len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(minhash, "written", written)
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = rows_of(minhash.components(spark.createDataFrame(edges, "a long, b long")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == len(parent) and dict(got) == parent
+    assert len(seen) > 2 and all(shuffles <= 3 and files <= 16 for shuffles, files in seen)
