@@ -11,6 +11,7 @@ Texts are dealt into ``FOLDS`` by their hash, so equal texts are in one. There i
 the trusted texts in the others, and it scores the fold's documents: no text is scored by a model that has
 seen it, and the thresholds come from held-out texts alone. An n-gram's number holds its model's.
 
+The n-grams that any document holds are found first, in one pass, and all orders' joins start from that table.
 Documents are dealt once into blocks of about ``BLOCK_BYTES`` of text, each of one fold. A block's texts meet
 the probabilities of the n-grams that occur in them, and of no others. A document is kept if its perplexity
 is at most the ``QUANTILE`` of its language's trusted documents.
@@ -39,6 +40,7 @@ QUANTILE = 0.995
 BLOCK_BYTES = 32 << 20
 FOLDS = 2
 MODEL_BITS = 48  # an n-gram's number holds the number of its model from this bit on
+HELD = 4_000_000  # n-grams that a task holds of a model
 START = 255  # never a byte of UTF-8
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -155,6 +157,27 @@ def _block_grams(folds: int):
     return distinct
 
 
+def _text_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of all texts with the numbers of their models: a task's are made distinct, ``HELD`` at a time."""
+
+    def rows(fold: int, grams: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(grams), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(grams[i : i + 100_000] | fold << MODEL_BITS)], ["gram"])
+
+    held: dict[int, list[np.ndarray]] = {}
+    for batch in slices(batches):
+        of = batch.column("fold").to_numpy(zero_copy_only=False)
+        for fold in np.unique(of).tolist():
+            texts = batch.column("text").filter(pa.array(of == fold))
+            held.setdefault(fold, []).append(np.unique(gram_keys(*text_bytes(texts))))
+            if sum(map(len, held[fold])) > HELD:
+                held[fold] = [np.unique(np.concatenate(held[fold]))]
+                if len(held[fold][0]) > HELD // 2:
+                    yield from rows(fold, held.pop(fold)[0])
+    for fold, parts in held.items():
+        yield from rows(fold, np.unique(np.concatenate(parts)))
+
+
 def _model(gram: str) -> F.Column:
     """The number of an n-gram's model, in its place."""
     return F.col(gram).bitwiseAND(F.lit(-1 << MODEL_BITS))
@@ -277,7 +300,10 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, block_bytes: int = BLO
     keyed = plain.select("doc_id", "lang", block.alias("block"), "text")
     dealt = keyed.mapInArrow(_pack, "doc_id long, lang string, block long, n_bytes long, packed binary").repartition(parts * folds, "block")
     grams = dealt.mapInArrow(_block_grams(folds), "block long, gram long")
-    known = probabilities(grams.select("gram").distinct(), model)
+    # All orders start from this table: from the blocks, each of them would cut all texts into n-grams again.
+    own = plain.select(F.pmod(F.xxhash64("text"), F.lit(folds)).alias("fold"), "text")
+    asked = written(own.mapInArrow(_text_grams, "gram long").distinct(), "kn-asked")
+    known = probabilities(asked, model)
     table = grams.join(known.select("gram", F.log("p").cast("float").alias("p")), "gram").select("block", "gram", "p")
     out = dealt.groupBy("block").cogroup(table.groupBy("block")).applyInPandas(_scored, "doc_id long, lang string, n_bytes long, nll double")
     out = out.join(trust.distinct(), F.col("doc_id") == F.col("t_id"), "left")

@@ -2,7 +2,9 @@
 
 import math
 from collections import Counter
+from uuid import uuid4
 
+import pyarrow as pa
 from helpers import SMALL, rows_of
 from pyspark.sql import functions as F
 
@@ -111,3 +113,39 @@ def test_trusted_texts_and_counts_are_not_kept_while_documents_are_scored(spark,
     assert kneser_ney.classified(docs, docs.where("doc_id < 6").select("doc_id")).where("kept").count()
     assert "kn-probabilities" in seen and not {"kn-trusted", "kn-counts"} & set(seen)
     assert [p.name.rpartition("-")[0] for p in tmp_path.glob("scratch/*")] == ["perplexities"]
+
+
+def test_texts_are_cut_into_ngrams_once(spark, monkeypatch, tmp_path):
+    """Each block's n-grams are found in one pass, and not again for each order."""
+    plain = kneser_ney._block_grams
+
+    def noted(folds):
+        cut = plain(folds)
+
+        def run(batches):
+            def marked():
+                for batch in batches:
+                    for block in set(batch.column("block").to_pylist()):
+                        (tmp_path / f"{block}-{uuid4().hex}").touch()
+                    yield batch
+
+            return cut(marked())
+
+        return run
+
+    monkeypatch.setattr(kneser_ney, "_block_grams", noted)
+    rows = [(i, f"some words {i % 3} and more {i} of them", "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    out = kneser_ney.perplexities(docs, docs.where("doc_id < 20").select("doc_id"), block_bytes=200)
+    assert len(out.collect()) == 40
+    blocks = [p.name.partition("-")[0] for p in tmp_path.iterdir()]
+    assert len(blocks) > 2 and len(blocks) == len(set(blocks))
+
+
+def test_a_task_holds_few_ngrams(monkeypatch):
+    monkeypatch.setattr(kneser_ney, "HELD", 40)
+    texts, folds = [f"text {i * 7919} of words" for i in range(50)] + [None, ""], [i % 2 for i in range(52)]
+    batch = pa.RecordBatch.from_arrays([pa.array(folds, pa.int64()), pa.array(texts, pa.string())], ["fold", "text"])
+    out = list(kneser_ney._text_grams(iter([batch.slice(i, 4) for i in range(0, 52, 4)])))
+    want = {int.from_bytes(g, "big") | f << kneser_ney.MODEL_BITS for t, f in zip(texts, folds) for g in grams((t or "").encode())}
+    assert len(out) > 4 and {g for b in out for g in b.column("gram").to_pylist()} == want
